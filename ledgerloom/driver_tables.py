@@ -8,18 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.rules import LedgerRules
-from ledgerloom.schemas import AMOUNT, RATE, conform
+from ledgerloom.schemas import conform
 from ledgerloom.sources import clean, rates
 
 RULES = LedgerRules(
     payable_pattern="Accounts payable", receivable_pattern="Accounts receivable", finance_pattern="Finance cost"
 )
 RATE_DATE = "2024-01-15"
-FUNC_AREAS = {"R": "Selling", "A": "Admin", "N": "R&D"}
 
 _SCHEMAS = {
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -33,43 +32,24 @@ _SCHEMAS = {
     "l_shipdate timestamp_ntz",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
-CURRENCIES = ["CNY", "USD", "EUR", "JPY", "HKD"]
-_RATES = ["1.0000", "7.1884", "7.5257", "0.0462", "0.9260"]
-NO_CLOSING_NATIONS = [3, 8, 13, 19]
-NO_OPENING_NATIONS = [15, 18, 19]
 TRIAL_BALANCE_ACCOUNTS = [
     "22026000", "22029000", "22029900", "22028900", "22510100", "22510200", "66030010", "66030030",
     "66030070", "66038900", "66030090", "22020100", "66031000",
 ]
+_CURRENCY = "element_at(array('CNY', 'USD', 'EUR', 'JPY', 'HKD'), cast({key} % 5 as int) + 1)"
+_RATE = "element_at(array(1.0000BD, 7.1884BD, 7.5257BD, 0.0462BD, 0.9260BD), cast({key} % 5 as int) + 1)"
 
 
-def pick(key: Column, values: list[Column]) -> Column:
-    """The value at position key modulo the number of values."""
-    place = key % len(values)
-    chain = F.when(place == 0, values[0])
-    for i, value in enumerate(values[1:-1], start=1):
-        chain = chain.when(place == i, value)
-    return chain.otherwise(values[-1])
+def currency(key: str) -> str:
+    return _CURRENCY.format(key=key)
 
 
-def currency(key: str) -> Column:
-    return pick(F.col(key), [F.lit(c) for c in CURRENCIES])
+def at_rate(value: str, key: str) -> str:
+    return amount(f"{value} * cast({_RATE.format(key=key)} as decimal(19,4))")
 
 
-def rate(key: str) -> Column:
-    return pick(F.col(key), [F.lit(r).cast(RATE) for r in _RATES])
-
-
-def amount(column: str) -> Column:
-    return F.col(column).cast(AMOUNT)
-
-
-def string(column: str) -> Column:
-    return F.col(column).cast("string")
-
-
-def month(column: str) -> Column:
-    return F.month(F.col(column).cast("date"))
+def amount(value: str) -> str:
+    return f"cast({value} as decimal(19,2))"
 
 
 class DriverTables(Mapping):
@@ -79,13 +59,17 @@ class DriverTables(Mapping):
         self.spark, self.folder = spark, folder
         self._built: dict[str, DataFrame] = {}
 
+    def once(self, name: str, build: Callable[[DriverTables], DataFrame]) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = build(self)
+        return self._built[name]
+
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        return self.once(f"raw {name}", lambda t: t.spark.read.schema(_SCHEMAS[name]).parquet(path))
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._built:
-            self._built[name] = _TABLES[name](self)
-        return self._built[name]
+        return self.once(name, _TABLES[name])
 
     def __iter__(self) -> Iterator[str]:
         return iter(_TABLES)
@@ -96,265 +80,211 @@ class DriverTables(Mapping):
 
 # --------------------------------------------------------------------------- ledger lines
 
-def _vendor_lines(t: DriverTables) -> DataFrame:
-    debit = (F.col("l_suppkey") + F.col("l_orderkey") % 5) % 7 == 0
-    price = amount("l_extendedprice")
-    other = F.col("l_linenumber") % 4 == 0
-    supplier = t.raw("supplier").select("s_suppkey", "s_name", "s_nationkey")
-    return _with_local(
-        t.raw("lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).withColumns({
-            "account_code": F.when(other, "22410100").otherwise("22021000"),
-            "account_name": F.when(other, "Other payable").otherwise("Accounts payable"),
-            "party_code": string("l_suppkey"),
-            "party_name": F.col("s_name"),
-            "doc_currency": currency("l_orderkey"),
-            "doc_amount": F.when(debit, price).otherwise((-price).cast(AMOUNT)),
-            "source_tag": F.lit(fv.VENDOR),
-        }),
-        rate("l_orderkey"),
-    )
+_ITEM = (
+    "'1000' AS company_code", "account_code", "account_name", "party_code", "party_name", "doc_currency",
+    "doc_amount", "'CNY' AS local_currency", "local_amount",
+)
 
 
-def _customer_account() -> Column:
+def _vendor_lines(t: DriverTables) -> DataFrame:
+    """One line per delivered item; a few vendors and currencies carry debits."""
     return (
-        F.when(F.col("o_orderpriority") == "2-HIGH", "11220030")
-        .when(F.col("o_orderpriority") == "3-MEDIUM", "11220050")
-        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "12310100")
-        .otherwise("11220010")
+        t.raw("lineitem").join(t.raw("supplier"), F.expr("l_suppkey = s_suppkey"))
+        .selectExpr(
+            "l_orderkey", "l_linenumber", "l_returnflag", "s_nationkey",
+            "if(l_linenumber % 4 = 0, '22410100', '22021000') AS account_code",
+            "if(l_linenumber % 4 = 0, 'Other payable', 'Accounts payable') AS account_name",
+            "string(l_suppkey) AS party_code", "s_name AS party_name", f"{currency('l_orderkey')} AS doc_currency",
+            f"{amount('if((l_suppkey + l_orderkey % 5) % 7 = 0, 1, -1) * l_extendedprice')} AS doc_amount",
+        )
+        .selectExpr("*", f"{at_rate('doc_amount', 'l_orderkey')} AS local_amount")
     )
 
 
-def _customer_orders(t: DriverTables) -> DataFrame:
-    customer = t.raw("customer").select("c_custkey", "c_name")
-    return t.raw("orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).withColumns({
-        "party_code": string("o_custkey"),
-        "party_name": F.col("c_name"),
-        "doc_currency": currency("o_custkey"),
-        "source_tag": F.lit(fv.CUSTOMER),
-    })
+_CUSTOMER_ACCOUNT = (
+    "CASE o_orderpriority WHEN '2-HIGH' THEN '11220030' WHEN '3-MEDIUM' THEN '11220050' "
+    "WHEN '4-NOT SPECIFIED' THEN '12310100' ELSE '11220010' END"
+)
 
 
-def _customer_lines(t: DriverTables) -> DataFrame:
-    price = amount("o_totalprice")
-    other = F.col("o_orderpriority") == "4-NOT SPECIFIED"
-    return _with_local(
-        _customer_orders(t).withColumns({
-            "account_code": _customer_account(),
-            "account_name": F.when(other, "Other receivable").otherwise("Accounts receivable"),
-            "doc_amount": F.when(F.col("o_custkey") % 7 == 0, (-price).cast(AMOUNT)).otherwise(price),
-        }),
-        rate("o_custkey"),
+def _customer_orders(t: DriverTables) -> DataFrame:
+    return t.raw("orders").join(t.raw("customer"), F.expr("o_custkey = c_custkey")).selectExpr(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate",
+        "string(o_custkey) AS party_code", "c_name AS party_name", f"{currency('o_custkey')} AS doc_currency",
     )
 
 
-def _with_local(df: DataFrame, at: Column) -> DataFrame:
-    return df.withColumns({
-        "company_code": F.lit("1000"),
-        "local_currency": F.lit("CNY"),
-        "local_amount": (F.col("doc_amount") * at).cast(AMOUNT),
-    })
-
-
-def _period() -> Column:
-    return F.when(F.col("o_orderstatus") == "F", fv.LAST).otherwise(fv.THIS)
+def _customer_lines(t: DriverTables) -> DataFrame:
+    other = "o_orderpriority = '4-NOT SPECIFIED'"
+    return (
+        t.once("customer orders", _customer_orders)
+        .selectExpr(
+            "*", f"{_CUSTOMER_ACCOUNT} AS account_code",
+            f"if({other}, 'Other receivable', 'Accounts receivable') AS account_name",
+            f"{amount('if(o_custkey % 7 = 0, -1, 1) * o_totalprice')} AS doc_amount",
+        )
+        .selectExpr("*", f"{at_rate('doc_amount', 'o_custkey')} AS local_amount")
+    )
 
 
 def open_items(t: DriverTables) -> DataFrame:
-    orders = t.raw("orders").select("o_orderkey", "o_orderstatus")
-    last = F.col("o_orderstatus") == "F"
-    nation = F.col("s_nationkey")
+    """Vendors of some nations have no closing items, of some no opening items."""
+    tag = "if(o_orderstatus = 'F', 'last', 'this') AS period_tag"
     vendor = (
-        _vendor_lines(t).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .filter(~(nation.isin(NO_CLOSING_NATIONS) & ~last) & ~(nation.isin(NO_OPENING_NATIONS) & last))
-        .withColumn("period_tag", _period())
+        t.once("vendor lines", _vendor_lines).join(t.raw("orders"), F.expr("l_orderkey = o_orderkey"))
+        .where("NOT (s_nationkey IN (3, 8, 13, 19) AND o_orderstatus != 'F')")
+        .where("NOT (s_nationkey IN (15, 18, 19) AND o_orderstatus = 'F')")
+        .selectExpr(*_ITEM, tag, f"'{fv.VENDOR}' AS source_tag")
     )
-    customer = _customer_lines(t).withColumn("period_tag", _period())
-    return clean.clean_open_items(conform(vendor, "open_items"), conform(customer, "open_items"))
+    customer = t.once("customer lines", _customer_lines).selectExpr(*_ITEM, tag, f"'{fv.CUSTOMER}' AS source_tag")
+    return clean.clean_open_items(vendor, customer)
 
 
 def postings(t: DriverTables) -> DataFrame:
-    def flagged(df: DataFrame) -> DataFrame:
-        return df.withColumns({
-            "dc_flag": F.when(F.col("doc_amount") < 0, "H").otherwise("S"),
-            "reversal_of": F.lit(None).cast("string"),
-        })
-
-    vendor = flagged(_vendor_lines(t)).withColumns({
-        "doc_type": F.when(F.col("l_returnflag") == "N", "RE").when(F.col("l_returnflag") == "A", "OA").otherwise("KZ"),
-        "doc_no": F.concat(F.lit("V"), string("l_orderkey")),
-    })
-    customer = flagged(_customer_lines(t)).withColumns({
-        "doc_type": F.when(F.col("o_orderstatus") == "O", "RV").otherwise("DZ"),
-        "doc_no": F.concat(F.lit("C"), string("o_orderkey")),
-    })
+    def lines(df: DataFrame, doc_type: str, doc_no: str, source: str) -> DataFrame:
+        return df.selectExpr(
+            *_ITEM, "if(doc_amount < 0, 'H', 'S') AS dc_flag", f"{doc_type} AS doc_type", f"{doc_no} AS doc_no",
+            "cast(NULL AS string) AS reversal_of", f"'{source}' AS source_tag",
+        )
 
+    vendor = lines(
+        t.once("vendor lines", _vendor_lines), "CASE l_returnflag WHEN 'N' THEN 'RE' WHEN 'A' THEN 'OA' ELSE 'KZ' END",
+        "'V' || l_orderkey", fv.VENDOR,
+    )
+    customer = lines(
+        t.once("customer lines", _customer_lines), "if(o_orderstatus = 'O', 'RV', 'DZ')", "'C' || o_orderkey", fv.CUSTOMER
+    )
     # Clearing entries of December net to zero; those of November stand alone.
-    total = amount("o_totalprice")
-
-    def line(doc_type: str, account: str, name: str, value: Column) -> Column:
-        return F.struct(
-            F.lit(doc_type).alias("doc_type"), F.lit(account).alias("account_code"),
-            F.lit(name).alias("account_name"), value.cast(AMOUNT).alias("doc_amount"),
+    def entry(doc_type: str, account: str, name: str, value: str) -> str:
+        return (
+            f"struct('{doc_type}' AS doc_type, '{account}' AS account_code, '{name}' AS account_name, "
+            f"{amount(value)} AS doc_amount)"
         )
 
-    receivable = line("SA", "12310100", "Other receivable", total)
-    entries = F.when(month("o_orderdate") == 12, F.array(
-        receivable,
-        line("SA", "22410100", "Other payable", -total),
-        line("RV", "12310100", "Other receivable", F.lit("1.00")),
-    )).when(month("o_orderdate") == 11, F.array(receivable))
-    clearing = flagged(_with_local(
-        _customer_orders(t).withColumn("entry", F.explode(entries)).select("*", "entry.*"), rate("o_custkey")
-    )).withColumn("doc_no", F.concat(F.lit("SA"), string("o_orderkey")))
-    return clean.clean_postings(*[conform(df, "postings") for df in (vendor, customer, clearing)])
+    receivable = entry("SA", "12310100", "Other receivable", "o_totalprice")
+    payable = entry("SA", "22410100", "Other payable", "-o_totalprice")
+    fee = entry("RV", "12310100", "Other receivable", "1.00")
+    clearing = (
+        t.once("customer orders", _customer_orders)
+        .selectExpr(
+            "o_orderkey", "o_custkey", "party_code", "party_name", "doc_currency",
+            f"""inline(CASE month(o_orderdate) WHEN 12 THEN array({receivable}, {payable}, {fee})
+                       WHEN 11 THEN array({receivable}) END)""",
+        )
+        .selectExpr("*", f"{at_rate('doc_amount', 'o_custkey')} AS local_amount")
+    )
+    return clean.clean_postings(
+        vendor, customer, lines(clearing, "doc_type", "'SA' || o_orderkey", fv.CUSTOMER)
+    )
 
 
 def raw_accruals(t: DriverTables) -> DataFrame:
     """Accruals as exported: padded vendor codes, gaps in codes and currencies."""
-    unknown = F.col("l_partkey") % 97 == 0
-    supplier = t.raw("supplier").select("s_suppkey", "s_name")
-    doc = (amount("l_extendedprice") * F.lit("0.1").cast("decimal(2,1)")).cast(AMOUNT)
-    lines = t.raw("lineitem").filter((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N"))
-    return lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        F.when(~unknown, F.concat(F.lit("00"), F.lpad(string("l_suppkey"), 8, "0"))).alias("vendor_code"),
-        F.when(~unknown, F.col("s_name")).alias("vendor_name"),
-        F.when(F.col("l_orderkey") % 5 != 0, currency("l_orderkey")).alias("currency"),
-        F.lit("1000").alias("company_code"),
-        F.when(F.col("l_linenumber") == 7, "freight").alias("misc_charge"),
-        (doc * rate("l_orderkey")).cast(AMOUNT).alias("accrual_local"),
-        doc.alias("accrual_doc"),
+    doc = amount(f"{amount('l_extendedprice')} * 0.1")
+    return (
+        t.raw("lineitem").where("l_linestatus = 'O' AND l_returnflag = 'N'")
+        .join(t.raw("supplier"), F.expr("l_suppkey = s_suppkey"))
+        .selectExpr(
+            "if(l_partkey % 97 = 0, NULL, '00' || lpad(string(l_suppkey), 8, '0')) AS vendor_code",
+            "if(l_partkey % 97 = 0, NULL, s_name) AS vendor_name",
+            f"if(l_orderkey % 5 = 0, NULL, {currency('l_orderkey')}) AS currency",
+            "'1000' AS company_code", "if(l_linenumber = 7, 'freight', NULL) AS misc_charge",
+            f"{at_rate(doc, 'l_orderkey')} AS accrual_local", f"{doc} AS accrual_doc",
+        )
     )
 
 
 def fx_revaluation(t: DriverTables) -> DataFrame:
-    cent = F.lit("0.01").cast("decimal(3,2)")
-    vendor = t.raw("lineitem").filter(
-        (F.col("l_linenumber") == 1) & currency("l_orderkey").isin("USD", "EUR")
-    ).select(
-        string("l_suppkey").alias("party_code"), F.lit("22021000").alias("gl_account"),
-        currency("l_orderkey").alias("currency"), (amount("l_extendedprice") * cent).alias("posted_amount"),
+    vendor = t.raw("lineitem").where(f"l_linenumber = 1 AND {currency('l_orderkey')} IN ('USD', 'EUR')").selectExpr(
+        "string(l_suppkey) AS party_code", "'22021000' AS gl_account", f"{currency('l_orderkey')} AS currency",
+        f"{amount('l_extendedprice')} * 0.01 AS posted_amount",
     )
-    customer = t.raw("orders").filter(
-        (F.col("o_orderstatus") == "P") & (currency("o_custkey") != "CNY")
-    ).select(
-        F.when(month("o_orderdate") != 12, string("o_custkey")).alias("party_code"),
-        _customer_account().alias("gl_account"),
-        currency("o_custkey").alias("currency"), (amount("o_totalprice") * cent).alias("posted_amount"),
+    customer = t.raw("orders").where(f"o_orderstatus = 'P' AND {currency('o_custkey')} != 'CNY'").selectExpr(
+        "if(month(o_orderdate) = 12, NULL, string(o_custkey)) AS party_code", f"{_CUSTOMER_ACCOUNT} AS gl_account",
+        f"{currency('o_custkey')} AS currency", f"{amount('o_totalprice')} * 0.01 AS posted_amount",
     )
     return conform(vendor.unionByName(customer), "fx_revaluation")
 
 
 def fx_rates_wide(t: DriverTables) -> DataFrame:
     """One row per day with a column per currency name, the last one without an ISO code."""
-    def quote(value: str) -> Column:
-        return F.lit(value).cast("decimal(19,6)")
-
-    days = t.raw("events").select(F.col("ts").cast("date").alias("rate_date")).distinct()
-    drift = F.dayofmonth("rate_date").cast("decimal(3,0)") * F.lit("0.01").cast("decimal(3,2)")
-    return days.select(
-        "rate_date",
-        (quote("718.84") + drift).cast("decimal(19,6)").alias("美元"),
-        quote("752.57").alias("欧元"),
-        quote("4.62").alias("日元"),
-        quote("92.60").alias("港元"),
-        quote("100").alias("unlisted"),
+    return t.raw("events").selectExpr("date(ts) AS rate_date").distinct().selectExpr(
+        "rate_date", "718.84 + 0.01 * day(rate_date) AS `美元`", "752.57 AS `欧元`", "4.62 AS `日元`",
+        "92.60 AS `港元`", "100.00 AS unlisted",
     )
 
 
 def raw_trial_balance(t: DriverTables) -> DataFrame:
-    price = amount("l_extendedprice")
-
-    def of(flag: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("l_returnflag") == flag, price)), F.lit(0)).cast(AMOUNT)
-
-    place = F.col("l_partkey") % len(TRIAL_BALANCE_ACCOUNTS)
-    sums = t.raw("lineitem").groupBy(place.alias("place")).agg(
-        of("A").alias("lc_open"), of("N").alias("lc_debit"), of("R").alias("lc_credit")
-    ).withColumn("lc_close", (F.col("lc_open") + F.col("lc_debit") - F.col("lc_credit")).cast(AMOUNT))
-    code = pick(F.col("place"), [F.lit(a) for a in TRIAL_BALANCE_ACCOUNTS])
-    named = sums.withColumn("code", code)
-    return named.select(
-        F.concat(F.lit("10"), "code").alias("account_code"),
-        F.concat(F.when(F.col("code").startswith("66"), "Finance cost ").otherwise("Ledger account "), "code")
-        .alias("account_name"),
-        F.when(F.col("place") % 2 == 0, "CNY").otherwise("USD").alias("currency"),
-        *[(F.col(f"lc_{c}") / 7).cast(AMOUNT).alias(f"fc_{c}") for c in ("open", "debit", "credit", "close")],
-        "lc_open", "lc_debit", "lc_credit", "lc_close",
+    """One account per residue of the part number; the three flags give opening, debit and credit."""
+    def of(flag: str) -> str:
+        return amount(f"coalesce(sum({amount('l_extendedprice')}) FILTER (WHERE l_returnflag = '{flag}'), 0)")
+
+    accounts = ", ".join(f"'{a}'" for a in TRIAL_BALANCE_ACCOUNTS)
+    sums = t.raw("lineitem").groupBy(F.expr(f"l_partkey % {len(TRIAL_BALANCE_ACCOUNTS)}").alias("place")).agg(
+        F.expr(of("A")).alias("lc_open"), F.expr(of("N")).alias("lc_debit"), F.expr(of("R")).alias("lc_credit")
+    )
+    return (
+        sums.selectExpr(
+            "*", f"element_at(array({accounts}), int(place) + 1) AS code",
+            f"{amount('lc_open + lc_debit - lc_credit')} AS lc_close",
+        )
+        .selectExpr(
+            "'10' || code AS account_code",
+            "if(code LIKE '66%', 'Finance cost ', 'Ledger account ') || code AS account_name",
+            "if(place % 2 = 0, 'CNY', 'USD') AS currency",
+            *[f"{amount(f'lc_{c} / 7')} AS fc_{c}" for c in ("open", "debit", "credit", "close")],
+            "lc_open", "lc_debit", "lc_credit", "lc_close",
+        )
     )
 
 
 # ------------------------------------------------------------------------- assets and costs
 
-def _assets(t: DriverTables, depreciation: int) -> DataFrame:
-    year = (F.lit(2000) + F.col("p_size") % 20).cast("string")
-    return t.raw("part").select(
-        F.lit("1000").alias("company_code"),
-        string("p_partkey").alias("asset_no"),
-        F.when(F.col("p_partkey") % 4 == 3, "Z100")
-        .otherwise(F.concat(F.lit("Z8"), (F.col("p_size") % 9).cast("string"), F.lit("0"))).alias("asset_class"),
-        F.col("p_name").alias("asset_name"),
-        F.col("p_type").alias("spec"),
-        F.concat(year, F.lit("-01-01")).alias("in_service"),
-        (amount("p_retailprice") * 100).cast(AMOUNT).alias("cost"),
-        (amount("p_retailprice") * -depreciation).cast(AMOUNT).alias("accum_dep"),
-        (F.col("p_size") * 12).alias("life_months"),
-        F.col("p_size").alias("used_months"),
-        F.concat(year, F.lit("-12-31")).alias("disposal_date"),
-        "p_brand",
+def _assets(t: DriverTables, which: str, depreciation: int, *more: str) -> DataFrame:
+    return t.raw("part").where(which).selectExpr(
+        "'1000' AS company_code", "string(p_partkey) AS asset_no",
+        "if(p_partkey % 4 = 3, 'Z100', 'Z8' || (p_size % 9) || '0') AS asset_class",
+        "p_name AS asset_name", "p_type AS spec", "(2000 + p_size % 20) || '-01-01' AS in_service",
+        f"{amount('p_retailprice')} * 100 AS cost", f"{amount('p_retailprice')} * -{depreciation} AS accum_dep",
+        "p_size * 12 AS life_months", "p_size AS used_months", *more,
     )
 
 
 def asset_register(t: DriverTables) -> DataFrame:
-    this = _assets(t, 12).filter(F.col("p_brand") != "Brand#2").drop("disposal_date", "p_brand")
-    last = _assets(t, 10).filter(F.col("p_brand") != "Brand#1").drop("disposal_date", "p_brand")
-    return clean.clean_asset_register(this, last)
+    """Assets of one brand are new this year, those of another are gone."""
+    return clean.clean_asset_register(
+        _assets(t, "p_brand != 'Brand#2'", 12), _assets(t, "p_brand != 'Brand#1'", 10)
+    )
 
 
 def asset_scrapped(t: DriverTables) -> DataFrame:
-    this = _assets(t, 12).filter(F.col("p_brand") == "Brand#2").drop("p_brand")
-    last = _assets(t, 10).filter(F.col("p_brand") == "Brand#3").drop("p_brand")
-    return clean.clean_asset_scrapped(this, last)
+    disposal = "(2000 + p_size % 20) || '-12-31' AS disposal_date"
+    return clean.clean_asset_scrapped(
+        _assets(t, "p_brand = 'Brand#2'", 12, disposal), _assets(t, "p_brand = 'Brand#3'", 10, disposal)
+    )
 
 
 def raw_asset_postings(t: DriverTables) -> DataFrame:
-    reversed_line = (F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 6)
-    return t.raw("lineitem").select(
-        F.lit("1000").alias("company_code"),
-        F.year(F.col("l_shipdate").cast("date")).alias("fiscal_year"),
-        month("l_shipdate").alias("period"),
-        F.col("l_shipdate").cast("date").cast("string").alias("posting_date"),
-        F.concat(F.lit("A"), string("l_orderkey")).alias("doc_no"),
-        F.lit("AA").alias("doc_type"),
-        F.when(F.col("l_linenumber") % 3 == 0, "17010100").otherwise("16010100").alias("gl_account"),
-        F.lit("Asset account").alias("gl_text"),
-        F.lit("S").alias("dc_flag"),
-        F.lit("CNY").alias("currency"),
-        amount("l_extendedprice").alias("amount"),
-        F.lit(None).cast("string").alias("text"),
-        F.when(reversed_line, string("l_orderkey")).alias("reversal_of"),
-        string("l_partkey").alias("asset_no"),
-        F.lit("T1").alias("txn_code"),
-        F.lit("MKPF").alias("ref_proc"),
-        string("l_linenumber").alias("txn_type"),
+    return t.raw("lineitem").selectExpr(
+        "'1000' AS company_code", "year(l_shipdate) AS fiscal_year", "month(l_shipdate) AS period",
+        "string(date(l_shipdate)) AS posting_date", "'A' || l_orderkey AS doc_no", "'AA' AS doc_type",
+        "if(l_linenumber % 3 = 0, '17010100', '16010100') AS gl_account", "'Asset account' AS gl_text",
+        "'S' AS dc_flag", "'CNY' AS currency", f"{amount('l_extendedprice')} AS amount",
+        "cast(NULL AS string) AS text",
+        "if(l_linestatus = 'F' AND l_linenumber = 6, string(l_orderkey), NULL) AS reversal_of",
+        "string(l_partkey) AS asset_no", "'T1' AS txn_code", "'MKPF' AS ref_proc", "string(l_linenumber) AS txn_type",
     )
 
 
 def cost_postings(t: DriverTables) -> DataFrame:
-    late = F.dayofmonth(F.col("l_shipdate").cast("date")) > 28
-    number = F.when(late, 13 + month("l_shipdate") % 4).otherwise(month("l_shipdate")).cast("string")
-    code = F.concat(F.lit("6601"), F.lpad((F.col("l_partkey") % 20).cast("string"), 4, "0"))
-    area = F.when(F.col("l_returnflag") == "R", FUNC_AREAS["R"]).when(
-        F.col("l_returnflag") == "A", FUNC_AREAS["A"]
-    ).otherwise(FUNC_AREAS["N"])
-    return clean.clean_cost_postings(t.raw("lineitem").select(
-        F.col("l_shipdate").cast("date").cast("string").alias("entry_date"),
-        F.when(F.col("l_linenumber") == 1, F.concat(number, F.lit(".0"))).otherwise(number).alias("period"),
-        F.concat(F.lit("K"), string("l_orderkey")).alias("doc_no"),
-        F.when(F.col("l_partkey") % 101 != 0, code).alias("account_code"),
-        F.concat(F.lit("Expense "), code).alias("account_name"),
-        amount("l_extendedprice").alias("amount"),
-        F.lit(None).cast("string").alias("text"),
-        area.alias("func_area"),
+    code = "'6601' || lpad(string(l_partkey % 20), 4, '0')"
+    number = "if(day(l_shipdate) > 28, 13 + month(l_shipdate) % 4, month(l_shipdate))"
+    return clean.clean_cost_postings(t.raw("lineitem").selectExpr(
+        "string(date(l_shipdate)) AS entry_date", f"{number} || if(l_linenumber = 1, '.0', '') AS period",
+        "'K' || l_orderkey AS doc_no", f"if(l_partkey % 101 = 0, NULL, {code}) AS account_code",
+        f"'Expense ' || {code} AS account_name", f"{amount('l_extendedprice')} AS amount",
+        "cast(NULL AS string) AS text",
+        "CASE l_returnflag WHEN 'R' THEN 'Selling' WHEN 'A' THEN 'Admin' ELSE 'R&D' END AS func_area",
     ))
 
 
@@ -362,29 +292,23 @@ def cost_postings(t: DriverTables) -> DataFrame:
 
 def payable_sheets(t: DriverTables) -> DataFrame:
     """Large deliveries: with the highest discount, without discount, or with the highest tax."""
-    kind = (
-        F.when(F.col("l_discount") > 0.095, fv.CONSTRUCTION)
-        .when(F.col("l_discount") < 0.005, fv.REBATE)
-        .when(F.col("l_tax") > 0.075, fv.GL)
-    )
-    return t.raw("lineitem").filter(F.col("l_quantity") >= 40).select(
-        string("l_suppkey").alias("party_code"),
-        F.concat(F.lit("Supplier#"), F.lpad(string("l_suppkey"), 9, "0")).alias("party_name"),
-        F.when(F.col("l_partkey") % 101 != 0, currency("l_orderkey")).alias("currency"),
-        (amount("l_extendedprice") * F.lit("0.05").cast("decimal(3,2)")).cast("decimal(19,3)").alias("amount"),
-        kind.alias("kind"),
-    ).filter(F.col("kind").isNotNull())
+    return t.raw("lineitem").where("l_quantity >= 40").selectExpr(
+        "string(l_suppkey) AS party_code", "'Supplier#' || lpad(string(l_suppkey), 9, '0') AS party_name",
+        f"if(l_partkey % 101 = 0, NULL, {currency('l_orderkey')}) AS currency",
+        f"cast({amount('l_extendedprice')} * 0.05 AS decimal(19,3)) AS amount",
+        f"""CASE WHEN l_discount > 0.095 THEN '{fv.CONSTRUCTION}' WHEN l_discount < 0.005 THEN '{fv.REBATE}'
+            WHEN l_tax > 0.075 THEN '{fv.GL}' END AS kind""",
+    ).where("kind IS NOT NULL")
 
 
 def receivable_sheets(t: DriverTables) -> DataFrame:
-    kind = F.when(month("o_orderdate") == 6, fv.GL).when(month("o_orderdate") == 7, fv.REBATE)
-    return t.raw("orders").select(
-        string("o_custkey").alias("party_code"),
-        F.concat(F.lit("Customer#"), F.lpad(string("o_custkey"), 9, "0")).alias("party_name"),
-        currency("o_custkey").alias("currency"),
-        (amount("o_totalprice") * F.lit("-0.6").cast("decimal(2,1)")).cast("decimal(19,3)").alias("amount"),
-        kind.alias("kind"),
-    ).filter(F.col("kind").isNotNull())
+    """Orders of June and July."""
+    return t.raw("orders").selectExpr(
+        "string(o_custkey) AS party_code", "'Customer#' || lpad(string(o_custkey), 9, '0') AS party_name",
+        f"{currency('o_custkey')} AS currency",
+        f"cast({amount('o_totalprice')} * -0.6 AS decimal(19,3)) AS amount",
+        f"CASE month(o_orderdate) WHEN 6 THEN '{fv.GL}' WHEN 7 THEN '{fv.REBATE}' END AS kind",
+    ).where("kind IS NOT NULL")
 
 
 def adjustments(t: DriverTables) -> DataFrame:
@@ -394,15 +318,12 @@ def adjustments(t: DriverTables) -> DataFrame:
 
 
 def projects(t: DriverTables) -> DataFrame:
-    customer = t.raw("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = t.raw("nation").select("n_nationkey", "n_name")
-    date = F.col("o_orderdate").cast("date")
     return (
-        t.raw("orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("c_mktsegment").alias("company_group"), F.col("n_name").alias("company_name"),
-            F.year(date).cast("string").alias("project_year"), F.month(date).cast("string").alias("project_month"),
+        t.raw("orders").join(t.raw("customer"), F.expr("o_custkey = c_custkey"))
+        .join(t.raw("nation"), F.expr("c_nationkey = n_nationkey"))
+        .selectExpr(
+            "c_mktsegment AS company_group", "n_name AS company_name",
+            "string(year(o_orderdate)) AS project_year", "string(month(o_orderdate)) AS project_month",
         )
     )
 

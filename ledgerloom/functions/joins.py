@@ -8,21 +8,19 @@ force-broadcast: Spark broadcasts a side when its size is below
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from ledgerloom.functions.columns import any_null
+from pyspark.sql import DataFrame
 
 NULL_KEY_BUCKETS = 256
 
 
-def null_spread(keys: list[str], *by: str) -> Column:
-    """0 for a complete key; a hash bucket for a key with a NULL.
+def null_spread(keys: list[str], by: list[str]) -> str:
+    """SQL for `_spread`: 0 for a complete key, a hash bucket for a key with a NULL.
 
     NULL keys match nothing, yet they would all hash to one task. Joining on this bucket
     as well leaves the matches unchanged and spreads the NULL rows.
     """
-    bucket = F.pmod(F.xxhash64(*by), F.lit(NULL_KEY_BUCKETS)).cast("int")
-    return F.when(any_null(*keys), bucket).otherwise(F.lit(0))
+    incomplete = " OR ".join(f"{k} IS NULL" for k in keys)
+    return f"if({incomplete}, cast(pmod(xxhash64({', '.join(by)}), {NULL_KEY_BUCKETS}) AS int), 0) AS _spread"
 
 
 def full_outer(left: DataFrame, right: DataFrame, keys: list[str], labels: list[str]) -> DataFrame:
@@ -30,18 +28,20 @@ def full_outer(left: DataFrame, right: DataFrame, keys: list[str], labels: list[
 
     Keys with several labels per side pair up, as the published workpapers do.
     """
-    by = [*keys, *labels]
-    left = left.withColumn("_spread", null_spread(keys, *by))
-    right = right.withColumn("_spread", null_spread(keys, *by))
-    right = right.withColumnsRenamed({name: f"_right_{name}" for name in labels})
-    joined = left.join(right, [*keys, "_spread"], "full_outer")
-    return joined.withColumns(
-        {name: F.coalesce(F.col(name), F.col(f"_right_{name}")) for name in labels}
-    ).drop("_spread", *[f"_right_{name}" for name in labels])
+    taken = {*keys, *labels}
+    mine = [c for c in left.columns if c not in taken]
+    theirs = [c for c in right.columns if c not in taken]
+    spread = null_spread(keys, [*keys, *labels])
+    renamed = [f"{name} AS _right_{name}" for name in labels]
+    joined = left.selectExpr("*", spread).join(
+        right.selectExpr(*keys, *renamed, *theirs, spread), [*keys, "_spread"], "full_outer"
+    )
+    return joined.selectExpr(
+        *keys, *[f"coalesce({name}, _right_{name}) AS {name}" for name in labels], *mine, *theirs
+    )
 
 
 def left_outer(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Left outer join on `keys`, with NULL-key rows of the left side spread by `by`."""
-    left = left.withColumn("_spread", null_spread(keys, *by))
-    right = right.filter(~any_null(*keys)).withColumn("_spread", F.lit(0))
-    return left.join(right, [*keys, "_spread"], "left").drop("_spread")
+    complete = right.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).selectExpr("*", "0 AS _spread")
+    return left.selectExpr("*", null_spread(keys, by)).join(complete, [*keys, "_spread"], "left").drop("_spread")

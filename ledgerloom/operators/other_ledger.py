@@ -57,7 +57,7 @@ def movement(postings: DataFrame, rules: LedgerRules) -> DataFrame:
     lines = (
         postings.filter(_own_accounts(rules) & increases)
         .groupBy("doc_no", *by).agg(F.sum("local_amount").alias("moved"))
-        .withColumn("_spread", null_spread(["doc_no"], *by))
+        .selectExpr("*", null_spread(["doc_no"], by))
     )
     cleared = cleared_documents(postings, rules).select("doc_no", F.lit(0).alias("_spread"))
     return (

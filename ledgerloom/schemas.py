@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import DecimalType, IntegerType, LongType, StringType, StructField, StructType
 
-AMOUNT = DecimalType(19, 2)  # one ledger line
-MONEY = DecimalType(38, 2)  # sums: 19 digits overflow once enough lines add up
-RATE = DecimalType(19, 4)
+AMOUNT = "decimal(19,2)"  # one ledger line
+MONEY = "decimal(38,2)"  # sums: 19 digits overflow once enough lines add up
+RATE = "decimal(19,4)"
 
-_TYPES = {"text": StringType(), "amount": AMOUNT, "rate": RATE, "int": IntegerType(), "long": LongType()}
+_TYPES = {
+    "text": StringType(), "amount": DecimalType(19, 2), "rate": DecimalType(19, 4), "int": IntegerType(),
+    "long": LongType(),
+}
 
 
 def _struct(**fields: str) -> StructType:
@@ -67,6 +70,7 @@ TABLES: dict[str, StructType] = {
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Cast the columns of `df` that `table` declares, in declared order; keep only those."""
-    return df.select(
-        [F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[table].fields if f.name in df.columns]
+    present = set(df.columns)
+    return df.selectExpr(
+        *[f"cast({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in TABLES[table].fields if f.name in present]
     )
