@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import fixed_values as fv
@@ -228,8 +230,12 @@ def ap_control_rows(
     trial_balance: DataFrame, temp: DataFrame, rules: LedgerRules, zero_unaudited: bool = False
 ) -> DataFrame:
     """Control accounts of the trial balance; one of them carries the total reclassification."""
-    # One value, by scalar subquery: nothing is joined and nothing but the sum is moved.
-    reclassified = temp.select((-F.sum("neg_reclass")).cast(MONEY)).scalar()
+    # The totals of the schedule come by scalar subquery: nothing is joined, only one row moves.
+    # All columns are totalled together, so that the subquery reads the very shuffles that the
+    # schedule itself reads instead of scanning the ledger again for one column.
+    figures = [f.name for f in temp.schema.fields if f.dataType.typeName() == "decimal"]
+    totals = temp.select(F.struct(*[F.sum(c).alias(c) for c in figures])).scalar()
+    reclassified = money(-totals["neg_reclass"])
 
     def only(account: str, value: Column) -> Column:
         return money(F.when(F.col("account_code") == account, value).otherwise(zero()))
@@ -262,11 +268,9 @@ def ap_control_rows(
 def ap_schedule(parties: DataFrame, control: DataFrame, misc: DataFrame, accrued: DataFrame) -> DataFrame:
     """The payables schedule; `section` keeps the order of its parts."""
     blank = ap_blank(parties.sparkSession)
-    schedule = None
-    for number, part in enumerate([parties.select(*DETAIL), blank, misc, blank, control, accrued], start=1):
-        part = part.withColumn("section", F.lit(number))
-        schedule = part if schedule is None else schedule.unionByName(part)
-    return schedule
+    parts = [parties, blank, misc, blank, control, accrued]
+    numbered = [part.select(*DETAIL, F.lit(n).alias("section")) for n, part in enumerate(parts, start=1)]
+    return reduce(DataFrame.union, numbered)
 
 
 # ----------------------------------------------------------------------------- FX rollback

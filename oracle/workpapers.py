@@ -164,7 +164,7 @@ WITH matrix AS (
       SELECT account_code, account_name, amount,
         CASE WHEN CAST(CAST(period AS DOUBLE) AS INTEGER) > 12 THEN '13期调整'
              ELSE CAST(CAST(period AS DOUBLE) AS INTEGER) || '月' END AS label
-      FROM cost_postings WHERE func_area = '{area}'
+      FROM cost_postings WHERE func_area = '{area}' AND account_name <> 'temp'
     )
     GROUP BY account_code, account_name
   )

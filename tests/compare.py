@@ -36,7 +36,7 @@ def _rows(table) -> Counter:
 
 def differences(spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
     """What differs, in words; empty when the results agree."""
-    mine, theirs = spark_df.toArrow(), con.execute(sql).to_arrow_table()
+    mine, theirs = spark_df.toArrow(), con.sql(sql).to_arrow_table()
     found = []
     if sorted(mine.column_names) != sorted(theirs.column_names):
         return [f"columns {sorted(mine.column_names)} and {sorted(theirs.column_names)}"]
