@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom import fixed_values as fv
+from ledgerloom.schemas import TABLES
 from ledgerloom.sources import contracts, rates
 from ledgerloom.sources.clean import (
     clean_accruals, clean_asset_postings, clean_asset_register, clean_asset_scrapped,
     clean_cost_postings, clean_open_items, clean_postings, clean_trial_balance, tagged,
 )
-from ledgerloom.sources.readers import load_sources
-from ledgerloom.sources.sinks import write_table
+from ledgerloom.sources.readers import empty, load_sources
+from ledgerloom.sources.sinks import read_table, write_table
 
 Tables = dict[str, DataFrame]
 
@@ -34,7 +35,6 @@ def build_arap_tables(
     """Open items, postings, accruals, revaluation, rates and, where given, the trial balance."""
     frames, status = load_sources(spark, paths, contracts.ARAP_CONTRACTS)
     _required(frames, *[n for n in contracts.ARAP_CONTRACTS if n != "TB"])
-    dated = end_date if rate_table is not None else None
     tables = {
         "open_items": clean_open_items(
             tagged(frames["FBL1H_THIS"], fv.THIS, fv.VENDOR), tagged(frames["FBL1H_LAST"], fv.LAST, fv.VENDOR),
@@ -45,8 +45,7 @@ def build_arap_tables(
         ),
         "accruals": clean_accruals(frames["ZFI072N_THIS"]),
         "fx_revaluation": frames["FOREIGN_CURRENCY"],
-        "fx_rates": rates.fx_rates_long(rate_table, dated) if rate_table is not None
-        else spark.createDataFrame([], "currency_name string, rate decimal(19,4), currency string"),
+        "fx_rates": empty(spark, "fx_rates") if rate_table is None else rates.fx_rates_long(rate_table, end_date),
     }
     return _with_trial_balance(tables, frames), status
 
@@ -82,3 +81,14 @@ def save_tables(tables: Tables, base: str, project: dict[str, str] | None = None
     """Write the canonical tables below `base`, replacing those of the project."""
     for name, df in tables.items():
         write_table(df, f"{base}/{name}", project, _PARTITIONS.get(name, ()))
+
+
+def load_tables(spark: SparkSession, base: str, names: list[str], project: dict[str, str] | None = None) -> Tables:
+    """Read saved tables back, with their declared schemas.
+
+    The trial balance keeps the columns of its export, so its schema comes from its files.
+    """
+    return {
+        name: read_table(spark, f"{base}/{name}", project, None if name == "trial_balance" else TABLES[name])
+        for name in names
+    }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.operators import assets, checks, costs, other_ledger, payables, receivables
@@ -44,7 +45,7 @@ class Workpapers:
         try:
             return self[name]
         except MissingTable:
-            return spark.createDataFrame([], "party_code string")
+            return spark.createDataFrame([], StructType([]))
 
     def register_views(self, published_names: bool = False) -> list[str]:
         """Create a temporary view per workpaper whose tables are loaded; returns their names."""

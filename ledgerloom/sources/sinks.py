@@ -3,35 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.sources.projects import KEYS
 
 
+# Characters that a partition directory name writes as %XX.
+_ESCAPED = set("\"#%'*/:=?\\{}[]^\x7f") | {chr(c) for c in range(1, 32)}
+
+
+def project_path(path: str, project: dict[str, str] | None) -> str:
+    """The partition directory of one project, or the table itself."""
+    def escape(value: str) -> str:
+        return "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in value)
+
+    if not project:
+        return path
+    return "/".join([path, *[f"{key}={escape(str(project[key]))}" for key in KEYS]])
+
+
 def write_table(df: DataFrame, path: str, project: dict[str, str] | None = None, by: tuple[str, ...] = ()) -> None:
     """Replace a table. With a project, replace that project's partition and leave the others.
 
+    The partition is written as a directory of its own, so that an empty load empties it too.
     `by` adds partition columns; open items split by `period_tag` and `source_tag` let the
     opening and the closing side each read their own files only.
     """
-    writer = df
-    partitions = list(by)
-    if project:
-        writer = df.withColumns({k: F.lit(str(project[k])) for k in KEYS})
-        partitions = [*KEYS, *by]
-    out = writer.write.mode("overwrite")
-    if project:
-        out = out.option("partitionOverwriteMode", "dynamic")
-    (out.partitionBy(*partitions) if partitions else out).parquet(path)
-
-
-def read_table(spark: SparkSession, path: str, project: dict[str, str] | None = None) -> DataFrame:
-    """A table, or one project of it; the project filter prunes partitions."""
-    df = spark.read.parquet(path)
-    if project:
-        for key in KEYS:
-            df = df.filter(F.col(key).cast("string") == str(project[key]))
-        df = df.drop(*KEYS)
-    return df
+    df.write.mode("overwrite").partitionBy(*by).parquet(project_path(path, project))
+
+
+def read_table(
+    spark: SparkSession, path: str, project: dict[str, str] | None = None, schema: StructType | None = None
+) -> DataFrame:
+    """A table, or one project of it. Without a project the four project keys are columns, and
+    filters on them prune partitions."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(project_path(path, project))
 
 
 def with_labels(df: DataFrame, labels: dict[str, str]) -> DataFrame:
