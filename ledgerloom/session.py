@@ -11,7 +11,7 @@ def local_session(cpus: str = "*", app: str = "ledgerloom") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "8g")
+        .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         # Building plans is most of the time of a small run; skip recording Python call sites.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
