@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions.columns import (
-    any_null, as_columns, money, or_zero, prefix_in, shortfall, sub_account, text, total_of, zero,
+    any_null, as_columns, money, or_zero, shortfall, sub_account, text, total_of, zero,
 )
 from ledgerloom.functions.joins import full_outer, left_outer
 from ledgerloom.rules import LedgerRules

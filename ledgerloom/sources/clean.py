@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions.columns import drop_prefix, strip_leading_zeros, text
 from ledgerloom.schemas import AMOUNT, TABLES, conform
 from ledgerloom.sources.contracts import TRIAL_BALANCE_COLUMNS
-from ledgerloom.sources.readers import empty
 
 
 def tagged(df: DataFrame, period: str | None = None, source: str | None = None) -> DataFrame:
@@ -85,8 +86,6 @@ def _checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    import tempfile
-
     return tempfile.mkdtemp(prefix="ledgerloom-checkpoint-")
 
 
@@ -153,7 +152,3 @@ def load_adjustments(sheets: DataFrame, suffix: str, amount: str = "amount") ->
     if ledger in fv.ADJUSTMENT_LEDGERS.values():
         sheets = roll_up_adjustments(sheets, amount, also_by=("kind",))
     return type_by_name(sheets).withColumn("ledger", text(ledger))
-
-
-def missing_as_empty(spark: SparkSession, frames: dict[str, DataFrame], name: str, table: str) -> DataFrame:
-    return frames[name] if name in frames else empty(spark, table)

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions.columns import lookup
 from ledgerloom.schemas import RATE
-from ledgerloom.sources.readers import empty
+from ledgerloom.sources.readers import empty, read_raw
 
 
 def read_rate_table(spark: SparkSession, path: str) -> DataFrame:
     """Daily rates per 100 units: a date column, then one column per currency name."""
-    return spark.read.parquet(path) if not path.endswith(".csv") else spark.read.csv(path, header=True)
+    return read_raw(spark, path)
 
 
 def fx_rates_long(wide: DataFrame, date: str | None, date_column: str = "rate_date") -> DataFrame:

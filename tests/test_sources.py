@@ -1,5 +1,6 @@
 """Contracts, readers, cleaning, rates, projects and sinks on small files."""
 
+import re
 from datetime import date
 from decimal import Decimal
 
@@ -168,6 +169,13 @@ def test_rates_of_one_day(spark):
     assert rates.fx_rates_long(wide, "2025-01-01").isEmpty()
 
 
+def test_rate_table_and_project_table_from_files(spark, tmp_path):
+    wide = rates.read_rate_table(spark, write_csv(tmp_path, "r.csv", ["rate_date, 美元 ", "2024-12-31,718.84"]))
+    assert rates.fx_rates_long(wide, "2024-12-31").first()[:] == ("美元", D("7.1884"), "USD")
+    spark.createDataFrame([("g", "a", 2024, 12, "x")], [*projects.KEYS, "more"]).write.parquet(str(tmp_path / "p"))
+    assert projects.read_projects(spark, str(tmp_path / "p")).first()[:] == ("g", "a", "2024", "12")
+
+
 def test_currency_list_has_25_names():
     assert len(fv.CURRENCY_CODES) == 25 == len(set(fv.CURRENCY_CODES.values()))
 
@@ -235,7 +243,7 @@ def arap_paths(tmp_path):
     }
 
 
-def test_ledger_load_to_schedule(spark, arap_paths, tmp_path):
+def test_ledger_load_to_schedule(spark, arap_paths, tmp_path, capsys):
     """From CSV exports to adjusted schedules, by way of saved tables."""
     wide = spark.createDataFrame([(date(2024, 12, 31), D("719.50"))], "rate_date date, `美元` decimal(19,6)")
     tables, status = flows.build_arap_tables(spark, arap_paths, "2024-12-31", wide)
@@ -244,6 +252,12 @@ def test_ledger_load_to_schedule(spark, arap_paths, tmp_path):
     flows.save_tables(tables, str(tmp_path / "db"), project)
     saved = flows.load_tables(spark, str(tmp_path / "db"), list(tables), project)
     saved["adjustments"] = readers.empty(spark, "adjustments")
+    capsys.readouterr()
+    Workpapers(saved)["ap_temp"].explain("formatted")
+    plan = capsys.readouterr().out
+    assert re.search(r"PartitionFilters: .*period_tag#\d+ = this", plan)
+    assert "PushedFilters: [IsNotNull(account_name), StringContains(account_name,应付账款)]" in plan
+    assert "StringStartsWith(account_code,2202), In(doc_type, [OA,RE])" in plan
     papers = Workpapers(saved, materialize=True)
 
     rows = {r.party_code: r for r in papers["应付账款明细表"].filter("section = 1").collect()}
