@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add, or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.schemas import MONEY
 
@@ -74,3 +74,8 @@ def as_columns(df: DataFrame, spec: dict[str, Column | str]) -> DataFrame:
     return df.select(
         [(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in spec.items()]
     )
+
+
+def null_row(spark: SparkSession, types: dict[str, str]) -> DataFrame:
+    """One row of typed NULLs, in one partition."""
+    return spark.range(0, 1, 1, 1).selectExpr(*[f"cast(NULL AS {kind}) AS {name}" for name, kind in types.items()])

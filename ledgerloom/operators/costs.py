@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom import fixed_values as fv
-from ledgerloom.functions.columns import money, or_zero, text, total_of
+from ledgerloom.functions.columns import money, null_row, or_zero, text, total_of
 from ledgerloom.rules import LedgerRules
 
 PERIOD_COLUMNS = [f"p{i:02d}" for i in range(1, len(fv.PERIODS) + 1)]
@@ -43,9 +43,8 @@ def cost_detail(cost_postings: DataFrame, func_area: str) -> DataFrame:
         F.lit(None).cast("int").alias("seq"), text().alias("account_code"),
         text(fv.TOTAL_LABEL).alias("account_name"), *figures, F.lit(3).alias("section"),
     )
-    blank = total.sparkSession.range(1).select(
-        [F.lit(None).cast(f.dataType).alias(f.name) for f in total.schema.fields[:-1]]
-    ).withColumn("section", F.lit(2))
+    types = {f.name: f.dataType.simpleString() for f in total.schema.fields[:-1]}
+    blank = null_row(total.sparkSession, types).withColumn("section", F.lit(2))
     return detail.select(*columns).unionByName(blank).unionByName(total)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import fixed_values as fv
-from ledgerloom.functions.columns import money, or_zero, prefix_in, shortfall, zero
+from ledgerloom.functions.columns import money, null_row, or_zero, prefix_in, shortfall, zero
 from ledgerloom.functions.joins import full_outer, null_spread
 from ledgerloom.rules import LedgerRules
 
@@ -119,7 +119,6 @@ def other_ledger_schedule(detail: DataFrame, side: str, rules: LedgerRules) -> D
         "opening": by_owner(F.col("opening"), zero()),
         "closing": by_owner(F.col("closing"), zero()),
     }).select(*COLUMNS, "section")
-    separator = detail.sparkSession.range(1).select(
-        [F.lit(None).cast(f.dataType).alias(f.name) for f in presented.schema.fields[:-1]]
-    ).withColumn("section", F.lit(2))
+    types = {f.name: f.dataType.simpleString() for f in presented.schema.fields[:-1]}
+    separator = null_row(detail.sparkSession, types).withColumn("section", F.lit(2))
     return presented.unionByName(separator)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions.columns import (
-    any_null, as_columns, money, or_zero, shortfall, sub_account, text, total_of, zero,
+    any_null, as_columns, money, null_row, or_zero, shortfall, sub_account, text, total_of, zero,
 )
 from ledgerloom.functions.joins import full_outer, left_outer
 from ledgerloom.rules import LedgerRules
@@ -179,12 +179,10 @@ def _doc_unless_zero() -> Column:
 
 # ----------------------------------------------------------------- sections of the schedule
 
-def ap_blank(spark) -> DataFrame:
+def ap_blank(spark: SparkSession) -> DataFrame:
     """The separator row of the schedule: 16 typed NULLs."""
-    numbers = set(DETAIL) - {"party_code", "party_name", "tb_class", "nature", "currency"}
-    return spark.range(1).select(
-        [F.lit(None).cast(MONEY if c in numbers else "string").alias(c) for c in DETAIL]
-    )
+    texts = {"party_code", "party_name", "tb_class", "nature", "currency"}
+    return null_row(spark, {c: "string" if c in texts else MONEY for c in DETAIL})
 
 
 def misc_accrual(accruals: DataFrame) -> DataFrame:
