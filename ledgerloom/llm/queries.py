@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.decontaminate import with_hits
 from ledgerloom.llm.line_dedup import with_line_bitmaps
 
 
@@ -17,7 +18,16 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup}
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = with_hits(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark"))
+    hit = F.col("contamination")
+    return found.select(
+        "doc_id", hit["n_words"].alias("n_words"), hit["n_hit"].alias("n_hit"), F.size(hit["item_ids"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(hit["item_ids"], ","), 256).alias("items_sha256"), (hit["n_hit"] > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op6_decontamination": op6_decontamination}
 
 SQL = {
     "op1_line_dedup": r"""
@@ -35,4 +45,29 @@ WITH lines AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (dropped))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op6_decontamination": r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, least(10, len(words)) AS size, array_to_string(words[i : i + 9], ' ') AS win
+  FROM (SELECT item_id, words, unnest(range(1, greatest(2, len(words) - 8))) AS i FROM item_words WHERE len(words) > 0)
+), sizes AS (SELECT DISTINCT size FROM item_windows
+), doc_windows AS (
+  SELECT doc_id, i, size, array_to_string(words[i : i + size - 1], ' ') AS win
+  FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM doc_words, sizes WHERE len(words) >= size)
+), found AS (SELECT doc_id, i, size, item_id FROM doc_windows JOIN item_windows USING (size, win)
+), hits AS (
+  SELECT doc_id, count(DISTINCT word) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + size)) AS word FROM (SELECT DISTINCT doc_id, i, size FROM found)) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
 }
