@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.archives import archive
 from ledgerloom.llm.decontaminate import with_hits
 from ledgerloom.llm.line_dedup import with_line_bitmaps
+from ledgerloom.llm.packing import pack
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,7 +30,21 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op6_decontamination": op6_decontamination}
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("ids")
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = archive(_table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op9_packing": op9_packing,
+    "op10_warc": op10_warc,
+}
 
 SQL = {
     "op1_line_dedup": r"""
@@ -70,4 +87,16 @@ WITH doc_words AS (
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op10_warc": r"""
+WITH payloads AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), groups AS (SELECT hex, min(page_id) AS first FROM payloads GROUP BY hex
+), digits AS (
+  SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31)::INT + 1, 1), '' ORDER BY i, s DESC) AS digest
+  FROM (SELECT hex, i, ('0x' || substr(hex, 5 * i + 1, 5))::BIGINT AS v, unnest([15, 10, 5, 0]) AS s
+        FROM (SELECT hex, unnest(range(8)) AS i FROM groups)) GROUP BY hex
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM payloads JOIN groups USING (hex) JOIN digits USING (hex)""",
 }
