@@ -10,6 +10,7 @@ from ledgerloom.llm.archives import archive
 from ledgerloom.llm.decontaminate import with_hits
 from ledgerloom.llm.line_dedup import with_line_bitmaps
 from ledgerloom.llm.packing import pack
+from ledgerloom.llm.toxicity import learn, with_score
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +31,14 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    lexicon = learn(docs, _table(spark, folder, "labels").select("doc_id", "toxic"), ~held_out)
+    scored = with_score(docs, lexicon).withColumn("held_out", held_out)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("ids")
 
@@ -42,6 +51,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
