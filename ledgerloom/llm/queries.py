@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.archives import archive
 from ledgerloom.llm.decontaminate import with_hits
+from ledgerloom.llm.html_text import with_main_text
 from ledgerloom.llm.line_dedup import with_line_bitmaps
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.toxicity import learn, with_score
@@ -22,6 +23,11 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    found = with_main_text(_table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = with_hits(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark"))
     hit = F.col("contamination")
@@ -50,6 +56,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op9_packing": op9_packing,
