@@ -11,6 +11,7 @@ from ledgerloom.llm.decontaminate import with_hits
 from ledgerloom.llm.html_text import with_main_text
 from ledgerloom.llm.line_dedup import with_line_bitmaps
 from ledgerloom.llm.packing import pack
+from ledgerloom.llm.quality import quality_verdicts
 from ledgerloom.llm.toxicity import learn, with_score
 
 
@@ -23,6 +24,11 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_verdicts(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     found = with_main_text(_table(spark, folder, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -56,6 +62,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality_rules": op2_quality_rules,
     "op5_html_extraction": op5_html_extraction,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
