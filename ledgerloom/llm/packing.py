@@ -93,7 +93,7 @@ class _Rows:
 
 def pack(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1,
-    most_open: int = 64, most_padding: int = 32, with_ids: bool = True, merge_tasks: int = 64,
+    most_open: int = 64, most_padding: int = 32, with_ids: bool = True, merge_tasks: int = 8,
 ) -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids): pieces of documents in sequences.
 
