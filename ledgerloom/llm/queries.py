@@ -12,6 +12,7 @@ from ledgerloom.llm.html_text import with_main_text
 from ledgerloom.llm.line_dedup import with_line_bitmaps
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality import quality_verdicts
+from ledgerloom.llm.repeats import without_repeats
 from ledgerloom.llm.toxicity import learn, with_score
 
 
@@ -29,6 +30,10 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeats(_table(spark, folder, "documents"), with_bytes=False).drop("kept_bytes")
+
+
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     found = with_main_text(_table(spark, folder, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -63,6 +68,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_html_extraction": op5_html_extraction,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
