@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.archives import archive
 from ledgerloom.llm.decontaminate import with_hits
 from ledgerloom.llm.html_text import with_main_text
+from ledgerloom.llm.jaccard import near_duplicates
 from ledgerloom.llm.line_dedup import with_line_bitmaps
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality import quality_verdicts
@@ -56,6 +57,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "documents"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("ids")
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op5_html_extraction": op5_html_extraction,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
