@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,40 +42,94 @@ def _grams(data: np.ndarray, k: int) -> np.ndarray:
     return _mix(h)
 
 
-def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch of bytes, from the differences of one running polynomial sum."""
-    powers = np.cumprod(np.r_[np.uint64(1), np.full(len(data), _BASE, np.uint64)])
-    sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1])]
-    inverse = np.cumprod(np.r_[np.uint64(1), np.full(int(starts.max(initial=0)), pow(_BASE, -1, 1 << 64), np.uint64)])
-    return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def _span_hashes(grams: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes, from the hashes of the k-grams that cover it."""
+    sizes = ends - starts
+    found = sizes.astype(np.uint64)
+    for offset in range(0, int(sizes.max(initial=0)), GRAM):
+        place = starts + np.minimum(offset, sizes - GRAM)
+        found = _mix(found * np.uint64(_BASE) + grams[place])
+    return found
 
 
-def runs_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of suffixes with one smallest hash: key (40 bits), hash of their bytes, first suffix, number of suffixes.
+@dataclass
+class Runs:
+    """Runs of suffixes with one smallest hash, of some documents laid one behind another.
 
-    A run's bytes are those of its suffixes' first LENGTH bytes. Every suffix of LENGTH bytes or more is in exactly one run.
+    doc: number of the document; key: the smallest hash (40 bits); hash: of the run's bytes, which are those of its suffixes'
+    first LENGTH bytes; begin: its first suffix in `data`; long: number of its suffixes.
     """
-    if len(data) < LENGTH:
-        return (np.zeros(0, np.int64),) * 4
-    width = LENGTH - GRAM + 1
-    low, m = _grams(data, GRAM), 1
+
+    data: np.ndarray
+    starts: np.ndarray
+    doc: np.ndarray
+    key: np.ndarray
+    hash: np.ndarray
+    begin: np.ndarray
+    long: np.ndarray
+
+    def own(self) -> np.ndarray:
+        """The runs' hashes, told apart by document."""
+        return _of_document(self.hash, self.doc)
+
+
+def _of_document(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return hashes.view(np.uint64) + (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE)
+
+
+def runs_of(texts: list[bytes]) -> Runs:
+    """Every suffix of LENGTH bytes or more is in exactly one run of its document."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    none = np.zeros(0, np.int64)
+    if not len(sizes) or sizes.max() < LENGTH:
+        return Runs(data, starts, none, none, none, none, none)
+    grams = low = _grams(data, GRAM)
+    width, m = LENGTH - GRAM + 1, 1
     while 2 * m <= width:
         low, m = np.minimum(low[:-m], low[m:]), 2 * m
     if width > m:
         low = np.minimum(low[: len(low) - (width - m)], low[width - m :])
+    edges = np.zeros(len(data) + 1, np.int8)  # suffixes of LENGTH bytes inside their document
+    large = sizes >= LENGTH
+    edges[starts[large]] = 1
+    edges[(starts + sizes - LENGTH + 1)[large]] = -1
+    valid = np.cumsum(edges, dtype=np.int8)[: len(low)].astype(bool)
     change = np.r_[True, low[1:] != low[:-1]]
-    begin = np.flatnonzero(change)
-    long = np.diff(np.r_[begin, len(low)])
+    begin = np.flatnonzero(valid & (change | ~np.r_[False, valid[:-1]]))
+    last = np.flatnonzero(valid & (np.r_[change[1:], True] | ~np.r_[valid[1:], False]))
+    long = last - begin + 1
     if long.max() > width:  # periodic text: runs are cut every `width` suffixes, counted from their own beginning
-        place = np.arange(len(low)) - np.repeat(begin, long)
-        begin = np.flatnonzero(place % width == 0)
-        long = np.diff(np.r_[begin, len(low)])
+        parts = -(-long // width)
+        number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin, long = np.repeat(begin, parts) + width * number, np.minimum(width, np.repeat(long, parts) - width * number)
+    hashes = _span_hashes(grams, begin, begin + long + LENGTH - 1).view(np.int64)
     keys = (low[begin] & np.uint64((1 << 40) - 1)).astype(np.int64)
-    return keys, _span_hashes(data, begin, begin + long + LENGTH - 1).view(np.int64), begin, long
+    return Runs(data, starts, np.searchsorted(starts, begin, "right") - 1, keys, hashes, begin, long)
+
+
+def _groups(texts: list[str | None], most: int = 256 << 10) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts' bytes in groups of about `most` bytes, with the number of each group's first: arrays that fit a cache."""
+    first, group, held = 0, [], 0
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        if group and held + len(data) > most:
+            yield first, group
+            first, group, held = i, [], 0
+        group.append(data)
+        held += len(data)
+    if group:
+        yield first, group
 
 
-def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode(), np.uint8)
+def _columns(out: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*out)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
+
+
+def _arrays(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
 def interval_repeats(pieces: list[bytes], least: int = LENGTH, suffixes: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -146,6 +201,9 @@ def interval_repeats(pieces: list[bytes], least: int = LENGTH, suffixes: list[in
     return piece, place, groups
 
 
+SPANS = {"_id": pa.int64(), "run": pa.int64(), "start": pa.int32(), "end": pa.int32()}
+
+
 def _later_spans(rows: list[tuple[int, int, bytes, int]]) -> list[tuple[int, int, int, int]]:
     """(document, run, from, to) of bytes that belong to a repeat with an earlier document; rows: document, run, bytes, suffixes."""
     docs = np.array([r[0] for r in rows], np.int64)
@@ -160,62 +218,72 @@ def _later_spans(rows: list[tuple[int, int, bytes, int]]) -> list[tuple[int, int
     return out
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column of numbers as arrays; null is empty."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    present = column.is_valid().to_numpy(zero_copy_only=False)
+    return [values[a:b] if there else values[:0] for a, b, there in zip(offsets[:-1].tolist(), offsets[1:].tolist(), present.tolist())]
+
+
 def _decided(rows: DataFrame, *key: str) -> DataFrame:
-    """`rows` with `late`: whether a smaller _id has the same key. Rows known to be late are spread, so no key is hot by copies."""
-    salted = rows.withColumn("_salt", F.when(F.col("known"), 1 + F.pmod("_id", F.lit(64))).otherwise(0))
-    first = F.first("_id").over(Window.partitionBy(key[0], "_salt", *key[1:]).orderBy("_id"))
-    return salted.withColumn("late", F.col("known") | (F.col("_id") > first))
+    """`rows` with `late`: whether a smaller _id has the same key. The first key's last byte is the salt of `_known`."""
+    first = F.first("_id").over(Window.partitionBy(*key).orderBy("_id"))
+    return rows.withColumn("late", (F.col(key[0]) % 256 != 0) | (F.col("_id") > first))
 
 
-def _known(ids: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with a key once for each id, and which of them have a smaller id with that key in the slice."""
-    order = np.lexsort((ids, *keys))
+def _known(ids: np.ndarray, key: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows to send, a key once for each id, and the first key with a salt in its last byte.
+
+    Rows with a smaller id for all their keys in the slice are late whatever other tasks find: a salt over 0 marks and spreads
+    them, so that no key is hot by copies. Rows stay in the order of documents, which keeps the shuffle small.
+    """
+    order = np.lexsort((ids, *more, key))
     new = np.zeros(len(order), bool)
-    for k in keys:
+    for k in (key, *more):
         new |= np.r_[True, k[order][1:] != k[order][:-1]]
     again = ~(new | np.r_[True, ids[order][1:] != ids[order][:-1]])
     begins = np.flatnonzero(new)
     smallest = np.repeat(ids[order][begins], np.diff(np.r_[begins, len(order)]))
-    late = ids[order] > smallest
-    return order[~again], late[~again]
+    salted = np.empty(len(order), np.int64)
+    salted[order] = (key[order] << 8) | np.where(ids[order] > smallest, 1 + ids[order] % 64, 0)
+    rows = np.sort(order[~again])
+    return rows, salted[rows]
 
 
 def repeat_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, whole, spans): runs, by their hash, that are removed as a whole, and parts (run, from, to) of other runs."""
+    """(_id, whole, spans): runs, by their hash, that are removed as a whole; parts of others: run, from, to, one behind another."""
     chosen = docs.select(order_id(F.col(id_col)).alias("_id"), F.col(text_col).alias("_text"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            ids, keys, hashes = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                k, h, _, _ = runs_of(_bytes(text))
-                ids.append(np.full(len(k), doc, np.int64))
-                keys.append(k)
-                hashes.append(h)
-            i, k, h = np.concatenate(ids), np.concatenate(keys), np.concatenate(hashes)
+            ids = batch.column(0).to_numpy()
+            found = [(first, runs_of(texts)) for first, texts in _groups(batch.column(1).to_pylist())]
+            i = np.concatenate([ids[r.doc + first] for first, r in found])
+            k, h = np.concatenate([r.key for _, r in found]), np.concatenate([r.hash for _, r in found])
             if len(i):
-                rows, late = _known(i, h, k)
-                yield pa.RecordBatch.from_arrays([pa.array(i[rows]), pa.array(k[rows]), pa.array(h[rows]), pa.array(late)], names=["_id", "key", "run", "known"])
+                rows, salted = _known(i, k, h)
+                yield _arrays(_id=i[rows], key=salted, run=h[rows])
 
-    rows = _decided(chosen.mapInArrow(keyed, "_id long, key long, run long, known boolean"), "key", "run")
-    same_key = Window.partitionBy("key", "_salt")
+    rows = _decided(chosen.mapInArrow(keyed, "_id long, key long, run long"), "key", "run")
+    same_key = Window.partitionBy("key")
     mixed = ~F.col("late") & (F.min("run").over(same_key) != F.max("run").over(same_key)) & (F.min("_id").over(same_key) != F.max("_id").over(same_key))
     rows = rows.withColumns({"mixed": mixed, "n": F.count("*").over(same_key)}).where("late OR mixed")
-    kinds = {"whole": F.col("late"), "some": F.col("mixed") & (F.col("n") <= MOST_RUNS), "many": F.col("mixed") & (F.col("n") > MOST_RUNS)}
-    by_doc = stored(rows.groupBy("_id").agg(*(F.collect_set(F.when(c, F.col("run"))).alias(k) for k, c in kinds.items())), "runs")
+    kind = F.when(F.col("late"), 0).when(F.col("n") <= MOST_RUNS, 1).otherwise(2)
+    # Rows are in the order of keys, so that a partial aggregate by document would only add to the shuffle.
+    by_doc = rows.select("_id", "run", kind.alias("kind")).repartition("_id").groupBy("_id")
+    by_doc = stored(by_doc.agg(*(F.collect_set(F.when(F.col("kind") == i, F.col("run"))).alias(k) for i, k in enumerate(("whole", "some", "many")))), "runs")
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            out = []
-            for doc, text, some in zip(*(batch.column(c).to_pylist() for c in ("_id", "_text", "some"))):
-                data = _bytes(text)
-                keys, hashes, begin, long = runs_of(data)
-                chosen_runs = np.flatnonzero(np.isin(hashes, np.array(some, np.int64)))
-                _, once = np.unique(hashes[chosen_runs], return_index=True)
+            ids, wanted, out = batch.column("_id").to_pylist(), _lists(batch.column("some")), []
+            for first, texts in _groups(batch.column("_text").to_pylist()):
+                r = runs_of(texts)
+                chosen_runs = np.flatnonzero(np.isin(r.own(), _flat(wanted[first : first + len(texts)])))
+                _, once = np.unique(r.own()[chosen_runs], return_index=True)
                 for i in chosen_runs[once].tolist():
-                    out.append((int(keys[i]), doc, int(hashes[i]), data[begin[i] : begin[i] + long[i] + LENGTH - 1].tobytes(), int(long[i])))
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()))], names=["key", "_id", "run", "piece", "n"])
+                    at, n = int(r.begin[i]), int(r.long[i])
+                    out.append((int(r.key[i]), ids[first + r.doc[i]], int(r.hash[i]), r.data[at : at + n + LENGTH - 1].tobytes(), n))
+            yield _columns(out, {"key": pa.int64(), "_id": pa.int64(), "run": pa.int64(), "piece": pa.binary(), "n": pa.int32()})
 
     def sorted_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes, int]] = []
@@ -228,56 +296,59 @@ def repeat_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     held = []
                 held.append((doc, run, piece, n))
                 last = key
-            yield _span_batch(found)
+            yield _columns(found, SPANS)
         if held:
-            yield _span_batch(_later_spans(held))
+            yield _columns(_later_spans(held), SPANS)
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 1 << 20):
-            parts = []
-            for doc, text, many in zip(*(batch.column(c).to_pylist() for c in ("_id", "_text", "many"))):
-                data = _bytes(text)
-                _, hashes, begin, long = runs_of(data)
-                chosen_runs = np.flatnonzero(np.isin(hashes, np.array(many, np.int64)))
-                place = np.concatenate([np.arange(long[i]) for i in chosen_runs]) if len(chosen_runs) else np.zeros(0, np.int64)
-                run = np.repeat(chosen_runs, long[chosen_runs])
-                at = begin[run] + place
-                parts.append((np.full(len(at), doc, np.int64), _span_hashes(data, at, at + LENGTH).view(np.int64), hashes[run], place))
-            i, h, run, place = (np.concatenate(c) for c in zip(*parts))
-            if len(i):
-                rows, late = _known(i, place, run, h)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i[rows], h[rows], run[rows], place[rows], late)], names=["_id", "suffix", "run", "place", "known"])
+            ids, wanted, parts = batch.column("_id").to_numpy(), _lists(batch.column("many")), []
+            for first, texts in _groups(batch.column("_text").to_pylist()):
+                r = runs_of(texts)
+                chosen_runs = np.flatnonzero(np.isin(r.own(), _flat(wanted[first : first + len(texts)])))
+                long = r.long[chosen_runs]
+                run = np.repeat(chosen_runs, long)
+                if len(run):
+                    place = np.arange(len(run)) - np.repeat(np.cumsum(long) - long, long)
+                    at = r.begin[run] + place
+                    parts.append((ids[r.doc[run] + first], _span_hashes(_grams(r.data, GRAM), at, at + LENGTH).view(np.int64), r.hash[run], place))
+            if parts:
+                i, h, run, place = (np.concatenate(c) for c in zip(*parts))
+                rows, salted = _known(i, h & ((1 << 55) - 1), h, run, place)
+                yield _arrays(_id=i[rows], suffix=salted, run=run[rows], place=place[rows])
 
     found = chosen.join(by_doc.select("_id", "some", "many"), "_id")
     pieces = found.where(F.size("some") > 0).mapInArrow(sent, "key long, _id long, run long, piece binary, n int")
     spans = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(sorted_suffixes, "_id long, run long, start int, end int")
     if by_doc.where(F.size("many") > 0).limit(1).count():  # keys with very many surroundings: by the suffixes' own hashes
-        single = _decided(found.where(F.size("many") > 0).mapInArrow(suffixes, "_id long, suffix long, run long, place long, known boolean"), "suffix")
+        single = _decided(found.where(F.size("many") > 0).mapInArrow(suffixes, "_id long, suffix long, run long, place long"), "suffix")
         spans = spans.unionByName(single.where("late").select("_id", "run", F.col("place").cast("int").alias("start"), (F.col("place") + LENGTH).cast("int").alias("end")))
-    parts = stored(spans.groupBy("_id").agg(F.collect_list(F.struct("run", "start", "end")).alias("spans")), "spans")
+    parts = stored(spans.groupBy("_id").agg(F.flatten(F.collect_list(F.array("run", F.col("start").cast("long"), F.col("end").cast("long")))).alias("spans")), "spans")
     return by_doc.select("_id", "whole").join(parts, "_id", "full")
 
 
-def _span_batch(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    columns = list(zip(*found)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["_id", "run", "start", "end"])
-
-
-def _removed(data: np.ndarray, whole: list[int], spans: list[dict]) -> np.ndarray:
-    """Which bytes go."""
-    edges = np.zeros(len(data) + 1, np.int64)
-    _, hashes, begin, long = runs_of(data)
-    gone = np.isin(hashes, np.array(whole or [], np.int64))
-    np.add.at(edges, begin[gone], 1)
-    np.add.at(edges, (begin + long + LENGTH - 1)[gone], -1)
-    places: dict[int, list[int]] = {}
-    wanted = {s["run"] for s in spans or ()}
-    for i in np.flatnonzero(np.isin(hashes, np.array(list(wanted), np.int64))).tolist() if wanted else ():
-        places.setdefault(int(hashes[i]), []).append(int(begin[i]))
-    for s in spans or ():
-        for b in places.get(s["run"], ()):
-            edges[b + s["start"]] += 1
-            edges[b + s["end"]] -= 1
+def _flat(lists: list[np.ndarray]) -> np.ndarray:
+    """The hashes of all lists, told apart by the list's number as `Runs.own` does by document."""
+    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    return _of_document(np.concatenate(lists).astype(np.int64), doc)
+
+
+def _removed(r: Runs, whole: list[np.ndarray], spans: list[np.ndarray]) -> np.ndarray:
+    """Which bytes of `r.data` go: of each document the whole runs, and the spans (run, from, to one behind another)."""
+    edges = np.zeros(len(r.data) + 1, np.int64)
+    own = r.own()
+    gone = np.isin(own, _flat(whole))
+    np.add.at(edges, r.begin[gone], 1)
+    np.add.at(edges, (r.begin + r.long + LENGTH - 1)[gone], -1)
+    run = _flat([s[::3] for s in spans])
+    if len(run):
+        order = np.argsort(run)
+        every = np.concatenate(spans).reshape(-1, 3)[order]
+        low, high = np.searchsorted(run[order], own, "left"), np.searchsorted(run[order], own, "right")
+        n = high - low
+        number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        np.add.at(edges, np.repeat(r.begin, n) + every[number, 1], 1)
+        np.add.at(edges, np.repeat(r.begin, n) + every[number, 2], -1)
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -297,16 +368,24 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            out = []
-            for doc, text, whole, spans in zip(*(batch.column(c).to_pylist() for c in ("_id", "_text", "whole", "spans"))):
-                data = _bytes(text)
-                gone = _removed(data, whole, spans) if whole or spans else np.zeros(len(data), bool)
-                kept = data[~gone].tobytes()
-                n_spans = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(gone) else 0
-                out.append((doc, len(data), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            columns = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["_id", *(f.split(" ")[0] for f in RESULT.split(", "))])
+            out, ids = [], batch.column("_id").to_pylist()
+            whole, spans = _lists(batch.column("whole")), _lists(batch.column("spans"))
+            for first, texts in _groups(batch.column("_text").to_pylist()):
+                some = [i for i in range(len(texts)) if len(whole[first + i]) or len(spans[first + i])]
+                gone_of = dict.fromkeys(range(len(texts)))
+                if some:
+                    r = runs_of([texts[i] for i in some])
+                    gone = _removed(r, [whole[first + i] for i in some], [spans[first + i] for i in some])
+                    gone_of.update((i, gone[at : at + len(texts[i])]) for i, at in zip(some, r.starts.tolist()))
+                for i, text in enumerate(texts):
+                    gone = gone_of[i]
+                    if gone is None or not gone.any():
+                        kept, n_removed, n_spans = text, 0, 0
+                    else:
+                        kept, n_removed = np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum())
+                        n_spans = int((gone & ~np.r_[False, gone[:-1]]).sum())
+                    out.append((ids[first + i], len(text), n_removed, n_spans, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
+            yield _columns(out, {"_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept_bytes": pa.binary()})
 
     found = joined.select("_id", "_text", "whole", "spans").mapInArrow(run, "_id long, " + RESULT)
     return found.select(F.when(F.col("_id") != 2**63 - 1, F.col("_id")).alias("doc_id"), *(f.split(" ")[0] for f in RESULT.split(", ")))
