@@ -126,30 +126,45 @@ def join_region(sets: list[np.ndarray], percent: int, brute: int = 16) -> list[i
             i = root[i]
         return i
 
+    if not sum(map(len, sets)):
+        return root
+
     def unite(i: int, j: int) -> None:
         i, j = find(i), find(j)
         root[max(i, j)] = min(i, j)
 
+    # Postings: the members that hold each n-gram. Overlaps with a pivot are counts over its n-grams' postings.
     sizes = np.array([len(s) for s in sets])
     radius = 1 - percent / 100 + 1e-9
-
-    def common(pivot: int, others: np.ndarray) -> np.ndarray:
-        joined = np.concatenate([sets[i] for i in others])
-        at = np.minimum(np.searchsorted(sets[pivot], joined), sizes[pivot] - 1)
-        return np.add.reduceat(sets[pivot][at] == joined, np.cumsum(sizes[others]) - sizes[others])
+    _, item = np.unique(np.concatenate(sets), return_inverse=True)
+    member = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(item, kind="stable")
+    frequency = np.bincount(item)
+    ends = np.cumsum(frequency)
+    posted = member[order].astype(np.int32)
+    begins = np.cumsum(sizes) - sizes
+    # Central members hold the region's frequent n-grams; as pivots they link to the most.
+    central = np.add.reduceat(frequency[item], np.minimum(begins, len(item) - 1)) / np.maximum(sizes, 1)
 
     def distances(pivot: int, others: np.ndarray) -> np.ndarray:
         """Jaccard distances; what links is united with the pivot on the way."""
-        both = common(pivot, others)
+        own = item[begins[pivot] : begins[pivot] + sizes[pivot]]
+        n = frequency[own]
+        at = np.arange(n.sum()) + np.repeat(ends[own] - n - (np.cumsum(n) - n), n)
+        both = np.bincount(posted[at], minlength=len(sets))[others]
         union = sizes[others] + sizes[pivot] - both
         for i in others[100 * both >= percent * union].tolist():
             unite(pivot, i)
         return 1 - both / union
 
+    def roots(members: np.ndarray) -> np.ndarray:
+        return np.array([find(i) for i in members.tolist()])
+
     work = [np.flatnonzero(sizes > 0)]
     while work:
         cell = work.pop()
-        if len({find(i) for i in cell.tolist()}) < 2:
+        own = roots(cell)
+        if len(cell) < 2 or (own == own[0]).all():
             continue
         if len(cell) <= brute:
             for k, i in enumerate(cell.tolist()):
@@ -157,24 +172,25 @@ def join_region(sets: list[np.ndarray], percent: int, brute: int = 16) -> list[i
                     if find(i) != find(j) and _links(sets[i], sets[j], percent):
                         unite(i, j)
             continue
-        p = int(cell[0])
-        rest = cell[1:]
+        # The pivot comes from the components outside the largest one, if that holds most of the cell.
+        names, number = np.unique(own, return_inverse=True)
+        largest = np.bincount(number).argmax()
+        outside = cell[number != largest] if 2 * (number == largest).sum() > len(cell) else cell
+        p = int(outside[np.argmax(central[outside])])
+        rest = cell[cell != p]
         to_p = distances(p, rest)
-        apart = np.array([find(i) != find(p) for i in rest.tolist()])
+        apart = roots(rest) != find(p)
         if not apart.any():
             continue
         # What is too near the pivot for everything that isn't connected to it has no more links to find.
         reach = to_p >= to_p[apart].min() - radius
         rest, to_p = rest[reach], to_p[reach]
-        if len(rest) <= brute:
-            work.append(rest)
-            continue
         q = int(rest[np.argmax(to_p)])
         to_q = distances(q, rest)
         near_p, near_q = rest[to_p <= to_q + 2 * radius], rest[to_q <= to_p + 2 * radius]
-        if max(len(near_p), len(near_q)) < len(rest):
+        if len(near_p) + len(near_q) < 1.5 * len(rest):
             work += [near_p, near_q]
-        else:  # the windows take in all: the second pivot is done, the others go on
+        else:  # the windows take in nearly all: both pivots are done, the others go on
             work.append(rest[rest != q])
     return [find(i) for i in range(len(sets))]
 
