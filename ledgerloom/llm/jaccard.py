@@ -116,8 +116,24 @@ def _links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def join_region(sets: list[np.ndarray], percent: int, brute: int = 16) -> list[int]:
-    """The component of each set: the number of its first member. Exact."""
+def shared_cells(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
+    """The members of each first region in which two or more sets meet; linked sets meet in one at least."""
+    classes = Classes(percent)
+    found = [classes.regions(s) if len(s) else s for s in sets]
+    region = np.concatenate(found)
+    member = np.repeat(np.arange(len(sets)), [len(f) for f in found])
+    order = np.argsort(region, kind="stable")
+    begin = np.flatnonzero(np.r_[True, region[order][1:] != region[order][:-1]])
+    cells = {}
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(order)]):
+        if b - a > 1:
+            cell = member[order[a:b]]
+            cells.setdefault(cell.tobytes(), cell)
+    return list(cells.values())
+
+
+def join_region(sets: list[np.ndarray], percent: int, brute: int = 16, cells: list[np.ndarray] | None = None) -> list[int]:
+    """The component of each set: the number of its first member. Exact for pairs that are in one of `cells` (all in one)."""
     root = list(range(len(sets)))
 
     def find(i: int) -> int:
@@ -160,7 +176,7 @@ def join_region(sets: list[np.ndarray], percent: int, brute: int = 16) -> list[i
     def roots(members: np.ndarray) -> np.ndarray:
         return np.array([find(i) for i in members.tolist()])
 
-    work = [np.flatnonzero(sizes > 0)]
+    work = [np.flatnonzero(sizes > 0)] if cells is None else sorted(cells, key=len)
     while work:
         cell = work.pop()
         own = roots(cell)
@@ -169,7 +185,7 @@ def join_region(sets: list[np.ndarray], percent: int, brute: int = 16) -> list[i
         if len(cell) <= brute:
             for k, i in enumerate(cell.tolist()):
                 for j in cell[k + 1 :].tolist():
-                    if find(i) != find(j) and _links(sets[i], sets[j], percent):
+                    if 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]) and find(i) != find(j) and _links(sets[i], sets[j], percent):
                         unite(i, j)
             continue
         # The pivot comes from the components outside the largest one, if that holds most of the cell.
@@ -264,7 +280,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         def done() -> pa.RecordBatch:
             keys = list(held)
-            roots = join_region(list(held.values()), percent) if len(keys) > 1 else [0] * len(keys)
+            sets = list(held.values())
+            # Chains of regions can be long, but only sets that meet in one of them can link.
+            roots = join_region(sets, percent, cells=shared_cells(sets, percent)) if len(keys) > 1 else [0] * len(keys)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([keys[r] for r in roots], pa.int64())], names=["key", "root"])
 
         for batch in batches:
