@@ -17,10 +17,16 @@ def null_spread(keys: list[str], by: list[str]) -> str:
     """SQL for `_spread`: 0 for a complete key, a hash bucket for a key with a NULL.
 
     NULL keys match nothing, yet they would all hash to one task. Joining on this bucket
-    as well leaves the matches unchanged and spreads the NULL rows.
+    as well leaves the matches unchanged and spreads the NULL rows. The 0 is computed (a
+    remainder by 1): the optimizer would take a literal out of the join and shuffle keys.
     """
     incomplete = " OR ".join(f"{k} IS NULL" for k in keys)
-    return f"if({incomplete}, cast(pmod(xxhash64({', '.join(by)}), {NULL_KEY_BUCKETS}) AS int), 0) AS _spread"
+    return f"cast(pmod(xxhash64({', '.join(by)}), if({incomplete}, {NULL_KEY_BUCKETS}, 1)) AS int) AS _spread"
+
+
+def no_spread(keys: list[str]) -> str:
+    """SQL for the `_spread` of a side whose rows with a NULL key don't matter: always 0, but computed."""
+    return f"cast(pmod(xxhash64({', '.join(keys)}), 1) AS int) AS _spread"
 
 
 def full_outer(left: DataFrame, right: DataFrame, keys: list[str], labels: list[str]) -> DataFrame:
@@ -43,5 +49,5 @@ def full_outer(left: DataFrame, right: DataFrame, keys: list[str], labels: list[
 
 def left_outer(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Left outer join on `keys`, with NULL-key rows of the left side spread by `by`."""
-    complete = right.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).selectExpr("*", "0 AS _spread")
+    complete = right.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).selectExpr("*", no_spread(keys))
     return left.selectExpr("*", null_spread(keys, by)).join(complete, [*keys, "_spread"], "left").drop("_spread")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions.columns import money, null_row, or_zero, prefix_in, shortfall, zero
-from ledgerloom.functions.joins import full_outer, null_spread
+from ledgerloom.functions.joins import full_outer, no_spread, null_spread
 from ledgerloom.rules import LedgerRules
 
 KEYS = ["party_code", "currency", "account_code"]
@@ -59,7 +59,7 @@ def movement(postings: DataFrame, rules: LedgerRules) -> DataFrame:
         .groupBy("doc_no", *by).agg(F.sum("local_amount").alias("moved"))
         .selectExpr("*", null_spread(["doc_no"], by))
     )
-    cleared = cleared_documents(postings, rules).select("doc_no", F.lit(0).alias("_spread"))
+    cleared = cleared_documents(postings, rules).selectExpr("doc_no", no_spread(["doc_no"]))
     return (
         lines.join(cleared, ["doc_no", "_spread"], "left_anti")
         .groupBy(*by).agg(F.sum("moved").alias("moved"))

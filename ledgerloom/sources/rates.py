@@ -10,9 +10,14 @@ from ledgerloom.schemas import RATE
 from ledgerloom.sources.readers import empty, read_raw
 
 
+#: Heading of the date column of the published rate table (fixed value).
+PUBLISHED_DATE = "日期"
+
+
 def read_rate_table(spark: SparkSession, path: str) -> DataFrame:
-    """Daily rates per 100 units: a date column, then one column per currency name."""
-    return read_raw(spark, path)
+    """Daily rates per 100 units: a date column, then one column per currency name. The published
+    heading of the date column becomes `rate_date`."""
+    return read_raw(spark, path).withColumnRenamed(PUBLISHED_DATE, "rate_date")
 
 
 def fx_rates_long(wide: DataFrame, date: str | None, date_column: str = "rate_date") -> DataFrame:

@@ -32,6 +32,9 @@ def write_table(df: DataFrame, path: str, project: dict[str, str] | None = None,
     df.write.mode("overwrite").partitionBy(*by).parquet(project_path(path, project))
 
 
+ROW_ORDER = ["section", "seq", "account_code", "party_code", "currency", "account_name", "party_name"]
+
+
 def read_table(
     spark: SparkSession, path: str, project: dict[str, str] | None = None, schema: StructType | None = None
 ) -> DataFrame:
@@ -42,9 +45,11 @@ def read_table(
 
 
 def with_labels(df: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """Display labels in place of canonical names, in label order; sections in their order."""
-    if "section" in df.columns:
-        df = df.sort("section")
+    """Display labels in place of canonical names, in label order; rows in the published order: by
+    section and number, then account, party, currency and names, so no section is one sort key."""
+    order = [c for c in ROW_ORDER if c in df.columns]
+    if order:
+        df = df.sort(*order)
     return df.select([F.col(c).alias(label) for c, label in labels.items() if c in df.columns])
 
 
