@@ -134,20 +134,14 @@ def shared_cells(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
 
 def join_region(sets: list[np.ndarray], percent: int, brute: int = 16, cells: list[np.ndarray] | None = None) -> list[int]:
     """The component of each set: the number of its first member. Exact for pairs that are in one of `cells` (all in one)."""
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    label = np.arange(len(sets))  # of each member the smallest one known to be connected to it
     if not sum(map(len, sets)):
-        return root
+        return label.tolist()
 
-    def unite(i: int, j: int) -> None:
-        i, j = find(i), find(j)
-        root[max(i, j)] = min(i, j)
+    def unite(members: np.ndarray) -> None:
+        names = np.unique(label[members])
+        if len(names) > 1:
+            label[np.isin(label, names)] = names[0]
 
     # Postings: the members that hold each n-gram. Overlaps with a pivot are counts over its n-grams' postings.
     sizes = np.array([len(s) for s in sets])
@@ -169,24 +163,20 @@ def join_region(sets: list[np.ndarray], percent: int, brute: int = 16, cells: li
         at = np.arange(n.sum()) + np.repeat(ends[own] - n - (np.cumsum(n) - n), n)
         both = np.bincount(posted[at], minlength=len(sets))[others]
         union = sizes[others] + sizes[pivot] - both
-        for i in others[100 * both >= percent * union].tolist():
-            unite(pivot, i)
+        unite(np.r_[pivot, others[100 * both >= percent * union]])
         return 1 - both / union
 
-    def roots(members: np.ndarray) -> np.ndarray:
-        return np.array([find(i) for i in members.tolist()])
-
     work = [np.flatnonzero(sizes > 0)] if cells is None else sorted(cells, key=len)
     while work:
         cell = work.pop()
-        own = roots(cell)
+        own = label[cell]
         if len(cell) < 2 or (own == own[0]).all():
             continue
         if len(cell) <= brute:
             for k, i in enumerate(cell.tolist()):
                 for j in cell[k + 1 :].tolist():
-                    if 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]) and find(i) != find(j) and _links(sets[i], sets[j], percent):
-                        unite(i, j)
+                    if 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]) and label[i] != label[j] and _links(sets[i], sets[j], percent):
+                        unite(np.array([i, j]))
             continue
         # The pivot comes from the components outside the largest one, if that holds most of the cell.
         names, number = np.unique(own, return_inverse=True)
@@ -195,7 +185,7 @@ def join_region(sets: list[np.ndarray], percent: int, brute: int = 16, cells: li
         p = int(outside[np.argmax(central[outside])])
         rest = cell[cell != p]
         to_p = distances(p, rest)
-        apart = roots(rest) != find(p)
+        apart = label[rest] != label[p]
         if not apart.any():
             continue
         # What is too near the pivot for everything that isn't connected to it has no more links to find.
@@ -208,7 +198,7 @@ def join_region(sets: list[np.ndarray], percent: int, brute: int = 16, cells: li
             work += [near_p, near_q]
         else:  # the windows take in nearly all: both pivots are done, the others go on
             work.append(rest[rest != q])
-    return [find(i) for i in range(len(sets))]
+    return label.tolist()
 
 
 def _components(edges: DataFrame, name: str) -> DataFrame:
