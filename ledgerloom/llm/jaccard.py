@@ -138,10 +138,14 @@ def join_region(sets: list[np.ndarray], percent: int, brute: int = 16, cells: li
     if not sum(map(len, sets)):
         return label.tolist()
 
+    done = np.zeros(len(sets), bool)  # members whose links are all found
+
     def unite(members: np.ndarray) -> None:
         names = np.unique(label[members])
         if len(names) > 1:
-            label[np.isin(label, names)] = names[0]
+            chosen = np.zeros(len(sets), bool)
+            chosen[names] = True
+            label[chosen[label]] = names[0]
 
     # Postings: the members that hold each n-gram. Overlaps with a pivot are counts over its n-grams' postings.
     sizes = np.array([len(s) for s in sets])
@@ -154,29 +158,42 @@ def join_region(sets: list[np.ndarray], percent: int, brute: int = 16, cells: li
     posted = member[order].astype(np.int32)
     begins = np.cumsum(sizes) - sizes
     # Central members hold the region's frequent n-grams; as pivots they link to the most.
-    central = np.add.reduceat(frequency[item], np.minimum(begins, len(item) - 1)) / np.maximum(sizes, 1)
+    weight = np.add.reduceat(frequency[item], np.minimum(begins, len(item) - 1))  # what counting a pivot's overlaps takes
+    central = weight / np.maximum(sizes, 1)
 
-    def distances(pivot: int, others: np.ndarray) -> np.ndarray:
-        """Jaccard distances; what links is united with the pivot on the way."""
+    def distances(pivot: int) -> np.ndarray:
+        """Jaccard distances to all members; what links is united with the pivot on the way, which is done then."""
         own = item[begins[pivot] : begins[pivot] + sizes[pivot]]
         n = frequency[own]
         at = np.arange(n.sum()) + np.repeat(ends[own] - n - (np.cumsum(n) - n), n)
-        both = np.bincount(posted[at], minlength=len(sets))[others]
-        union = sizes[others] + sizes[pivot] - both
-        unite(np.r_[pivot, others[100 * both >= percent * union]])
+        both = np.bincount(posted[at], minlength=len(sets))
+        union = sizes + sizes[pivot] - both
+        unite(np.flatnonzero(100 * both >= percent * union))
+        done[pivot] = True
         return 1 - both / union
 
+    # Empty sets link with nothing and are in no cell. A pair needs a comparison only while neither member is done.
+    compared: set[tuple[int, int]] = set()
     work = [np.flatnonzero(sizes > 0)] if cells is None else sorted(cells, key=len)
     while work:
         cell = work.pop()
+        cell = cell[~done[cell]]
         own = label[cell]
         if len(cell) < 2 or (own == own[0]).all():
             continue
         if len(cell) <= brute:
-            for k, i in enumerate(cell.tolist()):
-                for j in cell[k + 1 :].tolist():
-                    if 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]) and label[i] != label[j] and _links(sets[i], sets[j], percent):
-                        unite(np.array([i, j]))
+            for k, i in enumerate(cell[:-1].tolist()):
+                others = cell[k + 1 :]
+                fits = 100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])
+                others = others[fits & ~done[others] & (label[others] != label[i])]
+                if len(others) * 3000 > weight[i]:
+                    distances(i)
+                    continue
+                for j in others.tolist():
+                    if (i, j) not in compared:
+                        compared.add((i, j))
+                        if _links(sets[i], sets[j], percent):
+                            unite(np.array([i, j]))
             continue
         # The pivot comes from the components outside the largest one, if that holds most of the cell.
         names, number = np.unique(own, return_inverse=True)
@@ -184,7 +201,7 @@ def join_region(sets: list[np.ndarray], percent: int, brute: int = 16, cells: li
         outside = cell[number != largest] if 2 * (number == largest).sum() > len(cell) else cell
         p = int(outside[np.argmax(central[outside])])
         rest = cell[cell != p]
-        to_p = distances(p, rest)
+        to_p = distances(p)[rest]
         apart = label[rest] != label[p]
         if not apart.any():
             continue
@@ -192,7 +209,7 @@ def join_region(sets: list[np.ndarray], percent: int, brute: int = 16, cells: li
         reach = to_p >= to_p[apart].min() - radius
         rest, to_p = rest[reach], to_p[reach]
         q = int(rest[np.argmax(to_p)])
-        to_q = distances(q, rest)
+        to_q = distances(q)[rest]
         near_p, near_q = rest[to_p <= to_q + 2 * radius], rest[to_q <= to_p + 2 * radius]
         if len(near_p) + len(near_q) < 1.5 * len(rest):
             work += [near_p, near_q]
@@ -218,7 +235,9 @@ def _components(edges: DataFrame, name: str) -> DataFrame:
         before = state
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, most_items: int = 1 << 21
+) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs`.
 
     A document's set: its distinct runs of `size` words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased); with fewer words the whole
@@ -227,7 +246,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document behind all others, shown as null. Repeated rows and equal sets link as any others.
 
     Equal sets are one (by a 64-bit hash of the set), whatever their number; no pairs of copies are made. A region of connected
-    candidates, which only near copies make large, is joined in one task with its distinct sets in memory.
+    candidates is joined in one task while its distinct sets have up to `most_items` n-grams together. A larger one is dealt
+    into blocks by hash, and each two blocks are joined in a task of their own, so memory doesn't follow the region's size.
     """
     chosen = docs.select(order_id(F.col(id_col)).alias("_id"), F.col(text_col).alias("_text"))
 
@@ -245,49 +265,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, regions)]), pa.int32()), pa.array(np.concatenate(regions)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), lists], names=["_id", "n", "key", "regions"])
 
-    found = chosen.mapInArrow(described, "_id long, n long, key long, regions array<long>")
+    found = stored(chosen.mapInArrow(described, "_id long, n long, key long, regions array<long>"), "described")
     dealt = found.select("key", F.explode("regions").alias("region"))
     first = F.first("key").over(Window.partitionBy("region").orderBy("key"))
     edges = dealt.withColumn("a", first).where("a < key").select("a", F.col("key").alias("b"))
     near = _components(edges, "stars")
     near = stored(near.union(near.select("root", "root").distinct()), "regions")
 
-    meta = stored(found.select("_id", "n", "key"), "sets")
-    classes_of = meta.groupBy("key").agg(F.min("_id").alias("first"))
-    wanted = near.join(classes_of, F.col("node") == F.col("key")).select(F.col("first").alias("_id"), "key", F.col("root").alias("region"))
+    meta = found.select("_id", "n", "key")
+    classes_of = meta.groupBy("key").agg(F.min("_id").alias("first"), F.max("n").alias("n"))
+    wanted = stored(near.join(classes_of, F.col("node") == F.col("key")).select(F.col("first").alias("_id"), "key", F.col("root").alias("region"), "n"), "wanted")
+    large = wanted.groupBy("region").agg(F.sum("n").alias("items")).where(F.col("items") > most_items)
+    large = large.select("region", F.ceil(2 * F.col("items") / most_items).alias("blocks"))
+    any_large = not large.isEmpty()
+    blocks = F.coalesce("blocks", F.lit(1))
+    wanted = wanted.drop("n").join(large, "region", "left").withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(key), blocks)"))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(size)
         for batch in slices(batches, "_text"):
             sets = [make(t) for t in batch.column("_text").to_pylist()]
             own = pa.array([key_of(s) == k for s, k in zip(sets, batch.column("key").to_pylist())])
-            rows = pa.RecordBatch.from_arrays([batch.column("region"), batch.column("key"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["region", "key", "items"])
+            kept = ["region", "blocks", "block", "key"]
+            rows = pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*kept, "items"])
             yield rows.filter(own)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        last = None
+        last = (0, 0, 0)
 
         def done() -> pa.RecordBatch:
             keys = list(held)
             sets = list(held.values())
             # Chains of regions can be long, but only sets that meet in one of them can link.
             roots = join_region(sets, percent, cells=shared_cells(sets, percent)) if len(keys) > 1 else [0] * len(keys)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([keys[r] for r in roots], pa.int64())], names=["key", "root"])
+            whole = pa.array([last[1] == last[2]] * len(keys))
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([keys[r] for r in roots], pa.int64()), whole], names=["key", "root", "whole"])
 
         for batch in batches:
-            for region, key, items in zip(*(c.to_pylist() for c in batch.columns)):
-                if region != last and held:
+            for *unit, key, items in zip(*(c.to_pylist() for c in batch.columns)):
+                if tuple(unit) != last and held:
                     yield done()
                     held = {}
-                last = region
+                last = tuple(unit)
                 held[key] = np.frombuffer(items, np.uint64)
         if held:
             yield done()
 
     # Rows that repeat an id bring other texts along; the key tells which one is meant.
-    pieces = chosen.join(wanted, "_id").mapInArrow(gathered, "region long, key long, items binary")
-    linked = stored(pieces.repartition("region").sortWithinPartitions("region", "key").mapInArrow(joined, "key long, root long"), "links")
+    pieces = chosen.join(wanted, "_id").mapInArrow(gathered, "region long, blocks long, block long, key long, items binary")
+    # Each two blocks are a unit; a region of one block is one unit with itself.
+    others = F.expr("IF(blocks = 1, array(0L), filter(sequence(0L, blocks - 1), other -> other != block))")
+    units = pieces.withColumn("other", F.explode(others)).select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "items")
+    dealt_units = units.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high", "key")
+    linked = stored(dealt_units.mapInArrow(joined, "key long, root long, whole boolean"), "links")
+    if any_large:  # a set is in several units then, and what they found is connected once more
+        across = _components(linked.where("NOT whole AND key != root").select(F.col("root").alias("a"), F.col("key").alias("b")), "across").toDF("key", "root")
+        linked = linked.where("whole").select("key", "root").union(across).union(across.select("root", "root").distinct())
     smallest = linked.join(classes_of, "key").groupBy("root").agg(F.min("first").alias("component"))
     by_key = classes_of.join(linked.join(smallest, "root"), "key", "left").select("key", F.coalesce("component", "first").alias("component"))
     out = meta.join(by_key, "key")

@@ -116,6 +116,28 @@ def test_region_join_is_exact(seed):
     assert join_region(sets, 85) == want == join_region(sets, 85, cells=shared_cells(sets, 85))
 
 
+def test_near_duplicates_in_blocks(spark):
+    r = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(160)]
+    texts = []
+    for i in range(120):
+        words = [w if keep else f"x{i}" for w, keep in zip(base, r.random(160) > r.choice([0.01, 0.02, 0.05]))]
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame([*enumerate(texts), (500, texts[3]), (501, "")], "doc_id long, text string").repartition(4)
+    sets = [{tuple(w[k : k + 4]) for k in range(157)} for w in (t.split() for t in texts)]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    want = {**dict(enumerate(root)), 500: root[3], 501: 501}
+    for most in (1 << 21, 4_000):  # in one task, and dealt into blocks
+        assert {x.doc_id: x.component_id for x in near_duplicates(rows, most_items=most).collect()} == want
+    assert 1 < len(set(root)) < len(root)
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(7, PASSAGE), (8, "one, two! three?"), (9, None), (10, "..."), (11, "word0 nothing")], "item_id long, text string")
     hits = {r.doc_id: r.contamination for r in with_hits(docs, items).collect()}
