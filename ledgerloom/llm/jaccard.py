@@ -225,9 +225,9 @@ def _components(edges: DataFrame, name: str) -> DataFrame:
     while True:
         both = edges.union(edges.select("b", "a")).toDF("a", "b")
         large = both.withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a")))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        down = large.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))  # repeats do not change the minimum; they go below
         least = down.withColumn("m", F.min("b").over(Window.partitionBy("a")))
-        small = least.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        small = least.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")).distinct())
         edges = stored(small.where("a != b").distinct(), name)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
