@@ -80,6 +80,9 @@ ADJUSTMENT_SHEETS = {
 }
 ADJUSTMENT_LEDGERS = {"应付账款": PAYABLE, "应收账款": RECEIVABLE}
 
+# --- Fixed values: column headers of the adjustment template --------------------------------
+ADJUSTMENT_HEADERS = {"编码": "party_code", "名称": "party_name", "币种": "currency", "调整金额": "amount"}
+
 # --- Fixed values: published view names -> workpaper names ------------------------------------
 VIEW_NAMES = {
     "应付账款明细表_空白行": "ap_blank",

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom import fixed_values as fv
-from ledgerloom.schemas import TABLES
+from ledgerloom.schemas import TABLES, conform
 from ledgerloom.sources import contracts, rates
 from ledgerloom.sources.clean import (
     clean_accruals, clean_asset_postings, clean_asset_register, clean_asset_scrapped,
-    clean_cost_postings, clean_open_items, clean_postings, clean_trial_balance, tagged,
+    clean_cost_postings, clean_open_items, clean_postings, clean_trial_balance, load_adjustments, tagged,
+    union_tagged,
 )
-from ledgerloom.sources.readers import empty, load_sources
+from ledgerloom.sources.readers import adjustment_sheets, empty, load_sources
 from ledgerloom.sources.sinks import read_table, write_table
 
 Tables = dict[str, DataFrame]
@@ -32,7 +33,11 @@ def _with_trial_balance(tables: Tables, frames: Tables) -> Tables:
 def build_arap_tables(
     spark: SparkSession, paths: dict[str, str], end_date: str | None = None, rate_table: DataFrame | None = None
 ) -> tuple[Tables, DataFrame]:
-    """Open items, postings, accruals, revaluation, rates and, where given, the trial balance."""
+    """Open items, postings, accruals, revaluation, rates and the trial balance.
+
+    The trial balance is an empty table where none is given: only two sections of the payables
+    schedule come from it.
+    """
     frames, status = load_sources(spark, paths, contracts.ARAP_CONTRACTS)
     _required(frames, *[n for n in contracts.ARAP_CONTRACTS if n != "TB"])
     tables = {
@@ -46,6 +51,7 @@ def build_arap_tables(
         "accruals": clean_accruals(frames["ZFI072N_THIS"]),
         "fx_revaluation": frames["FOREIGN_CURRENCY"],
         "fx_rates": empty(spark, "fx_rates") if rate_table is None else rates.fx_rates_long(rate_table, end_date),
+        "trial_balance": empty(spark, "trial_balance"),
     }
     return _with_trial_balance(tables, frames), status
 
@@ -73,6 +79,15 @@ def build_trial_balance(spark: SparkSession, paths: dict[str, str]) -> tuple[Tab
     return _with_trial_balance({}, frames), status
 
 
+def build_adjustments(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """The table `adjustments` from one folder of sheets per trade ledger, by its published name."""
+    unknown = [ledger for ledger in paths if ledger not in fv.ADJUSTMENT_LEDGERS]
+    if unknown:
+        raise ValueError(f"not a trade ledger: {unknown}")
+    parts = [load_adjustments(adjustment_sheets(spark, path), ledger) for ledger, path in paths.items()]
+    return conform(union_tagged(empty(spark, "adjustments"), *parts), "adjustments")
+
+
 # Open items are read one period at a time, so their files are split by period.
 _PARTITIONS = {"open_items": ("period_tag", "source_tag"), "postings": ("source_tag",)}
 

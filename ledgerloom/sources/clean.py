@@ -143,8 +143,14 @@ def roll_up_adjustments(df: DataFrame, amount: str = "amount", also_by: tuple[st
 
 
 def load_adjustments(sheets: DataFrame, suffix: str, amount: str = "amount") -> DataFrame:
-    """Adjustment sheets of one ledger. Sheets of the two trade ledgers are rolled up, others kept."""
+    """Adjustment sheets of one ledger. Sheets of the two trade ledgers are rolled up, others kept.
+
+    Those of the trade ledgers may carry the headers of the published template.
+    """
     ledger = fv.ADJUSTMENT_LEDGERS.get(suffix, suffix)
+    if ledger in fv.ADJUSTMENT_LEDGERS.values():
+        sheets = sheets.withColumnsRenamed(fv.ADJUSTMENT_HEADERS)
+        amount = fv.ADJUSTMENT_HEADERS.get(amount, amount)
     kind = F.col("kind")
     for sheet, code in fv.ADJUSTMENT_SHEETS.items():
         kind = F.when(F.col("kind") == sheet, code).otherwise(kind)

@@ -18,12 +18,21 @@ def project_catalogue(projects: DataFrame) -> DataFrame:
     return projects.select(KEYS).unpivot([], KEYS, "field", "value").distinct()
 
 
-def projects_from_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Projects named by their files, `group_company_year_month.<ending>`; contents are not read."""
+def _project_parts(spark: SparkSession, folder: str) -> DataFrame:
     name = F.element_at(F.split(F.col("path"), "/"), -1)
-    parts = F.split(F.regexp_replace(name, r"\.[^.]*$", ""), "_")
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-        .select(parts.alias("parts")).filter(F.size("parts") == len(KEYS))
-        .select([F.col("parts")[i].alias(key) for i, key in enumerate(KEYS)])
-    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", F.split(F.regexp_replace(name, r"\.[^.]*$", ""), "_").alias("parts"))
+
+
+def projects_from_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Projects named by their files, `group_company_year_month.<ending>`; contents are not read.
+
+    Files of other names are no projects; `rejected_project_files` lists them.
+    """
+    named = _project_parts(spark, folder).filter(F.size("parts") == len(KEYS))
+    return named.select([F.col("parts")[i].alias(key) for i, key in enumerate(KEYS)])
+
+
+def rejected_project_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files whose names do not split into the four project keys, such as a company with `_` in its name."""
+    return _project_parts(spark, folder).filter(F.size("parts") != len(KEYS)).select("path")

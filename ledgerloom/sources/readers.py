@@ -17,23 +17,34 @@ def unquote(path: str) -> str:
     return path
 
 
-def read_raw(spark: SparkSession, path: str, header_row: int = 0) -> DataFrame:
-    """All columns of an export, header names trimmed. CSV columns are text; nothing is inferred."""
+def read_raw(spark: SparkSession, path: str, header_row: int = 0, required: tuple[str, ...] = ()) -> DataFrame:
+    """All columns of an export, header names trimmed. CSV columns are text; nothing is inferred.
+
+    Every CSV file is read by its own header and files are put together by name, so their column
+    orders may differ. A header cell without a name is called by its place (`_c3`). A file that
+    lacks one of the `required` columns is named in the error.
+    """
     path = unquote(path)
-    if not path.lower().rstrip("/").endswith((".csv", ".csv.gz", ".txt")):
-        df = spark.read.parquet(path)
-    elif header_row == 0:
-        df = spark.read.csv(path, header=True, escape='"')
+    if path.lower().rstrip("/").endswith((".csv", ".csv.gz", ".txt")):
+        parts = read_csv_files(spark, path, header_row)
     else:
-        df = read_below_preamble(spark, path, header_row)
-    return df.toDF(*[c.strip() for c in df.columns])
-
-
-def read_below_preamble(spark: SparkSession, path: str, header_row: int) -> DataFrame:
-    """CSV files whose header is on line `header_row`, with other text above it.
-
-    Line numbers are needed only in the first block of each file, so only those blocks are
-    numbered; the remaining blocks pass straight through.
+        parts = [(path, spark.read.parquet(path))]
+    result = None
+    for file, df in parts:
+        df = df.toDF(*[c.strip() for c in df.columns])
+        missing = [c for c in required if c not in df.columns]
+        if missing:
+            raise ValueError(f"{file}: missing required columns {missing}")
+        result = df if result is None else result.unionByName(df, allowMissingColumns=True)
+    return result
+
+
+def read_csv_files(spark: SparkSession, path: str, header_row: int) -> list[tuple[str, DataFrame]]:
+    """One frame for each distinct header of the CSV files below `path`, with one of its files.
+
+    The header is on line `header_row`, with other text above it. Line numbers are needed only in
+    the first block of each file, so only those blocks are numbered; the remaining blocks pass
+    straight through. What reaches the driver is one row per distinct header.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -41,21 +52,32 @@ def read_below_preamble(spark: SparkSession, path: str, header_row: int) -> Data
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("position"),
     )
-    numbered = lines.filter(F.col("block") == 0).withColumn(
-        "line", F.row_number().over(Window.partitionBy("file").orderBy("position")) - 1
-    )
-    header = numbered.filter(F.col("line") == header_row).select("value").first()
-    if header is None:
+    first = lines.filter(F.col("block") == 0)
+    if header_row:
+        numbered = first.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("position")) - 1)
+        headers = numbered.filter(F.col("line") == header_row).select("file", "value")
+    else:
+        numbered, headers = None, first.groupBy("file").agg(F.min_by("value", "position").alias("value"))
+    found = headers.groupBy("value").agg(F.min("file").alias("file")).sort("file").collect()
+    if not found and header_row:
         raise ValueError(f"{path}: no header on line {header_row}")
-    names = _split_header(spark, header["value"])
-    body = (
-        numbered.filter(F.col("line") > header_row).select("value")
-        .unionByName(lines.filter(F.col("block") > 0).select("value"))
-        .filter(F.trim("value") != "")
-    )
-    return body.select(F.from_csv("value", _text_fields(len(names)), {"escape": '"'}).alias("r")).select(
-        [F.col(f"r.c{i}").alias(name) for i, name in enumerate(names)]
-    )
+    if not header_row and len(found) < 2:
+        return [(path, spark.read.csv(path, header=True, escape='"'))]
+    if header_row:
+        body = numbered.filter(F.col("line") > header_row).select("file", "value")
+    else:
+        starts = first.groupBy("file").agg(F.min("position").alias("start"))
+        body = first.join(starts, "file").filter(F.col("position") > F.col("start")).select("file", "value")
+    body = body.unionByName(lines.filter(F.col("block") > 0).select("file", "value")).filter(F.trim("value") != "")
+    if len(found) > 1:
+        body = body.join(headers.select("file", F.col("value").alias("header")), "file")
+    parts = []
+    for row in found:
+        names = _split_header(spark, row["value"])
+        own = body.filter(F.col("header") == row["value"]) if len(found) > 1 else body
+        parsed = own.select(F.from_csv("value", _text_fields(len(names)), {"escape": '"'}).alias("r"))
+        parts.append((row["file"], parsed.select([F.col(f"r.c{i}").alias(name) for i, name in enumerate(names)])))
+    return parts
 
 
 def _text_fields(width: int) -> str:
@@ -63,21 +85,20 @@ def _text_fields(width: int) -> str:
 
 
 def _split_header(spark: SparkSession, line: str) -> list[str]:
-    fields = _text_fields(line.count(",") + 1)
-    row = spark.range(1).select(F.from_csv(F.lit(line), fields).alias("r")).select("r.*").first()
-    return [name for name in row if name is not None]
+    """The names on a header line; cells without one keep their place. Quoted commas leave no cells behind."""
+    width = line.count(",") + 1
+    quoted = sum(part.count(",") for part in line.split('"')[1::2])
+    row = spark.range(1).select(F.from_csv(F.lit(line), _text_fields(width)).alias("r")).select("r.*").first()
+    return [name if name is not None and name.strip() else f"_c{i}" for i, name in enumerate(row[: width - quoted])]
 
 
 def contract_scan(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
     """Required columns under canonical names and types; a missing one is named in the error."""
     if path == EMPTY_SOURCE:
         return empty(spark, contract.table or "fx_revaluation")
-    df = read_raw(spark, path, contract.header_row)
+    df = read_raw(spark, path, contract.header_row, tuple(contract.columns))
     if not contract.columns:
         return df
-    missing = [c for c in contract.columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"{path}: missing required columns {missing}")
     renamed = df.select([F.col(f"`{source}`").alias(name) for source, name in contract.columns.items()])
     return conform(renamed, contract.table) if contract.table else renamed
 

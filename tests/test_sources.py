@@ -191,6 +191,44 @@ def test_projects(spark, tmp_path):
     }
 
 
+def test_files_that_name_no_project_are_listed(spark, tmp_path):
+    for name in ("g_a_2024_12.parquet", "g_a_b_2024_12.parquet", "other.txt"):
+        (tmp_path / name).write_text("x")
+    rejected = projects.rejected_project_files(spark, str(tmp_path)).collect()
+    assert {r.path.split("/")[-1] for r in rejected} == {"g_a_b_2024_12.parquet", "other.txt"}
+
+
+@pytest.mark.parametrize("header_row", [0, 2])
+def test_each_csv_file_has_its_own_header(spark, tmp_path, header_row):
+    folder = tmp_path / "two 件.csv"
+    folder.mkdir()
+    above = ["title,x"] * header_row
+    write_csv(folder, "a.csv", [*above, 'acct,,"cur,rency",amt', "1,x,USD,5"])
+    write_csv(folder, "b.csv", [*above, '"cur,rency",amt,acct', "EUR,6,2", "acct,7,3"])
+    rows = readers.read_raw(spark, str(folder), header_row).select("acct", "_c1", "cur,rency", "amt").collect()
+    assert {tuple(r) for r in rows} == {("1", "x", "USD", "5"), ("2", None, "EUR", "6"), ("3", None, "acct", "7")}
+    with pytest.raises(ValueError, match="b.csv.*_c1"):
+        readers.read_raw(spark, str(folder), header_row, ("acct", "_c1"))
+
+
+def test_adjustments_from_the_published_template(spark, tmp_path):
+    lines = [("1", "V1", "CNY", 1.005), ("1", "V1", "CNY", 2.0), ("2", None, "CNY", 9.0)]
+    paths = {}
+    for ledger, sheet in (("应付账款", "总账调整"), ("应收账款", "返利调整")):
+        paths[ledger] = str(tmp_path / ledger)
+        df = spark.createDataFrame(lines, "`编码` string, `名称` string, `币种` string, `调整金额` double")
+        df.withColumn("kind", F.lit(sheet)).write.partitionBy("kind").parquet(paths[ledger])
+    df = flows.build_adjustments(spark, paths)
+    assert df.schema.simpleString() == TABLES["adjustments"].simpleString()
+    flows.save_tables({"adjustments": df}, str(tmp_path / "saved"))
+    back = flows.load_tables(spark, str(tmp_path / "saved"), ["adjustments"])["adjustments"]
+    assert {(r.party_code, r.kind, r.ledger, str(r.amount)) for r in back.collect()} == {
+        ("1", fv.GL, fv.PAYABLE, "3.00"), ("1", fv.REBATE, fv.RECEIVABLE, "3.00"),
+    }
+    with pytest.raises(ValueError, match="trade ledger"):
+        flows.build_adjustments(spark, {"固定资产": "x"})
+
+
 def test_table_per_project_is_replaced_alone(spark, tmp_path):
     path = str(tmp_path / "t")
     one = dict(company_group="g", company_name="a", project_year="2024", project_month="12")
@@ -286,6 +324,14 @@ def test_ledger_load_to_schedule(spark, arap_paths, tmp_path, capsys):
     assert papers.adjusted_ar()[0].columns[4:8] == ["opening", "increase", "decrease", "closing"]
 
 
+def test_schedule_without_a_trial_balance(spark, arap_paths):
+    tables, status = flows.build_arap_tables(spark, {k: v for k, v in arap_paths.items() if k != "TB"})
+    assert not {r.source: r.ok for r in status.collect()}["TB"]
+    tables["adjustments"] = readers.empty(spark, "adjustments")
+    rows = Workpapers(tables)["ap_detail"].collect()
+    assert {"1", "3"} <= {r.party_code for r in rows}
+
+
 def test_asset_cost_and_trial_balance_flows(spark, arap_paths, tmp_path):
     asset = "公司代码,主资产号,资产类别,固定资产名称,规格型号,开始使用日期,原值,累计折旧,折旧年限(月份),已折旧年限(月份)"
     scrap = asset + ",注销日期"
