@@ -179,8 +179,10 @@ def learn(
             x = [shared.value.features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64())], names=["toxic", "a", "b"])
 
-    fitted = np.array(keyed.select("toxic", "_text").mapInArrow(features, "toxic int, a double, b double").orderBy("a", "b", "toxic").collect(), float)
-    lexicon.curve = tuple(round(x, 6) for x in _curve(fitted[:, 1:], fitted[:, 0]))
+    found = keyed.select("toxic", "_text").mapInArrow(features, "toxic int, a double, b double").groupBy("a", "b", "toxic").count()
+    rows = np.array(sorted(map(tuple, found.collect())), float)  # at most `most_rows` rows; texts without a match are one
+    fitted = np.repeat(rows[:, :3], rows[:, 3].astype(int), axis=0)
+    lexicon.curve = tuple(round(x, 6) for x in _curve(fitted[:, :2], fitted[:, 2]))
     lexicon._automaton = None
     return lexicon
 
