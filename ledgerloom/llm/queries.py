@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.archives import archive
+from ledgerloom.llm.best_fit import pack_best_fit
 from ledgerloom.llm.decontaminate import with_hits
 from ledgerloom.llm.html_text import with_main_text
 from ledgerloom.llm.jaccard import near_duplicates
@@ -31,6 +32,10 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
 
 
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_best_fit(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeats(_table(spark, folder, "documents"), with_bytes=False).drop("kept_bytes")
 
@@ -73,6 +78,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_html_extraction": op5_html_extraction,
     "op6_decontamination": op6_decontamination,

@@ -11,6 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import archives, quality
+from ledgerloom.llm.best_fit import best_fit_decreasing, pack_best_fit
 from ledgerloom.llm.decontaminate import with_hits
 from ledgerloom.llm.html_text import main_text
 from ledgerloom.llm.jaccard import _links, join_region, near_duplicates, shared_cells
@@ -232,6 +233,46 @@ def test_packing(docs, empty):
     assert len(by_sequence) <= sum(r.length for r in rows) / 256 * 1.1 + 2 and pack(empty, path).count() == 0
 
 
+def test_best_fit_decreasing_is_a_plain_search():
+    r = np.random.default_rng(3)
+    pieces = [(i, 0, bytes(4 * int(n)), int(n)) for i, n in enumerate(np.r_[r.integers(1, 65, 400), r.integers(1, 9, 200), [64, 1]])]
+    want: list[list] = []  # free places and lengths
+    for n in sorted((p[3] for p in pieces), reverse=True):
+        fits = [w for w in want if w[0] >= n]
+        if fits:
+            best = min(fits, key=lambda w: w[0])
+            best[0] -= n
+            best[1].append(n)
+        else:
+            want.append([64 - n, [n]])
+    got = best_fit_decreasing(pieces, 64)
+    assert sorted(p[0] for _, held in got for p in held) == list(range(len(pieces))) and best_fit_decreasing([], 64) == []
+    assert all(free == 64 - sum(p[3] for p in held) >= 0 for free, held in got)
+    assert sorted(free for free, _ in got) == sorted(free for free, _ in want)
+
+
+@pytest.mark.parametrize("most_ids, most_open", [(1 << 22, 64), (300, 1)])
+def test_best_fit_packing(docs, empty, most_ids, most_open):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = pack_best_fit(docs.unionByName(docs), path, size=256, pad_id=7, most_ids=most_ids, most_open=most_open, merge_tasks=2).collect()
+    pieces = []
+    for r in rows:
+        ids, positions, cu = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.positions, "<u4"), r.cu_lengths
+        assert len(ids) == len(positions) == 256 and cu[0] == 0 and cu[-1] == r.n_ids and (ids[r.n_ids :] == 7).all() and not positions[r.n_ids :].any()
+        assert len(cu) - 1 == len(r.doc_ids) == len(r.starts) == len(r.doc_tokens)
+        for a, b, doc, start, total in zip(cu, cu[1:], r.doc_ids, r.starts, r.doc_tokens):
+            assert positions[a:b].tolist() == list(range(b - a)) and b > a
+            pieces.append((str(doc), start, total, ids[a:b].tolist()))
+    want, plain = [], Tokenizer.from_file(path)
+    for i, t in TEXTS * 2:
+        ids = plain.encode(t or "", add_special_tokens=False).ids + [1]
+        want += [(str(i), k, len(ids), ids[k : k + 256]) for k in range(0, len(ids), 256)]
+    assert sorted(pieces) == sorted(want)
+    assert len({r.sequence_id for r in rows}) == len(rows) and pack_best_fit(empty, path).count() == 0
+    if most_ids > 300:
+        assert len(rows) <= sum(r.n_ids for r in rows) / 256 * 1.1 + 4
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_archives(spark, version):
     rows = [(1, "http://a b/é", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u", None), (4, "u", ""), (5, "u", "WARC/1.1\r\n\r\nodd\n" * 50), (None, "u", "<p>x</p>"), (1, "u", "<p>x</p>")]
