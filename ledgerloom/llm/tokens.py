@@ -36,12 +36,18 @@ class _Ids(dict):
 
 
 class ByteBpe:
-    """Ids of whole texts. Special tokens in a text are ordinary text."""
+    """Ids of whole texts. Added tokens of the file, as <|endoftext|>, are found in a text first, as the library does."""
 
     def __init__(self, path: str, most_words: int = 300_000):
         """path: a tokenizer file of the `tokenizers` library. most_words: bound of the cache, which is then emptied."""
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            held = json.load(file)
+        vocabulary, added = held["model"]["vocab"], held.get("added_tokens") or []
+        if odd := [t["content"] for t in added if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]:
+            raise ValueError(f"added tokens that take in or ask for their surroundings are not supported: {odd}")
+        self._added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        longest = sorted(self._added, key=len, reverse=True)
+        self._cuts = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         plain = _byte_characters()
         ranks = {bytes(plain[c] for c in piece): i for piece, i in vocabulary.items() if all(c in plain for c in piece)}
         self._encode = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=_only_merged(ranks), special_tokens={}).encode_ordinary
@@ -49,6 +55,11 @@ class ByteBpe:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
+        if self._cuts and self._cuts.search(text):  # each part is a text of its own
+            return b"".join(self._added[part] if i % 2 else self._plain(part) for i, part in enumerate(self._cuts.split(text)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         if _AWKWARD.search(text):

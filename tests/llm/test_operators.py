@@ -213,6 +213,15 @@ def test_tokens_are_those_of_the_library():
         assert np.frombuffer(byte_bpe(path).ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_those_of_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    end = "<|endoftext|>"
+    assert np.frombuffer(byte_bpe(path).ids(f"a {end} b"), "<u4").tolist() == [64, 220, 50256, 275]
+    for text in (end, end * 3, f"{end} x", f"x{end}", f"one two  {end}\n\n three{end}four", f"<{end}>", "<|endoftext|", "<| endoftext |>", f"tab\t{end}\t", "<|ENDOFTEXT|>"):
+        assert np.frombuffer(byte_bpe(path).ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = pack(docs, path, size=256, most_open=3).collect()
