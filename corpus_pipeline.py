@@ -1,7 +1,7 @@
 """A corpus pipeline of the operators in ledgerloom.llm: from documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns
-of documents. Rows are told apart by doc_id; see the operators for nulls, repeated rows and empty tables.
+of documents. See the operators for nulls, repeated rows and empty tables.
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import order_id, stored
+from ledgerloom.llm.common import stored
 from ledgerloom.llm.decontaminate import with_hits
-from ledgerloom.llm.jaccard import near_duplicates
+from ledgerloom.llm.jaccard import without_near_duplicates
 from ledgerloom.llm.line_dedup import with_line_bitmaps
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality import keep_good
@@ -32,10 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    found = near_duplicates(docs)
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(order_id(F.col("doc_id")).alias("_id")).distinct()
-    return docs.withColumn("_id", order_id(F.col("doc_id"))).join(firsts, "_id", "left_semi").select(*docs.columns)
+    """Of each group of near duplicates (runs of five words, Jaccard similarity of 0.8 or more) one row stays, with the smallest id."""
+    return without_near_duplicates(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import order_id, slices, stored
+from ledgerloom.llm.common import content_keys, order_id, shown_id, slices, stored
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -238,18 +238,42 @@ def _components(edges: DataFrame, name: str) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, most_items: int = 1 << 21
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of `docs`.
+    """(doc_id, n_shingles, component_id) for each row of `docs`; see `grouped`. component_id: the smallest doc_id reachable by
+    links, itself included; rows without id are one document behind all others, shown as null."""
+    out = grouped(docs, id_col, text_col, size, percent, most_items)
+    component = F.when(F.col("n") == 0, F.col("_id")).otherwise(F.col("component"))
+    return out.select(shown_id(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown_id(component).alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of rows that `grouped` links, and all rows without words, which link with nothing.
+
+    Of a group, the smallest id stays (rows without id are last), and of its texts the one with the smallest content keys; of
+    rows equal in both, one. So one row stays also where ids repeat or are missing.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    groups = grouped(docs, id_col, text_col, size, percent)
+    firsts = groups.where("n > 0").groupBy("group").agg(F.min(F.struct("_id", "_t1", "_t2")).alias("first")).select("first.*").distinct()
+    keyed = docs.select(order_id(F.col(id_col)).alias("_id"), *content_keys(text, ("_t1", "_t2")), F.struct(*docs.columns).alias("_row"), (F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]"))).alias("_words"))
+    one = keyed.where("_words").join(firsts, ["_id", "_t1", "_t2"], "left_semi").groupBy("_id", "_t1", "_t2").agg(F.first("_row").alias("_row"))
+    return one.select("_row.*").unionByName(keyed.where("NOT _words").select("_row.*"))
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, most_items: int = 1 << 21) -> DataFrame:
+    """(_id, _t1, _t2, n, group, component) for each row of `docs`: its id and content keys as in `common`, the size of its set,
+    the group of rows connected by links, and the smallest _id there. Without words, group and component are of no use.
 
     A document's set: its distinct runs of `size` words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased); with fewer words the whole
     sequence as one; none without words or text. Two documents link when 100 * intersection >= percent * union; empty
-    sets link with nothing. component_id: the smallest doc_id reachable by links, itself included; rows without id are one
-    document behind all others, shown as null. Repeated rows and equal sets link as any others.
+    sets link with nothing. Repeated rows and equal sets link as any others.
 
     Equal sets are one (by a 64-bit hash of the set), whatever their number; no pairs of copies are made. A region of connected
     candidates is joined in one task while its distinct sets have up to `most_items` n-grams together. A larger one is dealt
     into blocks by hash, and each two blocks are joined in a task of their own, so memory doesn't follow the region's size.
     """
+    keys = content_keys(F.coalesce(F.col(text_col), F.lit("")), ("_t1", "_t2"))
     chosen = docs.select(order_id(F.col(id_col)).alias("_id"), F.col(text_col).alias("_text"))
+    keyed = docs.select(order_id(F.col(id_col)).alias("_id"), F.col(text_col).alias("_text"), *keys)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, classes, seen = Shingler(size), Classes(percent), set()
@@ -263,16 +287,17 @@ def near_duplicates(
                 regions.append(classes.regions(found).view(np.int64) if len(found) and k not in seen else np.zeros(0, np.int64))
                 seen.add(k)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, regions)]), pa.int32()), pa.array(np.concatenate(regions)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), lists], names=["_id", "n", "key", "regions"])
+            rows = [batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(key, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(rows, names=["_id", "_t1", "_t2", "n", "key", "regions"])
 
-    found = stored(chosen.mapInArrow(described, "_id long, n long, key long, regions array<long>"), "described")
+    found = stored(keyed.mapInArrow(described, "_id long, _t1 long, _t2 long, n long, key long, regions array<long>"), "described")
     dealt = found.select("key", F.explode("regions").alias("region"))
     first = F.first("key").over(Window.partitionBy("region").orderBy("key"))
     edges = dealt.withColumn("a", first).where("a < key").select("a", F.col("key").alias("b"))
     near = _components(edges, "stars")
     near = stored(near.union(near.select("root", "root").distinct()), "regions")
 
-    meta = found.select("_id", "n", "key")
+    meta = found.select("_id", "_t1", "_t2", "n", "key")
     classes_of = meta.groupBy("key").agg(F.min("_id").alias("first"), F.max("n").alias("n"))
     wanted = stored(near.join(classes_of, F.col("node") == F.col("key")).select(F.col("first").alias("_id"), "key", F.col("root").alias("region"), "n"), "wanted")
     large = wanted.groupBy("region").agg(F.sum("n").alias("items")).where(F.col("items") > most_items)
@@ -323,8 +348,6 @@ def near_duplicates(
         across = _components(linked.where("NOT whole AND key != root").select(F.col("root").alias("a"), F.col("key").alias("b")), "across").toDF("key", "root")
         linked = linked.where("whole").select("key", "root").union(across).union(across.select("root", "root").distinct())
     smallest = linked.join(classes_of, "key").groupBy("root").agg(F.min("first").alias("component"))
-    by_key = classes_of.join(linked.join(smallest, "root"), "key", "left").select("key", F.coalesce("component", "first").alias("component"))
-    out = meta.join(by_key, "key")
-    component = F.when(F.col("n") == 0, F.col("_id")).otherwise(F.col("component"))
-    shown = lambda c: F.when(c != 2**63 - 1, c)
-    return out.select(shown(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(component).alias("component_id"))
+    by_key = classes_of.join(linked.join(smallest, "root"), "key", "left")
+    by_key = by_key.select("key", F.coalesce("root", "key").alias("group"), F.coalesce("component", "first").alias("component"))
+    return meta.join(by_key, "key").drop("key")

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -139,6 +140,40 @@ def test_near_duplicates_in_blocks(spark):
     assert 1 < len(set(root)) < len(root)
 
 
+def test_near_duplicate_stage(spark):
+    r = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(98)]
+    texts = []
+    for i in range(60):
+        words = list(base) if i % 3 else [f"v{i % 4}x{k}" for k in range(60)]
+        for k in r.choice(len(words), r.choice([0, 1, 2, 3, 4, 6]), replace=False):
+            words[k] = f"x{i}"
+        texts.append(" ".join(words))
+    two = list(base)
+    two[20], two[60] = "y", "z"  # 84 of 104 runs of five words are in common, but 87 of 103 of four
+    ids = [None if i % 7 == 0 else i // 2 for i in range(60)]
+    rows = [*zip(ids, texts), (0, texts[1]), (0, texts[1]), (None, ""), (None, None), (3, " \t"), (3, " \t"), (500, " ".join(f"q{w}" for w in base)), (501, " ".join(f"q{w}" for w in two))]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = corpus_pipeline.near_duplicate_documents(spark, docs, "").collect()
+    group = {t: g for (_, t), s, g in zip(rows, sets, root) if s}
+    with_words = [x for x in kept if x.text and x.text.strip()]
+    assert sorted(group[x.text] for x in with_words) == sorted(set(group.values())) and 1 < len(with_words) < 60
+    order = lambda i: (i is None, i or 0)
+    for x in with_words:
+        assert order(x.doc_id) == min(order(i) for (i, _), g, s in zip(rows, root, sets) if s and g == group[x.text])
+        assert (x.doc_id, x.text) in rows
+    assert Counter((x.doc_id, x.text) for x in kept if x not in with_words) == Counter({(None, ""): 1, (None, None): 1, (3, " \t"): 2})
+    assert sum(x.doc_id in (500, 501) for x in kept) == 1
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(7, PASSAGE), (8, "one, two! three?"), (9, None), (10, "..."), (11, "word0 nothing")], "item_id long, text string")
     hits = {r.doc_id: r.contamination for r in with_hits(docs, items).collect()}
