@@ -198,6 +198,49 @@ def test_quality(docs, empty):
     assert quality.keep_good(docs).columns == docs.columns
 
 
+def test_quality_verdicts_are_those_of_a_plain_model(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    prose = [r.text for r in docs.where("lang = 'en' AND n_chars > 800").orderBy("doc_id").limit(8).collect()]
+    junk = [(9000 + i, " ".join(f"{w} |" for w in t.split()[:150]), "en") for i, t in enumerate(prose)] + [(9100 + i, " ".join(f"{w} $$$ &&& %%%" for w in t.split()[:150]), "en") for i, t in enumerate(prose)]
+    docs = docs.unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string"))
+    rows = {r.doc_id: r for r in quality.quality_verdicts(docs).collect()}
+    texts = defaultdict(dict)
+    for r in docs.collect():
+        if r.text:
+            texts[r.lang if r.lang in quality.LANGUAGES else "other"][r.doc_id] = [0, 0, 0, *quality.symbols(r.text).tolist()]
+    for own in texts.values():
+        counts = {4: Counter(tuple(s[k : k + 4]) for s in own.values() for k in range(len(s) - 3))}
+        for n in (3, 2, 1):
+            counts[n] = Counter(x[1:] for x in counts[n + 1])
+        totals, kinds, cuts = defaultdict(int), defaultdict(Counter), {}
+        for n in counts:
+            c = Counter(counts[n].values())
+            y = c[1] / (c[1] + 2 * c[2]) if c[1] else 0.5
+            cuts[n] = [0, *(min(max(k - (k + 1) * y * c[k + 1] / c[k] if c[k] else k / 2, 0.05), k - 0.05) for k in (1, 2, 3))]
+            for x, m in counts[n].items():
+                totals[x[:-1]] += m
+                kinds[x[:-1]][min(m, 3)] += 1
+        known = {}
+
+        def chance(x, counts=counts, totals=totals, kinds=kinds, cuts=cuts, known=known):
+            if not x:
+                return 1 / 32
+            if x not in known:
+                n, total = len(x), totals.get(x[:-1], 0)
+                m = counts[n].get(x, 0)
+                known[x] = chance(x[1:]) if not total else (m - cuts[n][min(m, 3)] + sum(cuts[n][k] * v for k, v in kinds[x[:-1]].items()) * chance(x[1:])) / total
+            return known[x]
+
+        plain = {i: -sum(np.log(chance(tuple(s[k : k + 4]))) for k in range(len(s) - 3)) / (len(s) - 3) for i, s in own.items()}
+        body = sorted(np.floor(plain[i] * 1000) / 1000 + 0.0005 for i in own if not rows[i].base_failed)
+        if body:
+            low, mid, high = (body[int(np.ceil(q * len(body))) - 1] for q in (0.25, 0.5, 0.75))
+        for i, value in plain.items():
+            assert abs(rows[i].log_perplexity - value) < 1e-9
+            kept = not rows[i].base_failed and mid - max(0.1, 3 * (mid - low) / 0.6745) <= value <= mid + max(0.1, 3 * (high - mid) / 0.6745)
+            assert rows[i].kept == kept
+
+
 def test_kneser_ney_sums_to_one():
     texts = ["the cat sat on the mat", "a dog, the dog! 42", "zebra"]
     packed = np.concatenate([quality.runs(quality.symbols(t)) for t in texts])
