@@ -138,8 +138,8 @@ def pack_best_fit(
             return []
 
         for batch in slices(batches, "_text"):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = bpe.ids(text or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), bpe.batch(batch.column(1))):
+                ids += end
                 total = len(ids) // 4
                 whole = total - total % size
                 for start in range(0, whole, size):

@@ -110,8 +110,8 @@ def pack(
         bpe, packer, rows = byte_bpe(tokenizer), Packer(size, most_open, most_padding), _Rows(TaskContext.get().partitionId(), with_ids)
         end = end_id.to_bytes(4, "little")
         for batch in slices(batches, "_text"):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = bpe.ids(text or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), bpe.batch(batch.column(1))):
+                ids += end
                 for window, pieces in packer.add((doc, 0, ids, len(ids) // 4)):
                     rows.add(window, pieces, False)
             yield rows.take()

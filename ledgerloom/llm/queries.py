@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.archives import archive
 from ledgerloom.llm.best_fit import pack_best_fit
+from ledgerloom.llm.counted_fit import pack_by_lengths
 from ledgerloom.llm.decontaminate import with_hits
 from ledgerloom.llm.html_text import with_main_text
 from ledgerloom.llm.jaccard import near_duplicates
@@ -75,6 +76,10 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_by_lengths(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("ids")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 SQL = {
