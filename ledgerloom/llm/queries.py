@@ -10,6 +10,7 @@ from ledgerloom.llm.archives import archive
 from ledgerloom.llm.best_fit import pack_best_fit
 from ledgerloom.llm.counted_fit import pack_by_lengths
 from ledgerloom.llm.decontaminate import with_hits
+from ledgerloom.llm.hard_negatives import hard_negatives
 from ledgerloom.llm.html_text import with_main_text
 from ledgerloom.llm.jaccard import near_duplicates
 from ledgerloom.llm.line_dedup import with_line_bitmaps
@@ -76,6 +77,13 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    number, label = F.col("vec_id"), F.col("label")
+    flipped = F.when(number % 7 == 0, (label.cast("long") + 1) % 10).otherwise(label)
+    vectors = _table(spark, folder, "embeddings").withColumn("label", flipped)
+    return hard_negatives(vectors, number % 100 == 0)
+
+
 def op13_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_by_lengths(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("ids")
 
@@ -91,6 +99,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 
@@ -147,4 +156,23 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, digest AS payload_digest
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id > first THEN first END AS refers_to
 FROM payloads JOIN groups USING (hex) JOIN digits USING (hex)""",
+    "op12_hard_negatives": r"""
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER choice)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW choice AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER choice <= 10""",
 }
