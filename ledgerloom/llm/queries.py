@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.archives import archive
 from ledgerloom.llm.best_fit import pack_best_fit
+from ledgerloom.llm.collocations import collocations
 from ledgerloom.llm.counted_fit import pack_by_lengths
 from ledgerloom.llm.decontaminate import with_hits
 from ledgerloom.llm.hard_negatives import hard_negatives
@@ -77,6 +78,10 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(_table(spark, folder, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     number, label = F.col("vec_id"), F.col("label")
     flipped = F.when(number % 7 == 0, (label.cast("long") + 1) % 10).otherwise(label)
@@ -99,6 +104,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
+    "op11_collocations": op11_collocations,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
@@ -156,6 +162,37 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, digest AS payload_digest
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id > first THEN first END AS refers_to
 FROM payloads JOIN groups USING (hex) JOIN digits USING (hex)""",
+    "op11_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM split GROUP BY lang
+), runs AS (
+  SELECT lang, words[i : i + size - 1] AS words
+  FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i
+        FROM (SELECT lang, words, unnest([1, 2, 3, 4]) AS size FROM split) WHERE len(words) >= size)
+), f AS (SELECT lang, words, count(*) AS f FROM runs GROUP BY lang, words HAVING count(*) >= 30
+), candidates AS (SELECT lang, words, f AS a FROM f WHERE len(words) >= 2
+), cuts AS (
+  SELECT c.lang, c.words, c.a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f) AS score
+  FROM (SELECT lang, words, a, unnest(range(1, len(words))) AS k FROM candidates) c
+  JOIN f x ON x.lang = c.lang AND x.words = c.words[1 : k]
+  JOIN f y ON y.lang = c.lang AND y.words = c.words[k + 1 :]
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1
+), inner_runs AS (
+  SELECT lang, words[i : i + size - 1] AS words, max(a) AS around
+  FROM (SELECT lang, words, a, size, unnest(range(1, len(words) - size + 2)) AS i
+        FROM (SELECT lang, words, a, unnest(range(2, len(words))) AS size FROM candidates WHERE len(words) >= 3))
+  GROUP BY ALL
+)
+SELECT lang, row_number() OVER best AS rank, array_to_string(words, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
+FROM lowest LEFT JOIN inner_runs USING (lang, words) JOIN totals USING (lang)
+WHERE around IS NULL OR 100 * around::HUGEINT < 80 * a::HUGEINT
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' '))
+QUALIFY row_number() OVER best <= 2000""",
     "op12_hard_negatives": r"""
 WITH vectors AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
