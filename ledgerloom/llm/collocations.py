@@ -54,7 +54,7 @@ class _Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = hash_of(word, self.seed)
-        if len(word) <= 40 and len(self) < 1_000_000:
+        if len(word) <= 40 and len(self) < 200_000:
             self[word] = h
         return h
 
@@ -101,9 +101,9 @@ def _shift(h: np.ndarray, by: int) -> np.ndarray:
 
 
 class Scan:
-    """Runs over the corpus as hashes of words, a few million words at a time, and counts what `rows` picks."""
+    """Runs over the corpus as hashes of words, a million words at a time, and counts what `rows` picks."""
 
-    def __init__(self, seed: int, names: list[str], most: int = 1 << 21):
+    def __init__(self, seed: int, names: list[str], most: int = 1 << 20):
         self.seed, self.names, self.most = seed, names, most
 
     def rows(self, lang: np.ndarray, h: np.ndarray) -> list[tuple[np.ndarray, list[np.ndarray]]]:
@@ -236,7 +236,7 @@ def tree_scan(batches: Iterator[pa.RecordBatch], longest: int, least: int) -> It
 
 def counted_words(docs: DataFrame, seed: int) -> DataFrame:
     """(lang, lang_id, word, hash, key, n) of every word; ids, hashes and keys as 64 bits."""
-    def count(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
 
         def counted() -> Iterator[pa.RecordBatch]:
@@ -317,7 +317,7 @@ def collocations(
     Words are 64-bit hashes on the way; that no two words share one is checked, else another seed is taken. Prefixes are grouped
     by a budget of max(`least_budget`, N / 2^16) suffixes, N being all words, so at most 2^16 cuts between groups, words and pairs
     over the budget are broadcast, and two sets of frequent prefixes as bits, of 16 MB at most. Counts are added up in each task
-    before they are shuffled, so a word, pair or text that comes very often is a row a few million words.
+    before they are shuffled, so a word, pair or text that comes very often is a row a million words.
     """
     session = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
