@@ -61,6 +61,17 @@ def lookup(column: Column, mapping: dict[str, str]) -> Column:
     return chain
 
 
+def rate_of(currency: str, rates: DataFrame) -> Column:
+    """The rate of a currency, NULL without one, from `rates` (currency, rate) of one day.
+
+    The day's rates are one row, a map that comes by scalar subquery, so nothing is joined or shuffled by currency. Two rates
+    for one currency are an error.
+    """
+    entries = F.collect_list(F.struct("currency", "rate"))
+    known = rates.where(F.col("currency").isNotNull()).select(F.map_from_entries(entries)).scalar()
+    return F.element_at(known, F.col(currency))
+
+
 def drop_prefix(column: str, length: int = 2) -> Column:
     return F.expr(f"substring({column}, {length + 1})")
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions.columns import money, null_row, or_zero, prefix_in, shortfall, zero
-from ledgerloom.functions.joins import full_outer, no_spread, null_spread
+from ledgerloom.functions.joins import no_spread, null_spread
+from ledgerloom.functions.pairing import gathered, lines, paired
 from ledgerloom.rules import LedgerRules
 
 KEYS = ["party_code", "currency", "account_code"]
@@ -42,8 +43,8 @@ def cleared_documents(postings: DataFrame, rules: LedgerRules) -> DataFrame:
     )
 
 
-def movement(postings: DataFrame, rules: LedgerRules) -> DataFrame:
-    """Increase per party, currency and account, without cleared documents.
+def uncleared_lines(postings: DataFrame, rules: LedgerRules) -> DataFrame:
+    """Increases per document, party, currency and account (`moved`), without cleared documents.
 
     Lines are summed per document and party first, so a document that holds a large share of
     the lines shrinks before the join; lines without a document number, which match nothing,
@@ -54,40 +55,43 @@ def movement(postings: DataFrame, rules: LedgerRules) -> DataFrame:
         ~payable & (F.col("dc_flag") == rules.debit_flag)
     )
     by = ["party_code", "party_name", "doc_currency", "account_code", "account_name"]
-    lines = (
+    documents = (
         postings.filter(_own_accounts(rules) & increases)
         .groupBy("doc_no", *by).agg(F.sum("local_amount").alias("moved"))
         .selectExpr("*", null_spread(["doc_no"], by))
     )
     cleared = cleared_documents(postings, rules).selectExpr("doc_no", no_spread(["doc_no"]))
-    return (
-        lines.join(cleared, ["doc_no", "_spread"], "left_anti")
-        .groupBy(*by).agg(F.sum("moved").alias("moved"))
-        .select(
-            "party_code", "party_name", F.col("doc_currency").alias("currency"), "account_code", "account_name",
-            _signed(F.col("moved"), rules).alias("increase"),
-        )
-    )
+    return documents.join(cleared, ["doc_no", "_spread"], "left_anti")
 
 
-def ledger_detail(open_items: DataFrame, postings: DataFrame, rules: LedgerRules) -> DataFrame:
-    """Opening, debit, credit and closing of both sides; the account code tells the side."""
+def movement(postings: DataFrame, rules: LedgerRules) -> DataFrame:
+    """Increase per party, currency and account, without cleared documents."""
+    moved = uncleared_lines(postings, rules).groupBy(
+        "party_code", "party_name", F.col("doc_currency").alias("currency"), "account_code", "account_name"
+    ).agg(F.sum("moved").alias("moved"))
+    return moved.withColumn("increase", _signed(F.col("moved"), rules)).drop("moved")
+
+
+def ledger_totals(open_items: DataFrame, postings: DataFrame, rules: LedgerRules) -> DataFrame:
+    """The totals of each party, currency and account as arrays by source; balances that net to 0 are left out."""
+    items = open_items.filter(_own_accounts(rules) & F.col("period_tag").isin(fv.THIS, fv.LAST))
+    this = F.col("period_tag") == fv.THIS
+    columns = {c: c for c in (*KEYS, *LABELS)} | {"currency": "doc_currency"}
+    parts = [
+        lines(items, F.when(this, F.lit("closing")).otherwise(F.lit("opening")), columns, F.col("local_amount"), F.when(this, F.col("doc_amount"))),
+        lines(uncleared_lines(postings, rules), F.lit("increase"), columns, F.col("moved")),
+    ]
+    return gathered(parts, KEYS, LABELS, {"opening": money("local") != 0, "closing": money("local") != 0, "increase": None})
 
-    def balance(tag: str, local: str, doc: str | None) -> DataFrame:
-        sums = {local: "local_amount"} | ({doc: "doc_amount"} if doc else {})
-        totals = (
-            open_items.filter(_own_accounts(rules) & (F.col("period_tag") == tag))
-            .groupBy("party_code", "party_name", F.col("doc_currency").alias("currency"),
-                     "account_name", "account_code")
-            .agg(*[F.sum(source).alias(name) for name, source in sums.items()])
-        )
-        return totals.withColumns(
-            {name: _signed(F.col(name), rules) for name in sums}
-        ).filter(F.col(local) != 0)
 
-    opening = balance(fv.LAST, "opening", None)
-    closing = balance(fv.THIS, "closing", "closing_doc")
-    both = full_outer(full_outer(opening, closing, KEYS, LABELS), movement(postings, rules), KEYS, LABELS)
+def ledger_detail(open_items: DataFrame, postings: DataFrame, rules: LedgerRules) -> DataFrame:
+    """Opening, debit, credit and closing of both sides; the account code tells the side."""
+    sources = ["opening", "closing", "increase"]
+    rows = paired(ledger_totals(open_items, postings, rules), sources, LABELS)
+    both = rows.select(
+        *KEYS, *LABELS, *[_signed(F.col(s)["local"], rules).alias(s) for s in sources],
+        _signed(F.col("closing")["doc"], rules).alias("closing_doc"),
+    )
     filled = both.withColumns({c: or_zero(c) for c in ("opening", "closing", "closing_doc", "increase")})
     # The side that carries the recorded increase; the other one is the balancing figure.
     plug = money(F.col("opening") + F.col("increase") - F.col("closing"))

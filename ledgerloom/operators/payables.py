@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import mul
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions.columns import (
-    any_null, as_columns, money, null_row, or_zero, shortfall, sub_account, text, total_of, zero,
+    as_columns, money, null_row, or_zero, rate_of, shortfall, sub_account, text, total_of, zero,
 )
-from ledgerloom.functions.joins import full_outer, left_outer
+from ledgerloom.functions.joins import left_outer
+from ledgerloom.functions.pairing import gathered, lines, overlaid, paired
 from ledgerloom.rules import LedgerRules
 from ledgerloom.schemas import MONEY
 
@@ -40,107 +42,59 @@ def _payable_moves(postings: DataFrame, rules: LedgerRules) -> DataFrame:
     ).withColumnRenamed("doc_currency", "currency")
 
 
-def _goods_accruals(accruals: DataFrame) -> DataFrame:
-    """Accruals of goods received, per vendor and currency, where they do not net to 0."""
-    return (
-        accruals.filter(F.col("misc_charge").isNull())
-        .groupBy(F.col("vendor_code").alias("party_code"), F.col("vendor_name").alias("party_name"), "currency")
-        .agg(money(F.sum("accrual_local")).alias("accrual"), money(F.sum("accrual_doc")).alias("accrual_doc"))
-        .filter(F.col("accrual") != 0)
-    )
-
-
-def _revaluation(fx_revaluation: DataFrame, rules: LedgerRules) -> DataFrame:
-    return (
-        fx_revaluation.filter(F.col("gl_account").startswith(rules.payable_prefix))
-        .groupBy(*KEYS).agg(money(-F.sum("posted_amount")).alias("fx_adj"))
-    )
-
-
 # ---------------------------------------------------------------------------- rollforward
 
-def _ledger_side(open_items: DataFrame, postings: DataFrame, rules: LedgerRules) -> DataFrame:
-    """Closing, opening and increase per party: three totals, joined on party and currency."""
-    items = _payable_items(open_items, rules)
-    by = ["party_code", "party_name", "currency"]
-    closing = (
-        items.filter(F.col("period_tag") == fv.THIS)
-        .groupBy(*by)
-        .agg(money(-F.sum("local_amount")).alias("closing"), money(-F.sum("doc_amount")).alias("closing_doc"))
-    )
-    opening = (
-        items.filter(F.col("period_tag") == fv.LAST)
-        .groupBy(*by).agg(money(-F.sum("local_amount")).alias("opening"))
-    )
-    increase = (
-        _payable_moves(postings, rules)
-        .groupBy(*by).agg(money(-F.sum("local_amount")).alias("increase"))
-    )
-    return full_outer(full_outer(closing, opening, KEYS, NAME), increase, KEYS, NAME)
+LEDGER = ["closing", "opening", "increase"]
 
 
-def _chained(open_items, postings, accruals, fx_revaluation, rules) -> DataFrame:
-    # Revaluation attaches to the ledger side only, so a party known only from accruals
-    # gets none: join it before the accruals come in.
-    ledger = left_outer(
-        _ledger_side(open_items, postings, rules), _revaluation(fx_revaluation, rules),
-        KEYS, by=[*KEYS, *NAME],
-    )
-    return full_outer(ledger, _goods_accruals(accruals), KEYS, NAME)
-
+def ap_totals(
+    open_items: DataFrame, postings: DataFrame, accruals: DataFrame, fx_revaluation: DataFrame, rules: LedgerRules
+) -> DataFrame:
+    """The totals of each party and currency as arrays by source: every table is read once, lines are grouped once.
 
-def _one_pass(open_items, postings, accruals, fx_revaluation, rules) -> DataFrame:
-    """The same totals by one union and one grouping, where a code has one name per source."""
-    measures = ["closing", "closing_doc", "opening", "increase", "accrual", "accrual_doc", "fx_adj"]
+    Revaluation has no names and attaches to the ledger side only; goods accruals that net to 0 are left out.
+    """
     items = _payable_items(open_items, rules).filter(F.col("period_tag").isin(fv.THIS, fv.LAST))
     this = F.col("period_tag") == fv.THIS
+    columns = {"party_code": "party_code", "currency": "currency", "party_name": "party_name"}
     parts = [
-        (items, F.when(this, F.lit(1)).otherwise(F.lit(2)), "party_code", "party_name", {
-            "closing": F.when(this, -F.col("local_amount")),
-            "closing_doc": F.when(this, -F.col("doc_amount")),
-            "opening": F.when(~this, -F.col("local_amount")),
-        }),
-        (_payable_moves(postings, rules), F.lit(3), "party_code", "party_name",
-         {"increase": -F.col("local_amount")}),
-        (accruals.filter(F.col("misc_charge").isNull()), F.lit(4), "vendor_code", "vendor_name",
-         {"accrual": F.col("accrual_local"), "accrual_doc": F.col("accrual_doc")}),
-        (fx_revaluation.filter(F.col("gl_account").startswith(rules.payable_prefix)), F.lit(5),
-         "party_code", None, {"fx_adj": -F.col("posted_amount")}),
+        lines(items, F.when(this, F.lit("closing")).otherwise(F.lit("opening")), columns, -F.col("local_amount"), F.when(this, -F.col("doc_amount"))),
+        lines(_payable_moves(postings, rules), F.lit("increase"), columns, -F.col("local_amount")),
+        lines(
+            accruals.filter(F.col("misc_charge").isNull()), F.lit("accrual"),
+            {**columns, "party_code": "vendor_code", "party_name": "vendor_name"}, F.col("accrual_local"), F.col("accrual_doc"),
+        ),
+        lines(
+            fx_revaluation.filter(F.col("gl_account").startswith(rules.payable_prefix)), F.lit("revaluation"),
+            {**columns, "party_name": text()}, -F.col("posted_amount"),
+        ),
     ]
-    rows = None
-    for df, source, code, name, values in parts:
-        part = as_columns(df, {
-            "party_code": code,
-            "currency": "currency",
-            "party_name": name if name else text(),
-            "source": source,
-            **{m: values.get(m, F.lit(None)).cast("decimal(19,2)") for m in measures},
-        })
-        rows = part if rows is None else rows.unionByName(part)
-
-    # NULL keys match nothing in the joins, so they stay apart by source and name here too.
-    apart = any_null(*KEYS)
-    rows = rows.withColumn("_source", F.when(apart, F.col("source"))).withColumn(
-        "_name", F.when(apart, F.col("party_name"))
-    )
-    name_of = [F.max(F.when(F.col("source") == s, F.col("party_name"))) for s in (1, 2, 3, 4)]
-    grouped = rows.groupBy(*KEYS, "_source", "_name").agg(
-        F.coalesce(*name_of).alias("party_name"),
-        F.max(F.col("source").between(1, 3)).alias("in_ledger"),
-        *[money(F.sum(m)).alias(m) for m in measures],
-    )
-    accrued = F.col("accrual") != 0
-    return (
-        grouped.withColumns({
-            "accrual_doc": F.when(accrued, F.col("accrual_doc")),
-            "accrual": F.when(accrued, F.col("accrual")),
-            "fx_adj": F.when(F.col("in_ledger"), F.col("fx_adj")),
-        })
-        .filter(F.col("in_ledger") | F.col("accrual").isNotNull())
-        .drop("_source", "_name", "in_ledger")
+    kept = {**{s: None for s in LEDGER}, "accrual": money("local") != 0, "revaluation": None}
+    if rules.party_names_in_key:  # revaluation has no name: it is spread to the names of its key afterwards
+        named = gathered(parts[:-1], [*KEYS, *NAME], [], {k: v for k, v in kept.items() if k != "revaluation"}, complete=KEYS)
+        revalued = gathered(parts[-1:], KEYS, [], {"revaluation": None}).drop("_apart")
+        return left_outer(named, revalued, KEYS, by=[*KEYS, *NAME])
+    return gathered(parts, KEYS, NAME, kept)
+
+
+def _totals(grouped: DataFrame, rules: LedgerRules) -> DataFrame:
+    in_ledger = F.size("closing") + F.size("opening") + F.size("increase") > 0
+    revalued = F.when(in_ledger, F.get("revaluation", F.lit(0))["local"])
+    rows = paired(grouped.withColumn("fx_adj", money(revalued)), [*LEDGER, "accrual"], [] if rules.party_names_in_key else NAME)
+    return rows.select(
+        *KEYS, *NAME, *[money(F.col(s)["local"]).alias(s) for s in [*LEDGER, "accrual"]], "fx_adj",
+        money(F.col("closing")["doc"]).alias("closing_doc"), money(F.col("accrual")["doc"]).alias("accrual_doc"),
     )
 
 
+def name_pairs(totals: DataFrame, rules: LedgerRules) -> DataFrame:
+    """Party codes whose names pair up in the payables, and into how many rows; read before the pairs are made."""
+    sources = [*LEDGER, "accrual"]
+    counted = totals.where(F.col("_apart") == "").withColumns({s: F.size(s) for s in sources})
+    pairs = reduce(mul, [F.greatest(F.col(s), F.lit(1)).cast("long") for s in sources])
+    return counted.select(*KEYS, *sources, pairs.alias("pairs")).where(F.col("pairs") > 1)
+
+
 def ap_temp(
     open_items: DataFrame, postings: DataFrame, accruals: DataFrame, fx_revaluation: DataFrame,
     rules: LedgerRules,
@@ -150,8 +104,7 @@ def ap_temp(
     The decrease is the balancing figure. A balance below zero is moved to prepayments
     (`neg_reclass`), which leaves `unaudited` at zero or above.
     """
-    build = _one_pass if rules.unique_party_names else _chained
-    totals = build(open_items, postings, accruals, fx_revaluation, rules)
+    totals = _totals(ap_totals(open_items, postings, accruals, fx_revaluation, rules), rules)
     balances = totals.withColumns({
         **{c: or_zero(c) for c in ("opening", "increase", "closing", "accrual", "fx_adj")},
         "doc_amount_pre": money(or_zero("closing_doc") + or_zero("accrual_doc")),
@@ -276,9 +229,8 @@ def ap_schedule(parties: DataFrame, control: DataFrame, misc: DataFrame, accrued
 def ap_fx_temp(temp: DataFrame, fx_rates: DataFrame, rules: LedgerRules) -> DataFrame:
     """Foreign-currency rows restated at the period-end rate; without a rate they turn NULL."""
     foreign = F.col("currency") != rules.base_currency
-    rated = temp.join(fx_rates.select("currency", "rate"), "currency", "left")
-    restated = money(F.round(F.col("doc_amount_pre") * F.col("rate"), 2))
-    return rated.withColumns({
+    restated = money(F.round(F.col("doc_amount_pre") * rate_of("currency", fx_rates), 2))
+    return temp.withColumns({
         "fx_adj": F.when(foreign, money(restated - F.col("unaudited"))).otherwise(F.col("fx_adj")),
         "unaudited": F.when(foreign, restated).otherwise(F.col("unaudited")),
     }).withColumn("doc_amount", _doc_unless_zero()).select(*DETAIL, "doc_amount_pre")
@@ -288,11 +240,9 @@ def ap_fx_temp(temp: DataFrame, fx_rates: DataFrame, rules: LedgerRules) -> Data
 
 def ap_adj_temp(temp: DataFrame, adjustments: DataFrame) -> DataFrame:
     """Manual adjustments laid over the rollforward, then reclassified again."""
-    for kind in (fv.GL, fv.CONSTRUCTION, fv.REBATE):
-        overlay = adjustments.filter((F.col("ledger") == fv.PAYABLE) & (F.col("kind") == kind)).select(
-            *KEYS, money("amount").alias(f"{kind}_amount")
-        )
-        temp = left_outer(temp, overlay, KEYS, by=[*KEYS, *NAME])
+    kinds = {kind: f"{kind}_amount" for kind in (fv.GL, fv.CONSTRUCTION, fv.REBATE)}
+    rows = adjustments.filter(F.col("ledger") == fv.PAYABLE).select(*KEYS, "kind", money("amount").alias("amount"))
+    temp = overlaid(temp, rows, KEYS, kinds, by=[*KEYS, *NAME])
     built = F.col("construction_amount")
     adjusted = temp.withColumns({
         "decrease": money(F.col("decrease") + F.coalesce(built, zero())),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import fixed_values as fv
-from ledgerloom.functions.columns import any_null, as_columns, money, or_zero, shortfall, text, total_of, zero
+from ledgerloom.functions.columns import any_null, as_columns, money, or_zero, rate_of, shortfall, text, total_of, zero
 from ledgerloom.functions.joins import left_outer
+from ledgerloom.functions.pairing import overlaid
 from ledgerloom.rules import LedgerRules
 
 KEYS = ["account_code", "account_name", "party_code", "party_name", "currency"]
@@ -93,7 +94,7 @@ def ar_fx_temp(detail: DataFrame, fx_rates: DataFrame, rules: LedgerRules) -> Da
     Without a rate the reported amount is NULL and nothing is reclassified.
     """
     foreign = F.col("currency") != rules.base_currency
-    rated = detail.join(fx_rates.select("currency", "rate"), "currency", "left")
+    rated = detail.withColumn("rate", rate_of("currency", fx_rates))
     converted = F.col("doc_amount") * F.col("rate")
     restated = money(converted)
     return rated.select(
@@ -117,11 +118,9 @@ def ar_fx_detail(fx_temp: DataFrame) -> DataFrame:
 def ar_adj_detail(detail: DataFrame, adjustments: DataFrame) -> DataFrame:
     """Ledger and rebate adjustments laid over the receivables, then reclassified again."""
     keys = ["party_code", "currency"]
-    for kind, name in ((fv.GL, "gl_adj"), (fv.REBATE, "other_adj")):
-        overlay = adjustments.filter((F.col("ledger") == fv.RECEIVABLE) & (F.col("kind") == kind)).select(
-            *keys, money("amount").alias(name)
-        )
-        detail = left_outer(detail, overlay, keys, by=KEYS).withColumn(name, or_zero(name))
+    rows = adjustments.filter(F.col("ledger") == fv.RECEIVABLE).select(*keys, "kind", money("amount").alias("amount"))
+    kinds = {fv.GL: "gl_adj", fv.REBATE: "other_adj"}
+    detail = overlaid(detail, rows, keys, kinds, by=KEYS).withColumns({name: or_zero(name) for name in kinds.values()})
     pressure = total_of("closing", "fx_adj", "gl_adj", "other_adj")
     return detail.select(
         "account_code", "account_name", "party_code", "party_name", *ROLLFORWARD, "fx_adj",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -158,5 +159,8 @@ BUILDERS: dict[str, Callable[[Workpapers], DataFrame]] = {
     # Assets
     "intangible_detail": lambda w: assets.intangible_detail(w.t("asset_register"), w.t("asset_postings"), w.rules),
     # Checks
+    "name_pairs": lambda w: payables.name_pairs(
+        payables.ap_totals(*_ledger(w), w.t("accruals"), w.t("fx_revaluation"), replace(w.rules, party_names_in_key=False)), w.rules
+    ),
     "duplicate_party_names": lambda w: checks.duplicate_party_names(*_ledger(w), w.t("accruals")),
 }

@@ -38,7 +38,7 @@ class LedgerRules:
     adjusted_control_unaudited_zero: bool = True
     adjusted_fx_advance_uses_plain: bool = True
 
-    # Promise that no party code carries two names within one source. Payables then
-    # need one shuffle instead of a chain of outer joins; `duplicate_party_names`
-    # shows whether the promise holds. Left off, any data gives the right result.
-    unique_party_names: bool = False
+    # Payables of a code with several names pair up across sources, as published: n names in one
+    # and m in another give n * m rows. With names in the key each name is a row of its own, so
+    # that a code with very many names stays small; `name_pairs` shows the codes concerned.
+    party_names_in_key: bool = False

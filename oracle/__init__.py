@@ -23,9 +23,11 @@ def _needed(name: str, seen: list[str]) -> None:
         seen.append(name)
 
 
-def statement(name: str) -> str:
-    """SELECT over the named part, preceded by every part it refers to."""
+def statement(name: str, without_rows: tuple[str, ...] = ()) -> str:
+    """SELECT over the named part, preceded by every part it refers to; the parts `without_rows` are empty."""
     parts: list[str] = []
     _needed(name, parts)
-    ctes = ",\n".join(f"{part} AS (\n{PARTS[part].strip()}\n)" for part in parts)
+    bodies = {p: PARTS[p].strip() for p in parts}
+    bodies |= {p: f"SELECT * FROM (\n{bodies[p]}\n) WHERE false" for p in without_rows if p in bodies}
+    ctes = ",\n".join(f"{part} AS (\n{body}\n)" for part, body in bodies.items())
     return f"WITH {ctes}\nSELECT * FROM {name}"

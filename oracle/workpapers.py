@@ -376,6 +376,17 @@ SELECT DISTINCT field, value FROM (
   UNION ALL SELECT 'project_year', project_year FROM projects
   UNION ALL SELECT 'project_month', project_month FROM projects
 )""",
+    "name_pairs": """
+SELECT party_code, currency, closing, opening, increase, accrual,
+  greatest(closing, 1)::BIGINT * greatest(opening, 1) * greatest(increase, 1) * greatest(accrual, 1) AS pairs
+FROM (
+  SELECT party_code, currency, (count(*) FILTER (s = 'c'))::INTEGER AS closing, (count(*) FILTER (s = 'o'))::INTEGER AS opening,
+    (count(*) FILTER (s = 'i'))::INTEGER AS increase, (count(*) FILTER (s = 'a'))::INTEGER AS accrual
+  FROM (
+    SELECT 'c' AS s, party_code, currency FROM ap_closing UNION ALL SELECT 'o', party_code, currency FROM ap_opening
+    UNION ALL SELECT 'i', party_code, currency FROM ap_increase UNION ALL SELECT 'a', party_code, currency FROM ap_accrual
+  ) WHERE party_code IS NOT NULL AND currency IS NOT NULL GROUP BY ALL
+) WHERE greatest(closing, 1)::BIGINT * greatest(opening, 1) * greatest(increase, 1) * greatest(accrual, 1) > 1""",
     "duplicate_party_names": """
 SELECT source, party_code, currency, count(*) AS names
 FROM (

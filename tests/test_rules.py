@@ -1,5 +1,6 @@
 """Rule switches, the one-pass rollforward, invariants, and hand-worked rows."""
 
+import re
 from dataclasses import replace
 from decimal import Decimal
 
@@ -49,13 +50,55 @@ def revaluation(spark, *values):
 AP, AR = ("22021000", "应付账款"), ("11220010", "应收账款")
 
 
-def test_one_pass_equals_the_join_chain_where_names_are_unique(tables):
+def test_names_in_the_key_change_nothing_where_names_are_unique(tables):
     # The accruals without a vendor share one code under two names; leave them out.
     named = dict(tables) | {"accruals": tables["accruals"].filter("vendor_code != ''")}
-    chain = Workpapers(named, RULES)["ap_temp"]
-    one_pass = Workpapers(named, replace(RULES, unique_party_names=True))["ap_temp"]
-    assert chain.columns == one_pass.columns
-    assert rows(chain) == rows(one_pass)
+    pairing = Workpapers(named, RULES)["ap_temp"]
+    by_name = Workpapers(named, replace(RULES, party_names_in_key=True))["ap_temp"]
+    assert pairing.columns == by_name.columns
+    assert rows(pairing) == rows(by_name)
+
+
+def test_many_names_of_one_code(spark):
+    """5,000 names would pair into 25 million rows; with names in the key each is one row."""
+    names = [(*AP, "1", f"n{i}", "CNY", "-1", "-1", tag) for i in range(5000) for tag in ("this", "last")]
+    many = items(spark, *names, (*AP, "2", None, "CNY", "-3", "-3", "this"), (*AP, "2", None, "CNY", "-4", "-4", "last"))
+    w = papers(spark, replace(LedgerRules(), party_names_in_key=True), open_items=many, fx_revaluation=revaluation(spark, ("1", "22021000", "CNY", "2")))
+    assert w["name_pairs"].first().pairs == 25_000_000
+    found = w["ap_temp"]
+    assert found.count() == 5001 and found.where("party_code = '1' AND closing = 1 AND opening = 1 AND fx_adj = -2").count() == 5000
+    assert [(r.opening, r.closing) for r in found.where("party_code = '2'").collect()] == [(D(4), D(3))]
+
+
+def test_two_rates_of_one_currency_are_an_error(spark):
+    rate = spark.createDataFrame([("USD", D("7.1")), ("USD", D("7.2"))], "currency string, rate decimal(19,4)")
+    w = papers(spark, fx_rates=rate, open_items=items(spark, (*AP, "1", "a", "USD", "-1", "-1", "this")))
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        w["ap_fx_temp"].collect()
+
+
+def scans(df, tables):
+    """How often a plan reads each table."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {t: len(re.findall(rf"FileScan parquet [^\n]*/{t}\b", plan)) for t in tables}
+
+
+def test_tables_are_read_once(spark, tables, tmp_path, request):
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.maxMetadataStringLength"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    stored = {}
+    for name in ("open_items", "postings", "accruals", "fx_revaluation", "fx_rates", "adjustments", "trial_balance"):
+        tables[name].write.parquet(f"{tmp_path}/{name}")
+        stored[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    w = Workpapers(stored, RULES)
+    ledger = ("open_items", "postings", "accruals", "fx_revaluation")
+    assert scans(w["ap_temp"], ledger) == dict.fromkeys(ledger, 1)
+    assert scans(w["other_ledger"], ["open_items"]) == {"open_items": 1}
+    adjusted = w["ap_fx_adj_temp"]
+    assert scans(adjusted, [*ledger, "adjustments", "fx_rates"]) == dict.fromkeys([*ledger, "adjustments", "fx_rates"], 1)
+    text = adjusted._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in text and not re.search(r"hashpartitioning\(currency#\d+, \d+\)", text)
+    assert scans(w["ar_fx_adj_detail"], ["adjustments"]) == {"adjustments": 1}
 
 
 def test_two_names_of_one_code_pair_up(spark):
