@@ -49,11 +49,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read again: computed once, and no lost executor takes it away."""
-    folder = shared_folder(df.sparkSession, name)
+def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """`df` written to the shared folder and read again: computed once, and no lost executor takes it away.
+
+    `instead_of`: an earlier result of this function that nothing needs any more once `df` is written; its folder goes.
+    """
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    if instead_of is not None:
+        old = spark._jvm.org.apache.hadoop.fs.Path(instead_of.stored_in)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    back = spark.read.schema(df.schema).parquet(folder)
+    back.stored_in = folder
+    return back
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

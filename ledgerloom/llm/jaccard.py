@@ -6,8 +6,10 @@ parts by hash, and a document's restriction to a part is its pivot there. Restri
 difference, and two documents that link differ in at most D n-grams, so with m > D they are at distance 0 from the same pivot
 in at least m - D parts. Documents meet in these regions (a few for each five n-grams), never by one common n-gram.
 
-Connected regions are then joined with the Jaccard metric itself: pivots, nearest-pivot cells, and windows of twice the
-radius that replicate boundary documents, recursively and exactly. Pairs that are already connected are not compared.
+A pair of a small region is a candidate only if it meets in as many regions as linked documents of these sizes must; a large
+region's documents are candidates with its pivot. Groups of connected candidates are then joined with the Jaccard metric
+itself: pivots, nearest-pivot cells, and windows of twice the radius that replicate boundary documents, recursively and
+exactly. Pairs that are already connected are not compared.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import content_keys, order_id, shown_id, slices, stored
@@ -91,24 +93,27 @@ class Classes:
         slack = 2 + d // 16
         return d + 1 + slack, slack
 
-    def regions(self, found: np.ndarray) -> np.ndarray:
-        """The document's pivots, as 64-bit hashes, in the parts of its class and of the next one.
+    def described(self, found: np.ndarray) -> tuple[int, np.ndarray, list[int]]:
+        """A set's class, its pivots as 64-bit hashes in the parts of its class and of the next one, and for both how many
+        of them a linked set must share with it at least.
 
         A part without n-grams is a pivot only for documents with more such parts than the slack: other linked pairs also
-        agree in a part with n-grams.
+        agree in a part with n-grams. Linked sets agree in `slack` + 1 parts, of which no more can be empty than are here.
         """
-        out = []
-        for c in (self.of(len(found)), self.of(len(found)) + 1):
+        own, out, needs = self.of(len(found)), [], []
+        for c in (own, own + 1):
             m, slack = self.parts(c)
             part = (_mix(found ^ np.uint64(c + 1)) % np.uint64(m)).astype(np.int64)
             sums = np.zeros(m, np.uint64)
             np.add.at(sums, part, _mix(found + _BASE))
             there = np.bincount(part, minlength=m) > 0
-            if m - there.sum() > slack:
+            empty = m - int(there.sum())
+            if empty > slack:
                 there[:] = True
             numbers = np.flatnonzero(there).astype(np.uint64)
             out.append(_mix(sums[there] + _mix(numbers + np.uint64(c << 32))))
-        return np.concatenate(out)
+            needs.append(max(slack + 1 - empty, 0))
+        return own, np.concatenate(out), needs
 
 
 def _links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -119,7 +124,7 @@ def _links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def shared_cells(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
     """The members of each first region in which two or more sets meet; linked sets meet in one at least."""
     classes = Classes(percent)
-    found = [classes.regions(s) if len(s) else s for s in sets]
+    found = [classes.described(s)[1] if len(s) else s for s in sets]
     region = np.concatenate(found)
     member = np.repeat(np.arange(len(sets)), [len(f) for f in found])
     order = np.argsort(region, kind="stable")
@@ -219,22 +224,130 @@ def join_region(sets: list[np.ndarray], percent: int, brute: int = 16, cells: li
 
 
 def _components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, root): the smallest node reachable by `edges` (a, b). Alternates large and small stars until nothing changes."""
+    """(node, root): the smallest node reachable by `edges` (a, b). Alternates large and small stars until nothing changes.
+
+    Each node's minimum comes by a grouping, whose partial sums take a hot node to a row a task, and a join.
+    """
+    def with_least(pairs: DataFrame) -> DataFrame:
+        return pairs.join(pairs.groupBy("a").agg(F.min("b").alias("least")), "a")
+
     edges = stored(edges.distinct(), name)
     before = None
     while True:
         both = edges.union(edges.select("b", "a")).toDF("a", "b")
-        large = both.withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a")))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b"))
         down = large.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))  # repeats do not change the minimum; they go below
-        least = down.withColumn("m", F.min("b").over(Window.partitionBy("a")))
-        small = least.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")).distinct())
-        edges = stored(small.where("a != b").distinct(), name)
+        least = with_least(down)
+        small = least.select(F.col("b").alias("a"), F.col("least").alias("b")).union(least.select("a", F.col("least").alias("b")).distinct())
+        edges = stored(small.where("a != b").distinct(), name, instead_of=edges)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.toDF("node", "root")
         before = state
 
 
+_MEETING = np.dtype([("region", "<i8"), ("key", "<i8")])
+
+
+def _met(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, whether by a large region): all pairs of the sets that meet in a region of up to `most`, and of larger ones the
+    pairs with their smallest set."""
+    rows = np.unique(rows)
+    begin = np.flatnonzero(np.r_[True, rows["region"][1:] != rows["region"][:-1]]) if len(rows) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[begin, len(rows)])
+    a, b, large = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for size in range(2, most + 1):
+        members = rows["key"][begin[n == size][:, None] + np.arange(size)]
+        i, j = np.triu_indices(size, 1)
+        a.append(members[:, i].ravel())
+        b.append(members[:, j].ravel())
+        large.append(np.zeros(len(a[-1]), bool))
+    hot = n > most
+    inside = np.repeat(hot, n)
+    first = np.repeat(rows["key"][begin], n)
+    star = inside & (first != rows["key"])
+    a.append(first[star])
+    b.append(rows["key"][star])
+    large.append(np.ones(int(star.sum()), bool))
+    return np.concatenate(a), np.concatenate(b), np.concatenate(large)
+
+
+def _candidates(found: DataFrame, percent: int, small: int = 32, chunk: int = 1 << 20) -> DataFrame:
+    """(a, b): pairs of keys, a < b, that connect all sets that link. `found`: key, n, cls, own, next, regions.
+
+    Regions are dealt in buckets of about `chunk` rows, as packed arrays. Of a region with over `small` sets in a chunk of a
+    task, the others are connected to the smallest there and `small` + 1 go on, by which it is known to be large.
+    """
+    buckets = max(1, -(-(found.agg(F.sum(F.size("regions"))).first()[0] or 0) // chunk))
+
+    def edges(a: np.ndarray, b: np.ndarray, large: np.ndarray, part: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(a), part):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + part]) for x in (a, b, large)], names=["a", "b", "large"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            rows = np.unique(np.concatenate(held))
+            begin = np.flatnonzero(np.r_[True, rows["region"][1:] != rows["region"][:-1]])
+            n = np.diff(np.r_[begin, len(rows)])
+            hot = np.repeat(n > small, n)
+            a, b, _ = _met(rows[hot], small)
+            place = np.arange(len(rows)) - np.repeat(begin, n)
+            rows = rows[place <= small]
+            bucket = (_mix(rows["region"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[order], bucket[order]
+            at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            blobs = [rows[x:y].tobytes() for x, y in zip(at.tolist(), [*at[1:].tolist(), len(rows)])]
+            stars = np.stack([a, b], axis=1).astype("<i8").tobytes()
+            numbers, blobs = [*bucket[at].tolist(), -1], [*blobs, stars]
+            for k in range(0, len(blobs), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[k : k + 64], pa.int64()), pa.array(blobs[k : k + 64], pa.binary())], names=["bucket", "rows"])
+
+        for batch in batches:
+            lists = batch.column("regions")
+            regions = lists.flatten().to_numpy()
+            rows = np.empty(len(regions), _MEETING)
+            rows["region"], rows["key"] = regions, np.repeat(batch.column("key").to_numpy(), np.diff(lists.offsets.to_numpy()))
+            held.append(rows)
+            size += len(rows)
+            if size >= chunk:
+                yield from sent()
+                held, size = [], 0
+        if size:
+            yield from sent()
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, rows in zip(batch.column("bucket").to_pylist(), batch.column("rows").to_pylist()):
+                if bucket < 0:  # pairs already
+                    pairs = np.frombuffer(rows, "<i8").reshape(-1, 2)
+                    yield from edges(pairs[:, 0], pairs[:, 1], np.ones(len(pairs), bool))
+                    continue
+                if bucket != now and held:
+                    yield from edges(*_met(np.concatenate(held), small))
+                    held = []
+                now = bucket
+                held.append(np.frombuffer(rows, _MEETING))
+        if held:
+            yield from edges(*_met(np.concatenate(held), small))
+
+    packed = found.where(F.size("regions") > 0).select("key", "regions").mapInArrow(dealt, "bucket long, rows binary")
+    spread = F.when(F.col("bucket") < 0, F.xxhash64("rows")).otherwise(F.lit(0))  # finished pairs go anywhere
+    packed = packed.withColumn("spread", spread).repartition("bucket", "spread").sortWithinPartitions("bucket").drop("spread")
+    pairs = packed.mapInArrow(met, "a long, b long, large boolean").groupBy("a", "b").agg(F.count("*").alias("met"), F.max("large").alias("large"))
+    of = found.groupBy("key").agg(*(F.max(c).alias(c) for c in ("n", "cls", "own", "next")))
+    for side in "ab":
+        pairs = pairs.join(of.select(F.col("key").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", "cls", "own", "next"))), side)
+    need = F.expr("""CASE WHEN a_cls = b_cls THEN greatest(a_own, b_own) + greatest(a_next, b_next)
+                          WHEN a_cls + 1 = b_cls THEN greatest(a_next, b_own) WHEN b_cls + 1 = a_cls THEN greatest(b_next, a_own) END""")
+    near = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (F.col("met") >= need)
+    # What meets in a large region is connected by way of its smallest set, whatever the sizes.
+    return pairs.where(F.col("large") | near).select("a", "b")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85, most_items: int = 1 << 21
 ) -> DataFrame:
@@ -278,23 +391,24 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, classes, seen = Shingler(size), Classes(percent), set()
         for batch in slices(batches, "_text"):
-            n, key, regions = [], [], []
+            n, key, regions, kinds = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = make(text)
                 k = key_of(found)
                 n.append(len(found))
                 key.append(k)
-                regions.append(classes.regions(found).view(np.int64) if len(found) and k not in seen else np.zeros(0, np.int64))
+                cls, own, needs = classes.described(found) if len(found) and k not in seen else (0, np.zeros(0, np.uint64), [0, 0])
+                regions.append(own.view(np.int64))
+                kinds.append((cls, *needs))
                 seen.add(k)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, regions)]), pa.int32()), pa.array(np.concatenate(regions)))
             rows = [batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(key, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(rows, names=["_id", "_t1", "_t2", "n", "key", "regions"])
+            rows += [pa.array(x, pa.int32()) for x in zip(*kinds)]
+            yield pa.RecordBatch.from_arrays(rows, names=["_id", "_t1", "_t2", "n", "key", "regions", "cls", "own", "next"])
 
-    found = stored(keyed.mapInArrow(described, "_id long, _t1 long, _t2 long, n long, key long, regions array<long>"), "described")
-    dealt = found.select("key", F.explode("regions").alias("region"))
-    first = F.first("key").over(Window.partitionBy("region").orderBy("key"))
-    edges = dealt.withColumn("a", first).where("a < key").select("a", F.col("key").alias("b"))
-    near = _components(edges, "stars")
+    schema = "_id long, _t1 long, _t2 long, n long, key long, regions array<long>, cls int, own int, next int"
+    found = stored(keyed.mapInArrow(described, schema), "described")
+    near = _components(_candidates(found, percent), "stars")
     near = stored(near.union(near.select("root", "root").distinct()), "regions")
 
     meta = found.select("_id", "_t1", "_t2", "n", "key")

@@ -15,7 +15,7 @@ from ledgerloom.llm import archives, quality
 from ledgerloom.llm.best_fit import best_fit_decreasing, pack_best_fit
 from ledgerloom.llm.decontaminate import with_hits
 from ledgerloom.llm.html_text import main_text
-from ledgerloom.llm.jaccard import _links, join_region, near_duplicates, shared_cells
+from ledgerloom.llm.jaccard import Classes, _candidates, _links, join_region, near_duplicates, shared_cells
 from ledgerloom.llm.line_dedup import with_line_bitmaps
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.queries import QUERIES, SQL
@@ -118,6 +118,36 @@ def test_region_join_is_exact(seed):
     assert join_region(sets, 85) == want == join_region(sets, 85, cells=shared_cells(sets, 85))
 
 
+@pytest.mark.parametrize("small, chunk", [(32, 1 << 20), (3, 50), (1, 400), (2, 7)])
+def test_candidates_connect_all_links(spark, small, chunk):
+    """Also where every region is large, in many small chunks and buckets."""
+    rng = np.random.default_rng(small)
+    groups = [rng.integers(0, 10**9, int(rng.integers(3, 60))).astype(np.uint64) for _ in range(12)]
+    sets = [np.unique(np.r_[g[rng.random(len(g)) > 0.07], rng.integers(0, 10**9, int(rng.integers(0, 3))).astype(np.uint64)]) for g in groups for _ in range(12)]
+    shared = rng.integers(0, 10**9, 20).astype(np.uint64)  # a passage of many sets that do not link
+    sets += [np.unique(np.r_[shared, rng.integers(0, 10**9, 25).astype(np.uint64)]) for _ in range(20)]
+    sets = [s for s in {s.tobytes(): s for s in sets if len(s)}.values()]
+    for percent in (80, 85):
+        classes = Classes(percent)
+        rows = []
+        for k, s in enumerate(sets):
+            cls, regions, needs = classes.described(s)
+            rows.append((k, len(s), cls, *needs, regions.view(np.int64).tolist()))
+        found = spark.createDataFrame(rows, "key long, n long, cls int, own int, next int, regions array<long>").repartition(5)
+        parent = list(range(len(sets)))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for r in _candidates(found, percent, small, chunk).collect():
+            assert r.a < r.b
+            parent[root(r.a)] = root(r.b)
+        links = [(i, j) for i in range(len(sets)) for j in range(i) if _links(sets[i], sets[j], percent)]
+        assert len(links) > 100 and all(root(i) == root(j) for i, j in links)
+
+
 def test_near_duplicates_in_blocks(spark):
     r = np.random.default_rng(7)
     base = [f"w{i}" for i in range(160)]
