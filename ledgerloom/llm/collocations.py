@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import LOWER, UPPER, slices, stored
+from ledgerloom.llm.common import LOWER, UPPER, Marked, slices, stored
 
 #: The contract's separators of pieces, [.,;:!?\x0A-\x0D], all shown as a full stop; tabs as blanks; A-Z lower-cased.
 SEPARATORS = ".,;:!?\n\x0b\x0c\r"
@@ -70,22 +70,6 @@ def keys(lang: np.ndarray, *words: np.ndarray) -> np.ndarray:
     return reduce(lambda h, w: _mix(h * _BASE + w), words, _mix(lang))
 
 
-class Marked:
-    """A set of keys as bits, with room for 16 bits a key and never over 16 MB. What isn't in the set may seem so."""
-
-    def __init__(self, found: DataFrame, key: str, most_bits: int = 1 << 27):
-        bits = min(most_bits, max(1 << 16, 1 << (16 * found.count()).bit_length()))
-        self.places = bits // 64
-        place = F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(self.places - 1))
-        bit = F.expr(f"shiftleft(1L, CAST({key} & 63 AS int))")
-        rows = found.groupBy(place.alias("place")).agg(F.bit_or(bit).alias("bits")).toArrow()
-        self.bits = np.zeros(self.places, np.uint64)
-        self.bits[rows.column("place").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-
-    def __call__(self, found: np.ndarray) -> np.ndarray:
-        return (self.bits[(found >> np.uint64(6)) & np.uint64(self.places - 1)] >> (found & np.uint64(63))) & np.uint64(1) != 0
-
-
 def _counted(key: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
     """Distinct rows and their counts. Rows of one key that differ stay apart, though a row may then come twice."""
     order = np.argsort(key)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import content_keys, order_id, shown_id, slices, stored
+from ledgerloom.llm.common import Marked, content_keys, order_id, shown_id, slices, stored
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -451,6 +451,15 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
         if held:
             yield done()
 
+    # Only texts that are wanted are shuffled, and a few more: the ids are a set of bits of bounded size.
+    marked = docs.sparkSession.sparkContext.broadcast(Marked(wanted.select(F.xxhash64("_id").alias("h")), "h"))
+
+    def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array(marked.value(batch.column("_h").to_numpy().view(np.uint64))))
+            yield kept.select(["_id", "_text"])
+
+    chosen = chosen.withColumn("_h", F.xxhash64("_id")).mapInArrow(sifted, "_id long, _text string")
     # Rows that repeat an id bring other texts along; the key tells which one is meant.
     pieces = chosen.join(wanted, "_id").mapInArrow(gathered, "region long, blocks long, block long, key long, items binary")
     # Each two blocks are a unit; a region of one block is one unit with itself.
