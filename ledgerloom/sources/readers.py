@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec, functions as F
 
 from ledgerloom.fixed_values import EMPTY_SOURCE
 from ledgerloom.schemas import TABLES, conform
@@ -17,18 +17,21 @@ def unquote(path: str) -> str:
     return path
 
 
-def read_raw(spark: SparkSession, path: str, header_row: int = 0, required: tuple[str, ...] = ()) -> DataFrame:
+def read_raw(spark: SparkSession, path: str, header_row: int = 0, required: tuple[str, ...] = (), positions: bool = False) -> DataFrame:
     """All columns of an export, header names trimmed. CSV columns are text; nothing is inferred.
 
     Every CSV file is read by its own header and files are put together by name, so their column
     orders may differ. A header cell without a name is called by its place (`_c3`). A file that
-    lacks one of the `required` columns is named in the error.
+    lacks one of the `required` columns is named in the error. Quoted cells may hold line breaks, which
+    come back as line feeds. `positions` adds `_file`, `_block` and `_line`, by which rows stand in their files.
     """
     path = unquote(path)
     if path.lower().rstrip("/").endswith((".csv", ".csv.gz", ".txt")):
-        parts = read_csv_files(spark, path, header_row)
+        parts = read_csv_files(spark, path, header_row, positions)
     else:
-        parts = [(path, spark.read.parquet(path))]
+        whole = spark.read.parquet(path)
+        place = [F.col("_metadata.file_path").alias("_file"), F.lit(0).cast("long").alias("_block"), F.col("_metadata.row_index").alias("_line")]
+        parts = [(path, whole.select("*", *place) if positions else whole)]
     result = None
     for file, df in parts:
         df = df.toDF(*[c.strip() for c in df.columns])
@@ -39,12 +42,70 @@ def read_raw(spark: SparkSession, path: str, header_row: int = 0, required: tupl
     return result
 
 
-def read_csv_files(spark: SparkSession, path: str, header_row: int) -> list[tuple[str, DataFrame]]:
+def _states(lines: DataFrame) -> DataFrame:
+    """What a line does to an open quote: `from_out` and `from_in`, whether a quoted cell is open behind the line if none
+    was open before it, and if one was. Doubled quotes don't count; a quote opens a cell only at the cell's beginning."""
+    marks = F.replace("value", F.lit('""'), F.lit(""))
+    rest = F.expr("substring(_marks, instr(_marks, '\"') + 1)")
+    open_after = F.regexp_like(F.regexp_replace("_marks", '(^|,)"[^"]*"', "$1"), F.lit('(^|,)"'))
+    open_inside = F.regexp_like(F.regexp_replace(rest, ',"[^"]*"', ","), F.lit(',"'))
+    none = ~F.col("value").contains('"')
+    return lines.withColumn("_marks", marks).withColumns({
+        "from_out": F.when(none, F.lit(0)).otherwise(open_after.cast("int")),
+        "from_in": F.when(none | ~F.col("_marks").contains('"'), F.lit(1)).otherwise(open_inside.cast("int")),
+    }).drop("_marks")
+
+
+def _running(lines: DataFrame, window: WindowSpec, out: str, through: str, settled: str) -> DataFrame:
+    """`through`: how often the rows up to here swap the state, mod 2. `settled`: what the last row that fixes the state leaves,
+    less the swaps up to it; NULL if none has. Both together give the state for any beginning."""
+    rows = lines.withColumn(through, F.sum(F.when((F.col(f"{out}_out") == 1) & (F.col(f"{out}_in") == 0), 1).otherwise(0)).over(window) % 2)
+    fixed = F.when(F.col(f"{out}_out") == F.col(f"{out}_in"), (F.col(f"{out}_out") + F.col(through)) % 2)
+    return rows.withColumn(settled, F.last(fixed, ignorenulls=True).over(window))
+
+
+def joined_records(lines: DataFrame) -> DataFrame:
+    """Lines (file, block, position, value) as CSV records: a quoted cell may go on over lines and blocks.
+
+    Each block is read by itself. What it does to a quote that is open at its beginning is one row, and a running state over
+    a file's blocks tells each block how it begins. Lines of one record are put together by where the record began, with a
+    line feed between them; all others pass on. A quote that is never closed takes the rest of its file with it.
+    """
+    in_block = Window.partitionBy("file", "block").orderBy("position")
+    rows = _running(_states(lines), in_block, "from", "swaps", "settled")
+    ends = rows.groupBy("file", "block").agg(F.max_by(F.struct("swaps", "settled"), "position").alias("e"))
+    ends = ends.select(
+        "file", "block", F.coalesce((F.col("e.settled") + F.col("e.swaps")) % 2, F.col("e.swaps")).alias("block_out"),
+        F.coalesce((F.col("e.settled") + F.col("e.swaps")) % 2, 1 - F.col("e.swaps")).alias("block_in"),
+    )
+    blocks = Window.partitionBy("file").orderBy("block")
+    ends = _running(ends, blocks, "block", "block_swaps", "block_settled")
+    state = (F.coalesce("block_settled", F.lit(0)) + F.col("block_swaps")) % 2
+    begins = ends.select("file", "block", F.lag(state, 1, 0).over(blocks).alias("begins"))
+
+    after = (F.coalesce("settled", F.col("begins")) + F.col("swaps")) % 2
+    rows = rows.join(begins, ["file", "block"]).withColumn("after", after)
+    rows = rows.withColumn("before", F.coalesce(F.lag("after").over(in_block), F.col("begins")))
+    whole = rows.where("before = 0 AND after = 0")
+    parts = rows.where("before = 1 OR after = 1")
+    starts = F.when(F.col("before") == 0, F.struct("block", "position"))
+    parts = parts.withColumn("start", F.last(starts, ignorenulls=True).over(in_block))
+    carried = parts.groupBy("file", "block").agg(F.max("start").alias("last"))
+    carried = carried.select("file", "block", F.max("last").over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    parts = parts.join(carried, ["file", "block"]).withColumn("start", F.coalesce("start", "carried"))
+    lists = parts.groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("block", "position", "value"))).alias("lines"))
+    records = lists.select("file", "start.block", "start.position", F.array_join("lines.value", "\n").alias("value"))
+    return whole.where(F.trim("value") != "").select("file", "block", "position", "value").unionByName(records)
+
+
+def read_csv_files(spark: SparkSession, path: str, header_row: int, positions: bool = False) -> list[tuple[str, DataFrame]]:
     """One frame for each distinct header of the CSV files below `path`, with one of its files.
 
-    The header is on line `header_row`, with other text above it. Line numbers are needed only in
-    the first block of each file, so only those blocks are numbered; the remaining blocks pass
-    straight through. What reaches the driver is one row per distinct header.
+    The header is on line `header_row`, with other text above it, and is one line. Line numbers are needed only in the first
+    block of each file, so only those blocks are numbered; the remaining blocks pass straight through. One look at the lines
+    finds the headers and whether any line leaves a quoted cell open; only then are lines put together to records, by blocks
+    (`joined_records`). A gzip file is one block. What reaches the driver is one row per distinct header. With `positions`
+    each record keeps `_file`, `_block` and `_line`, in whose order the records stand in the files.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -56,27 +117,29 @@ def read_csv_files(spark: SparkSession, path: str, header_row: int) -> list[tupl
     if header_row:
         numbered = first.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("position")) - 1)
         headers = numbered.filter(F.col("line") == header_row).select("file", "value")
+        body = numbered.filter(F.col("line") > header_row).drop("line")
     else:
-        numbered, headers = None, first.groupBy("file").agg(F.min_by("value", "position").alias("value"))
+        headers = first.groupBy("file").agg(F.min_by("value", "position").alias("value"))
+        starts = first.groupBy("file").agg(F.min("position").alias("start"))
+        body = first.join(starts, "file").filter(F.col("position") > F.col("start")).drop("start")
     found = headers.groupBy("value").agg(F.min("file").alias("file")).sort("file").collect()
     if not found and header_row:
         raise ValueError(f"{path}: no header on line {header_row}")
-    if not header_row and len(found) < 2:
+    body = body.select(*lines.columns).unionByName(lines.filter(F.col("block") > 0))
+    across = not _states(body).where("from_out = 1").isEmpty()
+    if not header_row and len(found) < 2 and not across and not positions:
         return [(path, spark.read.csv(path, header=True, escape='"'))]
-    if header_row:
-        body = numbered.filter(F.col("line") > header_row).select("file", "value")
-    else:
-        starts = first.groupBy("file").agg(F.min("position").alias("start"))
-        body = first.join(starts, "file").filter(F.col("position") > F.col("start")).select("file", "value")
-    body = body.unionByName(lines.filter(F.col("block") > 0).select("file", "value")).filter(F.trim("value") != "")
+    body = joined_records(body) if across else body.filter(F.trim("value") != "")
     if len(found) > 1:
         body = body.join(headers.select("file", F.col("value").alias("header")), "file")
+    place = {"_file": "file", "_block": "block", "_line": "position"} if positions else {}
     parts = []
     for row in found:
         names = _split_header(spark, row["value"])
         own = body.filter(F.col("header") == row["value"]) if len(found) > 1 else body
-        parsed = own.select(F.from_csv("value", _text_fields(len(names)), {"escape": '"'}).alias("r"))
-        parts.append((row["file"], parsed.select([F.col(f"r.c{i}").alias(name) for i, name in enumerate(names)])))
+        parsed = own.select("*", F.from_csv("value", _text_fields(len(names)), {"escape": '"'}).alias("r"))
+        columns = [F.col(f"r.c{i}").alias(name) for i, name in enumerate(names)]
+        parts.append((row["file"], parsed.select(columns + [F.col(c).alias(name) for name, c in place.items()])))
     return parts
 
 

@@ -1,5 +1,7 @@
 """Contracts, readers, cleaning, rates, projects and sinks on small files."""
 
+import csv
+import random
 import re
 from datetime import date
 from decimal import Decimal
@@ -68,6 +70,61 @@ def test_header_below_a_preamble(spark, tmp_path):
     ]
 
 
+BREAKS = [
+    ["k,text,amt", '1,"two\nlines",5.00', '2,"a ""quoted""\n\nword, with comma",6.00', "3,5\" pipe,7.00", '4,"",8.00', '"5","x\n",9.00'],
+    ["title \"odd", "more,x", "amt,k,text", '1.50,11,"three\n""\nlines"', "2.50,12,plain", '3.50,13,"""\n"""'],
+]
+
+
+@pytest.mark.parametrize("block", [None, "3", "40"])
+def test_quoted_cells_over_lines_and_blocks(spark, tmp_path, block):
+    """Three files of other column orders and quoted line breaks; blocks of a byte and more cut lines and cells anywhere."""
+    folder = tmp_path / "broken.csv"
+    folder.mkdir()
+    for n in (1, 2):
+        write_csv(folder, f"a{n}.csv", [line.replace("1,", f"{n}1,", 1) if line.startswith("1,") else line for line in BREAKS[0]])
+    if block:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = sorted(map(tuple, readers.read_raw(spark, str(folder)).select("k", "text", "amt").collect()), key=repr)
+        same = [("2", 'a "quoted"\n\nword, with comma', "6.00"), ("3", '5" pipe', "7.00"), ("4", None, "8.00"), ("5", "x\n", "9.00")]
+        assert rows == sorted([("11", "two\nlines", "5.00"), ("21", "two\nlines", "5.00"), *same, *same], key=repr)
+        if block:  # the header is in a file's first block
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "85")
+            spark.conf.set("spark.sql.files.openCostInBytes", "85")
+        for header_row, above in ((2, []), (8, [f"title {i}" for i in range(6)])):
+            other = tmp_path / f"below{header_row}.csv"
+            other.mkdir()
+            write_csv(other, "b.csv", above + BREAKS[1])
+            write_csv(other, "c.csv", above + ["t", "t", "k,amt,text", '21,4.50,"x', 'y"'])
+            rows = sorted(map(tuple, readers.read_raw(spark, str(other), header_row).select("k", "text", "amt").collect()))
+            assert sorted(rows) == [("11", 'three\n"\nlines', "1.50"), ("12", "plain", "2.50"), ("13", '"\n"', "3.50"), ("21", "x\ny", "4.50")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_records_are_those_of_a_plain_reader(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    cell = lambda: "".join(rng.choice(["a", "b", '"', "\n", ",", " ", "é"]) for _ in range(rng.randint(1, 6))).strip() + "z"
+    table = [[f"r{i}", cell(), cell()] for i in range(40)]
+    path = tmp_path / "t.csv"
+    with open(path, "w", newline="", encoding="utf-8") as file:
+        writer = csv.writer(file, lineterminator="\n")
+        writer.writerows([["k", "x", "y"], *table])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = readers.read_raw(spark, str(path), positions=True)
+        assert df.select("k", "x", "y").collect() and sorted(map(tuple, df.select("k", "x", "y").collect())) == sorted(map(tuple, table))
+        assert [r.k for r in df.sort("_file", "_block", "_line").collect()] == [t[0] for t in table]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_preamble_only_in_the_first_block(spark, tmp_path):
     rows = [f"{i},22021000,USD,{i}.00" for i in range(3000)]
     path = write_csv(tmp_path, "fx.csv", [*["title"] * 8, "账户,总帐帐目,货币,记帐金额", *rows])
