@@ -12,8 +12,8 @@ from ledgerloom.sources.clean import (
     clean_cost_postings, clean_open_items, clean_postings, clean_trial_balance, load_adjustments, tagged,
     union_tagged,
 )
-from ledgerloom.sources.readers import adjustment_sheets, empty, load_sources
-from ledgerloom.sources.sinks import read_table, write_table
+from ledgerloom.sources.readers import BadValues, adjustment_sheets, empty, load_sources
+from ledgerloom.sources.sinks import discard, read_table, stage, switch
 
 Tables = dict[str, DataFrame]
 
@@ -24,21 +24,22 @@ def _required(frames: Tables, *names: str) -> None:
         raise ValueError(f"sources missing or unreadable: {missing}")
 
 
-def _with_trial_balance(tables: Tables, frames: Tables) -> Tables:
-    if "TB" in frames:
-        tables["trial_balance"] = clean_trial_balance(frames["TB"])
+def _with_trial_balance(spark: SparkSession, tables: Tables, frames: Tables, bad: BadValues | None) -> Tables:
+    """The trial balance is an empty table where none is given."""
+    tables["trial_balance"] = clean_trial_balance(frames["TB"], bad) if "TB" in frames else empty(spark, "trial_balance")
     return tables
 
 
 def build_arap_tables(
-    spark: SparkSession, paths: dict[str, str], end_date: str | None = None, rate_table: DataFrame | None = None
+    spark: SparkSession, paths: dict[str, str], end_date: str | None = None, rate_table: DataFrame | None = None,
+    bad: BadValues | None = None,
 ) -> tuple[Tables, DataFrame]:
     """Open items, postings, accruals, revaluation, rates and the trial balance.
 
     The trial balance is an empty table where none is given: only two sections of the payables
     schedule come from it.
     """
-    frames, status = load_sources(spark, paths, contracts.ARAP_CONTRACTS)
+    frames, status = load_sources(spark, paths, contracts.ARAP_CONTRACTS, bad)
     _required(frames, *[n for n in contracts.ARAP_CONTRACTS if n != "TB"])
     tables = {
         "open_items": clean_open_items(
@@ -51,32 +52,31 @@ def build_arap_tables(
         "accruals": clean_accruals(frames["ZFI072N_THIS"]),
         "fx_revaluation": frames["FOREIGN_CURRENCY"],
         "fx_rates": empty(spark, "fx_rates") if rate_table is None else rates.fx_rates_long(rate_table, end_date),
-        "trial_balance": empty(spark, "trial_balance"),
     }
-    return _with_trial_balance(tables, frames), status
+    return _with_trial_balance(spark, tables, frames, bad), status
 
 
-def build_asset_tables(spark: SparkSession, paths: dict[str, str]) -> tuple[Tables, DataFrame]:
-    frames, status = load_sources(spark, paths, contracts.ASSET_CONTRACTS)
+def build_asset_tables(spark: SparkSession, paths: dict[str, str], bad: BadValues | None = None) -> tuple[Tables, DataFrame]:
+    frames, status = load_sources(spark, paths, contracts.ASSET_CONTRACTS, bad)
     _required(frames, *[n for n in contracts.ASSET_CONTRACTS if n != "TB"])
     tables = {
         "asset_register": clean_asset_register(frames["ZFI022_THIS"], frames["ZFI022_LAST"]),
         "asset_scrapped": clean_asset_scrapped(frames["ZFI022_THIS_SCRAP"], frames["ZFI022_LAST_SCRAP"]),
         "asset_postings": clean_asset_postings(frames["FBL3H_OCCUR"]),
     }
-    return _with_trial_balance(tables, frames), status
+    return _with_trial_balance(spark, tables, frames, bad), status
 
 
-def build_cost_tables(spark: SparkSession, paths: dict[str, str]) -> tuple[Tables, DataFrame]:
-    frames, status = load_sources(spark, paths, contracts.COST_CONTRACTS)
+def build_cost_tables(spark: SparkSession, paths: dict[str, str], bad: BadValues | None = None) -> tuple[Tables, DataFrame]:
+    frames, status = load_sources(spark, paths, contracts.COST_CONTRACTS, bad)
     _required(frames, "FBL3H_THIS")
-    return _with_trial_balance({"cost_postings": clean_cost_postings(frames["FBL3H_THIS"])}, frames), status
+    return _with_trial_balance(spark, {"cost_postings": clean_cost_postings(frames["FBL3H_THIS"])}, frames, bad), status
 
 
-def build_trial_balance(spark: SparkSession, paths: dict[str, str]) -> tuple[Tables, DataFrame]:
-    frames, status = load_sources(spark, paths, contracts.TRIAL_BALANCE_CONTRACTS)
+def build_trial_balance(spark: SparkSession, paths: dict[str, str], bad: BadValues | None = None) -> tuple[Tables, DataFrame]:
+    frames, status = load_sources(spark, paths, contracts.TRIAL_BALANCE_CONTRACTS, bad)
     _required(frames, "TB")
-    return _with_trial_balance({}, frames), status
+    return _with_trial_balance(spark, {}, frames, bad), status
 
 
 def build_adjustments(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -88,14 +88,37 @@ def build_adjustments(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return conform(union_tagged(empty(spark, "adjustments"), *parts), "adjustments")
 
 
-# Open items are read one period at a time, so their files are split by period.
+# Schedules read one source of the open items and postings, checks one period.
 _PARTITIONS = {"open_items": ("period_tag", "source_tag"), "postings": ("source_tag",)}
 
 
-def save_tables(tables: Tables, base: str, project: dict[str, str] | None = None) -> None:
-    """Write the canonical tables below `base`, replacing those of the project."""
-    for name, df in tables.items():
-        write_table(df, f"{base}/{name}", project, _PARTITIONS.get(name, ()))
+class BadLoad(ValueError):
+    """Values that do not fit their columns; `rows` holds source, column and count."""
+
+    def __init__(self, rows: list[tuple[str, str, int]]):
+        super().__init__("; ".join(f"{source}: {n} bad values in {column}" for source, column, n in rows))
+        self.rows = rows
+
+
+def save_tables(tables: Tables, base: str, project: dict[str, str] | None = None, bad: BadValues | None = None) -> None:
+    """Write the canonical tables below `base`, replacing those of the project.
+
+    All tables are written beside the old ones first. If one fails, or `bad` has counted values that do not fit (a BadLoad
+    then), the old tables stay as they were.
+    """
+    staged: list[tuple[str, str]] = []
+    spark = SparkSession.active()
+    try:
+        for name, df in tables.items():
+            staged.append(stage(df, f"{base}/{name}", project, _PARTITIONS.get(name, ())))
+        if bad is not None and (rows := bad.rows()):
+            raise BadLoad(rows)
+    except BaseException:
+        for version in staged:
+            discard(spark, *version)
+        raise
+    for version in staged:
+        switch(spark, *version)
 
 
 def load_tables(spark: SparkSession, base: str, names: list[str], project: dict[str, str] | None = None) -> Tables:

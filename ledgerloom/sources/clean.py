@@ -10,6 +10,7 @@ from ledgerloom import fixed_values as fv
 from ledgerloom.functions.columns import drop_prefix, strip_leading_zeros, text
 from ledgerloom.schemas import AMOUNT, TABLES, conform
 from ledgerloom.sources.contracts import TRIAL_BALANCE_COLUMNS
+from ledgerloom.sources.readers import BadValues
 
 
 def tagged(df: DataFrame, period: str | None = None, source: str | None = None) -> DataFrame:
@@ -47,13 +48,15 @@ def clean_accruals(raw: DataFrame) -> DataFrame:
     )
 
 
-def clean_trial_balance(raw: DataFrame) -> DataFrame:
+def clean_trial_balance(raw: DataFrame, bad: BadValues | None = None) -> DataFrame:
     """Canonical names and types, account code without its two-character prefix.
 
-    Columns beyond the declared ones are kept as they are. A NULL code stays NULL.
+    Columns beyond the declared ones are kept as they are. A NULL code stays NULL. `bad` counts values of other types.
     """
     named = raw.withColumnsRenamed({s: n for s, n in TRIAL_BALANCE_COLUMNS.items() if s in raw.columns})
     declared = {f.name: f.dataType for f in TABLES["trial_balance"].fields}
+    if bad is not None:
+        named = bad.typed(named, "TB", declared)
     typed = named.select(
         [F.col(f"`{c}`").cast(declared[c]).alias(c) if c in declared else F.col(f"`{c}`") for c in named.columns]
     )
@@ -113,6 +116,9 @@ def row_index(df: DataFrame, order_by: list[str], name: str = "id") -> DataFrame
 
 
 def clean_asset_postings(raw: DataFrame) -> DataFrame:
+    """Numbered as the source is, or in the order of documents where the rows do not come from one."""
+    if "id" in raw.columns:
+        return conform(raw, "asset_postings")
     order = [c for c in raw.columns if c != "id"]
     return conform(row_index(raw, ["doc_no", *[c for c in order if c != "doc_no"]]), "asset_postings")
 

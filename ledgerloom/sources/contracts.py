@@ -12,13 +12,15 @@ class Contract:
     """One export. `columns` maps required source columns to canonical names, in order.
 
     Without columns the export passes through whole. `table` names the canonical table whose
-    types apply. `header_row` is the zero-based line of the header in text files.
+    types apply. `header_row` is the zero-based line of the header in text files. `positions` adds
+    `id`, the row's number in the source.
     """
 
     table: str | None = None
     columns: dict[str, str] = field(default_factory=dict)
     header_row: int = 0
     optional: bool = False
+    positions: bool = False
 
     def __post_init__(self):
         if self.table and self.table not in TABLES:
@@ -143,7 +145,7 @@ ASSET_CONTRACTS = {
     "ZFI022_LAST": Contract("asset_register", _ASSET),
     "ZFI022_THIS_SCRAP": Contract("asset_scrapped", _SCRAPPED),
     "ZFI022_LAST_SCRAP": Contract("asset_scrapped", _SCRAPPED),
-    "FBL3H_OCCUR": Contract("asset_postings", _ASSET_POSTING),
+    "FBL3H_OCCUR": Contract("asset_postings", _ASSET_POSTING, positions=True),
     "TB": TRIAL_BALANCE,
 }
 COST_CONTRACTS = {

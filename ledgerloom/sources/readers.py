@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, WindowSpec, functions as F
+from pyspark.sql.types import DataType
 
 from ledgerloom.fixed_values import EMPTY_SOURCE
 from ledgerloom.schemas import TABLES, conform
@@ -105,7 +108,7 @@ def read_csv_files(spark: SparkSession, path: str, header_row: int, positions: b
     block of each file, so only those blocks are numbered; the remaining blocks pass straight through. One look at the lines
     finds the headers and whether any line leaves a quoted cell open; only then are lines put together to records, by blocks
     (`joined_records`). A gzip file is one block. What reaches the driver is one row per distinct header. With `positions`
-    each record keeps `_file`, `_block` and `_line`, in whose order the records stand in the files.
+    each record has its `_file` and `_block`, and its number there from 0 as `_line`.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -132,7 +135,9 @@ def read_csv_files(spark: SparkSession, path: str, header_row: int, positions: b
     body = joined_records(body) if across else body.filter(F.trim("value") != "")
     if len(found) > 1:
         body = body.join(headers.select("file", F.col("value").alias("header")), "file")
-    place = {"_file": "file", "_block": "block", "_line": "position"} if positions else {}
+    place = {"_file": "file", "_block": "block", "_line": "line"} if positions else {}
+    if positions:
+        body = body.withColumn("line", F.row_number().over(Window.partitionBy("file", "block").orderBy("position")).cast("long") - 1)
     parts = []
     for row in found:
         names = _split_header(spark, row["value"])
@@ -155,31 +160,84 @@ def _split_header(spark: SparkSession, line: str) -> list[str]:
     return [name if name is not None and name.strip() else f"_c{i}" for i, name in enumerate(row[: width - quoted])]
 
 
-def contract_scan(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
-    """Required columns under canonical names and types; a missing one is named in the error."""
+class BadValues:
+    """Values that do not fit their column's type, counted by source and column while the tables are written.
+
+    A frame that is watched turns such a value into NULL. The counts are those of the first job over the frame, so save the
+    tables before anything else is done with them; `flows.save_tables` keeps a load with bad values out of the tables.
+    """
+
+    def __init__(self):
+        self._watched: list[tuple[str, list[str], Observation]] = []
+
+    def typed(self, df: DataFrame, source: str, types: dict[str, DataType]) -> DataFrame:
+        """`df` with those of its columns that `types` names cast, and counted."""
+        own = {c: t for c, t in types.items() if c in df.columns and t != df.schema[c].dataType}
+        if not own:
+            return df
+        seen = Observation(f"bad values of {source} {uuid.uuid4().hex}")
+        counts = [F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(t).isNull()).alias(f"c{i}") for i, (c, t) in enumerate(own.items())]
+        self._watched.append((source, list(own), seen))
+        return df.observe(seen, *counts).withColumns({c: F.col(f"`{c}`").try_cast(t) for c, t in own.items()})
+
+    def rows(self) -> list[tuple[str, str, int]]:
+        """(source, column, count) where there are any. Waits for the tables of all watched sources."""
+        found = [(source, c, seen.get[f"c{i}"]) for source, columns, seen in self._watched for i, c in enumerate(columns)]
+        return [row for row in found if row[2]]
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows(), "source string, column string, bad_values long")
+
+
+def contract_scan(spark: SparkSession, path: str, contract: Contract, bad: BadValues | None = None, source: str = "") -> DataFrame:
+    """Required columns under canonical names and types; a missing one is named in the error.
+
+    A value that does not fit its type is an error when it is read, or counted by `bad`. A contract with `positions` adds
+    `id`, the rows' number in the source.
+    """
     if path == EMPTY_SOURCE:
         return empty(spark, contract.table or "fx_revaluation")
-    df = read_raw(spark, path, contract.header_row, tuple(contract.columns))
+    df = read_raw(spark, path, contract.header_row, tuple(contract.columns), contract.positions)
     if not contract.columns:
         return df
-    renamed = df.select([F.col(f"`{source}`").alias(name) for source, name in contract.columns.items()])
+    place = []
+    if contract.positions:
+        df, place = numbered(df), ["id"]
+    renamed = df.select([F.col(f"`{source}`").alias(name) for source, name in contract.columns.items()] + place)
+    if bad is not None and contract.table:
+        renamed = bad.typed(renamed, source, {f.name: f.dataType for f in TABLES[contract.table].fields})
     return conform(renamed, contract.table) if contract.table else renamed
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Rows of `read_raw` with positions, numbered 0, 1, 2, ... in the order of files and of rows in them, as `id`.
+
+    A row has its number within its block from the reader; what earlier blocks hold is one row a block. Nothing is sorted
+    as a whole, and no job runs before the rows are used.
+    """
+    counts = df.groupBy("_file", "_block").agg(F.count("*").alias("n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_file", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    return df.join(offsets, ["_file", "_block"]).withColumn("id", F.col("_before") + F.col("_line")).drop("_file", "_block", "_line", "_before")
+
+
 def empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[table])
 
 
 def load_sources(
-    spark: SparkSession, paths: dict[str, str], contracts: dict[str, Contract]
+    spark: SparkSession, paths: dict[str, str], contracts: dict[str, Contract], bad: BadValues | None = None
 ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Every source by task name, plus a load status. A source that fails is left out and reported."""
+    """Every source by task name, plus a load status. A source that fails is left out and reported.
+
+    Whether a source's values fit their types is known only when they are read: `bad` counts those that don't.
+    """
     frames, status = {}, []
     for name, contract in contracts.items():
         try:
             if name not in paths:
                 raise ValueError(f"no path for {name}")
-            frames[name] = contract_scan(spark, paths[name], contract)
+            frames[name] = contract_scan(spark, paths[name], contract, bad, name)
             status.append((name, True, None))
         except (PySparkException, ValueError) as error:
             if contract.optional and contract.table:

@@ -6,6 +6,7 @@ import re
 from datetime import date
 from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,6 +303,73 @@ def test_table_per_project_is_replaced_alone(spark, tmp_path):
     assert "PartitionFilters: [isnotnull" in every._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_load_that_fails_keeps_the_last_one(spark, tmp_path):
+    base, project = str(tmp_path / "db"), dict(company_group="g", company_name="a", project_year="2024", project_month="12")
+    flows.save_tables({"a": spark.range(3), "b": spark.range(4)}, base, project)
+    fails = spark.range(9).withColumn("id", F.when(F.col("id") == 8, F.raise_error(F.lit("half-way"))).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="half-way"):
+        flows.save_tables({"a": spark.range(7), "b": fails}, base, project)
+    assert [sinks.read_table(spark, f"{base}/{t}", project).count() for t in "ab"] == [3, 4]
+    kept = [d.name for d in (tmp_path / "db" / "a").rglob("version=*")]
+    flows.save_tables({"a": spark.range(7), "b": spark.range(0)}, base, project)
+    assert [sinks.read_table(spark, f"{base}/{t}", project).count() for t in "ab"] == [7, 0]
+    # Only the version that is read remains, also of the load that failed.
+    assert len(kept) == 1 and [d.name for d in (tmp_path / "db" / "a").rglob("version=*")] != kept
+    assert len(list((tmp_path / "db" / "a").rglob("version=*"))) == 1
+
+
+def test_tables_of_other_programs_and_tables_without_projects(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "plain"))
+    assert sinks.read_table(spark, str(tmp_path / "plain")).count() == 3
+    path = str(tmp_path / "whole")
+    for n in (5, 2):
+        sinks.write_table(spark.range(n).withColumn("k", F.col("id") % 2), path, by=("k",))
+    back = sinks.read_table(spark, path)
+    assert back.count() == 2 and set(back.columns) == {"id", "k"}
+
+
+def test_values_that_do_not_fit_are_counted_and_keep_the_load_out(spark, arap_paths, tmp_path):
+    base = str(tmp_path / "db")
+    tables, _ = flows.build_arap_tables(spark, arap_paths)
+    flows.save_tables(tables, base)
+    text = open(arap_paths["FBL1H_THIS"], encoding="utf-8").read().replace("40.00", '"1,234.50"')
+    paths = arap_paths | {"FBL1H_THIS": write_csv(tmp_path, "bad.csv", text.splitlines())}
+    trial = open(paths["TB"], encoding="utf-8").read().replace("-1.00", "minus one")
+    paths["TB"] = write_csv(tmp_path, "bad_tb.csv", trial.splitlines())
+    bad = readers.BadValues()
+    tables, status = flows.build_arap_tables(spark, paths, bad=bad)
+    assert status.filter("NOT ok").isEmpty()
+    with pytest.raises(flows.BadLoad, match="FBL1H_THIS: 1 bad values in local_amount") as error:
+        flows.save_tables(tables, base, bad=bad)
+    wanted = [("FBL1H_THIS", "doc_amount", 1), ("FBL1H_THIS", "local_amount", 1), ("TB", "lc_open", 1)]
+    assert sorted(error.value.rows) == wanted == sorted(map(tuple, bad.frame(spark).collect()))
+    assert flows.load_tables(spark, base, ["open_items"])["open_items"].where("party_code = '2'").first().local_amount == D(40)
+    good = readers.BadValues()
+    tables, _ = flows.build_arap_tables(spark, arap_paths, bad=good)
+    flows.save_tables(tables, base, bad=good)
+    assert good.rows() == [] and flows.load_tables(spark, base, ["open_items"])["open_items"].count() == 6
+
+
+def test_rows_are_numbered_in_source_order(spark, tmp_path):
+    folder = str(tmp_path / "p")
+    spark.range(0, 4000, 1, 4).selectExpr("pmod(id * 7919, 4000) AS k").write.parquet(folder)
+    df = readers.numbered(readers.read_raw(spark, folder, positions=True))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    with duckdb.connect() as con:
+        wanted = con.sql(f"SELECT k FROM read_parquet('{folder}/*.parquet', filename=true, file_row_number=true) ORDER BY filename, file_row_number").fetchall()
+    assert [(r.k,) for r in df.sort("id").collect()] == wanted and [r.id for r in df.sort("id").collect()] == list(range(4000))
+    path = write_csv(tmp_path, "t.csv", ["k", *[str(i * 7919 % 500) for i in range(500)]])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = readers.numbered(readers.read_raw(spark, path, positions=True)).sort("id").collect()
+        assert [(r.id, r.k) for r in rows] == [(i, str(i * 7919 % 500)) for i in range(500)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_export_with_labels(spark, tmp_path):
     df = spark.createDataFrame([("b", 2, 2), ("a", 1, 1)], "party_code string, opening int, section int")
     sinks.export(df, str(tmp_path / "out"), {"party_code": "编码", "opening": "期初余额", "closing": "期末余额"})
@@ -350,7 +418,7 @@ def test_ledger_load_to_schedule(spark, arap_paths, tmp_path, capsys):
     capsys.readouterr()
     Workpapers(saved)["ap_temp"].explain("formatted")
     plan = capsys.readouterr().out
-    assert re.search(r"PartitionFilters: .*period_tag#\d+ = this", plan)
+    assert re.search(r"PartitionFilters: .*period_tag#\d+ IN \(", plan) and re.search(r"PartitionFilters: .*source_tag#\d+ = VENDOR", plan)
     assert "PushedFilters: [IsNotNull(account_name), StringContains(account_name,应付账款)]" in plan
     assert "StringStartsWith(account_code,2202), In(doc_type, [OA,RE])" in plan
     papers = Workpapers(saved, materialize=True)
@@ -404,8 +472,9 @@ def test_asset_cost_and_trial_balance_flows(spark, arap_paths, tmp_path):
             "1,2024,1,2024-01-04,d1,AA,17010100,t,S,CNY,5.00,x,rev,77,T,R,1"]),
     }
     tables, status = flows.build_asset_tables(spark, paths)
-    assert "trial_balance" not in tables
-    assert [r.id for r in tables["asset_postings"].sort("doc_no").collect()] == [0, 1]
+    assert tables["trial_balance"].isEmpty()
+    # Numbered in the order of the source, where d2 comes first.
+    assert [r.id for r in tables["asset_postings"].sort("doc_no").collect()] == [1, 0]
     assert tables["asset_scrapped"].first().period_tag == "last"
     row = Workpapers(tables)["intangible_detail"].first()
     assert (row.asset_class, row.opening_cost, row.opening_accum, row.charge, row.purchase) == ("软件", D(100), D(20), D(10), D(8))
