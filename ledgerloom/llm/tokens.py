@@ -43,7 +43,7 @@ class _Ids(dict):
 class ByteBpe:
     """Ids of whole texts. Added tokens of the file, as <|endoftext|>, are found in a text first, as the library does."""
 
-    def __init__(self, path: str, most_words: int = 200_000):
+    def __init__(self, path: str, most_words: int = 100_000):
         """path: a tokenizer file of the `tokenizers` library. most_words: bound of the cache."""
         with open(path, encoding="utf-8") as file:
             held = json.load(file)
