@@ -46,7 +46,7 @@ class _Words(dict):
 class Shingler:
     """Sets of n-gram hashes. The word cache is emptied at `most` words."""
 
-    def __init__(self, size: int, most: int = 400_000):
+    def __init__(self, size: int, most: int = 150_000):
         self.size, self.most, self.words = size, most, _Words()
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -390,7 +390,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, classes, seen = Shingler(size), Classes(percent), set()
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", 1 << 20):
             n, key, regions, kinds = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = make(text)
@@ -422,7 +422,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(size)
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", 1 << 20):
             sets = [make(t) for t in batch.column("_text").to_pylist()]
             own = pa.array([key_of(s) == k for s, k in zip(sets, batch.column("key").to_pylist())])
             kept = ["region", "blocks", "block", "key"]
