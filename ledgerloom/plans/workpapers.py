@@ -11,7 +11,10 @@ from pyspark.sql.types import StructType
 from ledgerloom import fixed_values as fv
 from ledgerloom.operators import assets, checks, costs, other_ledger, payables, receivables
 from ledgerloom.rules import LedgerRules
+from ledgerloom.schemas import TABLES
+from ledgerloom.sources import sinks
 from ledgerloom.sources.clean import checkpointed
+from ledgerloom.sources.readers import empty
 
 # Intermediate results that several workpapers read.
 SHARED = ("ap_temp", "ap_fx_temp", "ap_adj_temp", "ap_fx_adj_temp", "ar_detail", "other_ledger")
@@ -40,13 +43,19 @@ class Workpapers:
         return self._built[name]
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
-        """As by index, but an empty frame where the tables it needs are not loaded."""
-        if fv.VIEW_NAMES.get(name, name) not in BUILDERS:
-            raise KeyError(name)
+        """As by index, but without rows where the tables it needs are not loaded; the columns are the workpaper's own."""
         try:
             return self[name]
         except MissingTable:
-            return spark.createDataFrame([], StructType([]))
+            return spark.createDataFrame([], self.schema(spark, name))
+
+    def schema(self, spark: SparkSession, name: str) -> StructType:
+        """A workpaper's columns under these rules, told by building it over empty declared tables; no job runs."""
+        return Workpapers({table: empty(spark, table) for table in TABLES}, self.rules)[name].schema
+
+    def export(self, name: str, path: str, fmt: str = "csv") -> None:
+        """Write a workpaper in the published order, with its published column labels where it has some."""
+        sinks.export(self[name], path, LABELS.get(fv.VIEW_NAMES.get(name, name)), fmt)
 
     def register_views(self, published_names: bool = False) -> list[str]:
         """Create a temporary view per workpaper whose tables are loaded; returns their names."""
@@ -164,3 +173,16 @@ BUILDERS: dict[str, Callable[[Workpapers], DataFrame]] = {
     ),
     "duplicate_party_names": lambda w: checks.duplicate_party_names(*_ledger(w), w.t("accruals")),
 }
+
+# The published column labels of each workpaper that is shown; intermediates have none.
+LABELS: dict[str, dict[str, str]] = {
+    **{
+        f"{paper}{variant}_detail": labels
+        for paper, labels in (("ap", fv.PAYABLE_LABELS), ("prepaid", fv.PAYABLE_LABELS), ("ar", fv.RECEIVABLE_LABELS))
+        for variant in ("", "_fx", "_adj", "_fx_adj")
+    },
+    **{f"advance{variant}_receipts": fv.ADVANCE_LABELS for variant in ("", "_fx", "_adj", "_fx_adj")},
+    "other_receivable_detail": fv.OTHER_LEDGER_LABELS,
+    "other_payable_detail": fv.OTHER_LEDGER_LABELS,
+    "intangible_detail": fv.INTANGIBLE_LABELS,
+}

@@ -18,21 +18,25 @@ def project_catalogue(projects: DataFrame) -> DataFrame:
     return projects.select(KEYS).unpivot([], KEYS, "field", "value").distinct()
 
 
-def _project_parts(spark: SparkSession, folder: str) -> DataFrame:
+def project_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every file below `folder`: path, ok, and the keys of the project that its name states.
+
+    Names are `group_company_year_month.<ending>`; contents are not read. ok is false, and the keys are null, where a
+    name does not split into four, such as a company with `_` in its name.
+    """
     name = F.element_at(F.split(F.col("path"), "/"), -1)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.split(F.regexp_replace(name, r"\.[^.]*$", ""), "_").alias("parts"))
+    parts = files.select("path", F.split(F.regexp_replace(name, r"\.[^.]*$", ""), "_").alias("parts"))
+    ok = F.size("parts") == len(KEYS)
+    keys = [F.when(ok, F.col("parts")[i]).alias(key) for i, key in enumerate(KEYS)]
+    return parts.select("path", ok.alias("ok"), *keys)
 
 
 def projects_from_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Projects named by their files, `group_company_year_month.<ending>`; contents are not read.
-
-    Files of other names are no projects; `rejected_project_files` lists them.
-    """
-    named = _project_parts(spark, folder).filter(F.size("parts") == len(KEYS))
-    return named.select([F.col("parts")[i].alias(key) for i, key in enumerate(KEYS)])
+    """The projects that `project_files` finds; files of other names are left to `rejected_project_files`."""
+    return project_files(spark, folder).filter("ok").select(KEYS)
 
 
 def rejected_project_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Files whose names do not split into the four project keys, such as a company with `_` in its name."""
-    return _project_parts(spark, folder).filter(F.size("parts") != len(KEYS)).select("path")
+    """Files whose names state no project."""
+    return project_files(spark, folder).filter("NOT ok").select("path")

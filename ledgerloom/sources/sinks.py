@@ -108,18 +108,21 @@ def read_table(
     return reader.option("basePath", path).parquet(*versions).drop(VERSION)
 
 
-def with_labels(df: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """Display labels in place of canonical names, in label order; rows in the published order: by
-    section and number, then account, party, currency and names, so no section is one sort key."""
+def in_order(df: DataFrame) -> DataFrame:
+    """Rows in the published order: by section and number, then account, party, currency and names, so no section is
+    one sort key. A frame without any of these columns stays as it is."""
     order = [c for c in ROW_ORDER if c in df.columns]
-    if order:
-        df = df.sort(*order)
-    return df.select([F.col(c).alias(label) for c, label in labels.items() if c in df.columns])
+    return df.sort(*order) if order else df
+
+
+def with_labels(df: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """Display labels in place of canonical names, in label order; rows in the published order."""
+    return in_order(df).select([F.col(c).alias(label) for c, label in labels.items() if c in df.columns])
 
 
 def export(df: DataFrame, path: str, labels: dict[str, str] | None = None, fmt: str = "csv") -> None:
-    """Write a workpaper for reading elsewhere, as CSV with a header or as Parquet."""
-    out = with_labels(df, labels) if labels else df
+    """Write a workpaper for reading elsewhere, as CSV with a header or as Parquet, in the published order."""
+    out = with_labels(df, labels) if labels else in_order(df)
     writer = out.write.mode("overwrite")
     if fmt == "csv":
         writer.csv(path, header=True)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import Workpapers, fixed_values as fv
 from ledgerloom.plans import flows
+from ledgerloom.plans.workpapers import BUILDERS, LABELS
 from ledgerloom.schemas import TABLES
 from ledgerloom.sources import clean, contracts, projects, rates, readers, sinks
 from ledgerloom.sources.contracts import Contract
@@ -370,6 +371,50 @@ def test_rows_are_numbered_in_source_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_a_file_that_names_no_project_is_a_row_of_the_same_result(spark, tmp_path):
+    for name in ("g_a_2024_12.csv", "a_b_c_2024_12.csv", "g_b_2024.11_1.csv"):
+        (tmp_path / name).write_text("x")
+    rows = {r.path.split("/")[-1]: r[1:] for r in projects.project_files(spark, str(tmp_path)).collect()}
+    assert rows == {
+        "g_a_2024_12.csv": (True, "g", "a", "2024", "12"), "g_b_2024.11_1.csv": (True, "g", "b", "2024.11", "1"),
+        "a_b_c_2024_12.csv": (False, None, None, None, None),
+    }
+
+
+def test_export_without_labels_is_in_the_published_order(spark, tmp_path):
+    rows = [(s, k, f"p{p}") for s in (2, 1) for k in (3, 1, 2) for p in (2, 1)]
+    df = spark.createDataFrame(rows, "section int, seq int, party_code string").repartition(4)
+    sinks.export(df, str(tmp_path / "out"))
+    lines = [x for f in sorted((tmp_path / "out").glob("part-*")) for x in list(csv.reader(f.open()))[1:]]
+    assert [(int(a), int(b), c) for a, b, c in lines] == sorted(rows)
+    sinks.export(spark.createDataFrame([(1,)], "other int"), str(tmp_path / "plain"), fmt="parquet")
+    assert spark.read.parquet(str(tmp_path / "plain")).collect() == [(1,)]
+
+
+def test_absent_workpapers_have_their_columns(spark, arap_paths):
+    empty = Workpapers({})
+    tables, _ = flows.build_arap_tables(spark, arap_paths)
+    loaded = Workpapers({**tables, "adjustments": readers.empty(spark, "adjustments")})
+    for name in ("ap_detail", "ar_fx_adj_detail", "other_payable_detail", "misc_accrual"):
+        found = empty.read(spark, name)
+        assert found.isEmpty() and found.schema.simpleString() == loaded[name].schema.simpleString()
+    assert empty.read(spark, "无形资产明细表").columns[:3] == ["asset_no", "asset_class", "asset_name"]
+
+
+def test_export_by_name_has_the_published_labels(spark, arap_paths, tmp_path):
+    assert set(LABELS) <= set(BUILDERS) and set(LABELS) <= set(fv.VIEW_NAMES.values())
+    # Every published workpaper that is no intermediate has labels.
+    assert {v for k, v in fv.VIEW_NAMES.items() if "明细表" in k and not k.endswith(("_temp", "_空白行"))} == set(LABELS)
+    tables, _ = flows.build_arap_tables(spark, arap_paths)
+    papers = Workpapers(tables)
+    papers.export("应收账款明细表", str(tmp_path / "ar"))
+    papers.export("ap_temp", str(tmp_path / "temp"), "parquet")
+    back = spark.read.csv(str(tmp_path / "ar"), header=True)
+    assert back.columns == [v for k, v in fv.RECEIVABLE_LABELS.items() if k in papers["ar_detail"].columns]
+    assert back.count() == papers["ar_detail"].count()
+    assert spark.read.parquet(str(tmp_path / "temp")).columns == papers["ap_temp"].columns
+
+
 def test_export_with_labels(spark, tmp_path):
     df = spark.createDataFrame([("b", 2, 2), ("a", 1, 1)], "party_code string, opening int, section int")
     sinks.export(df, str(tmp_path / "out"), {"party_code": "编码", "opening": "期初余额", "closing": "期末余额"})
