@@ -1,131 +1,83 @@
 """Quality rules: word statistics, and perplexity bands under an n-gram model of each language.
 
-The model is an interpolated modified Kneser-Ney model of runs of four symbols. Spark counts the runs over all documents.
-Symbols are 32 classes (letters without marks, blank, digits, signs), so a run packs into 20 bits without collision: the packed
-run is its hash. That bounds the model by 2**20 entries a language, at most 63 MB for all, whatever the corpus' size; only
-therefore is it collected and broadcast. It is stored as sorted arrays of hashes with log probabilities and back-off weights.
+The model is an interpolated modified Kneser-Ney model of runs of five characters, one for each value of the language column.
+Spark counts the runs over all documents; continuation counts, discounts and back-off weights are groupings and joins of the
+counted runs, so the model grows with the corpus and never passes through the driver. It is stored in ranges of sorted 64-bit
+hashes of the runs. Documents are scored in blocks: a block sends its distinct runs' hashes to a join with the model and gets
+its part of the model back as sorted arrays.
+
+A document doesn't vouch for itself: a run that no other row holds is scored by its shorter runs.
 """
 
 from __future__ import annotations
 
-import math
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import content_keys, order_id, slices, stored
 
-SYMBOLS, ORDER = 32, 4
-BLANK, DIGIT, STOP, SIGN, FOREIGN = 27, 28, 29, 30, 31
-#: Languages with a model of their own; all others, and null, share one.
-LANGUAGES = ("en", "de", "fr", "es")
+ORDER = 5
+#: Bytes of text in a block, one row at least.
+BLOCK = 16 << 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SIGNS = "#*$%&|<>"
 #: Distance of a quartile from the median of a normal distribution, in standard deviations.
 QUARTILE = 0.6745
+_PLAIN = 0x3001  # no white space beyond
 
 
 def _symbol(code: int) -> int:
     c = chr(code)
-    if c.isspace():
-        return BLANK
-    base = (unicodedata.normalize("NFKD", c.lower()) or c)[0]
-    if "a" <= base <= "z":
-        return ord(base) - 96
-    if base.isdigit():
-        return DIGIT
-    if c in ".,;:!?'\"-()":
-        return STOP
-    return FOREIGN if c.isalpha() else SIGN
+    return 32 if c.isspace() or not code else 48 if c.isdigit() else code
 
 
-_TABLE = np.array([_symbol(c) for c in range(0x250)], np.int32)
+_TABLE = np.array([_symbol(c) for c in range(_PLAIN)], np.uint32)
 
 
 def symbols(text: str) -> np.ndarray:
-    """The classes of a text's characters; a run of white space is one blank."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    found = np.where(codes < 0x250, _TABLE[np.minimum(codes, 0x24F)], FOREIGN).astype(np.int32)
-    return found[(found != BLANK) | (np.r_[0, found[:-1]] != BLANK)]
-
-
-def runs(found: np.ndarray) -> np.ndarray:
-    """For each symbol the packed run that ends there; before the text stand zeros."""
-    padded = np.r_[np.zeros(ORDER - 1, np.int32), found]
-    packed = np.zeros(len(found), np.int32)
-    for k in range(ORDER):
-        packed = packed * SYMBOLS + padded[k : k + len(found)]
-    return packed
-
-
-@dataclass
-class Model:
-    """For each order n: sorted hashes of the runs seen with their log probabilities, and of the contexts of n - 1 symbols
-    with the log weights by which they back off."""
-
-    runs: dict[int, tuple[np.ndarray, np.ndarray]]
-    contexts: dict[int, tuple[np.ndarray, np.ndarray]]
-
-    def score(self, packed: np.ndarray) -> np.ndarray:
-        """Log probability of each run's last symbol."""
-        total = np.zeros(len(packed))
-        left = np.arange(len(packed))
-        for n in range(ORDER, 0, -1):
-            key = packed[left] % SYMBOLS**n
-            found, values = _look_up(*self.runs[n], key)
-            total[left[found]] += values[found]
-            left, key = left[~found], key[~found]
-            if not len(left):
-                return total
-            known, weights = _look_up(*self.contexts[n], key // SYMBOLS)
-            total[left[known]] += weights[known]
-        total[left] -= math.log(SYMBOLS)
-        return total
-
-
-def _look_up(hashes: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which are there, and their values (any value for the others)."""
-    if not len(hashes):
-        return np.zeros(len(wanted), bool), np.zeros(len(wanted))
-    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
-    return hashes[at] == wanted, values[at]
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more."""
-    n = [0, *(int((counts == k).sum()) for k in range(1, 5))]
-    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-    d = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5 * k for k in (1, 2, 3)]
-    return np.array([0.0, *(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d))])
-
-
-def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> Model:
-    """The model of counted runs of ORDER symbols: keys and how often each was seen."""
-    grid = np.zeros(SYMBOLS**ORDER, np.int64)
-    grid[keys] = counts
-    levels = {ORDER: grid.reshape((SYMBOLS,) * ORDER)}
-    for n in range(ORDER - 1, 0, -1):  # in how many different contexts a shorter run was seen
-        levels[n] = (levels[n + 1] > 0).sum(axis=0)
-    model = Model({}, {})
-    lower: np.ndarray = np.array(1 / SYMBOLS)
-    for n in range(1, ORDER + 1):
-        c = levels[n]
-        d = _discounts(c[c > 0])
-        total = c.sum(axis=-1, keepdims=True)
-        freed = sum(d[k] * ((c == k) if k < 3 else (c >= 3)).sum(axis=-1, keepdims=True) for k in (1, 2, 3))
-        weight = np.where(total > 0, freed / np.maximum(total, 1), 1.0)
-        lower = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(total, 1) + weight * lower
-        seen, context = np.flatnonzero(c.ravel()), np.flatnonzero(total.ravel())
-        model.runs[n] = seen.astype(np.int32), np.log(lower.ravel()[seen])
-        model.contexts[n] = context.astype(np.int32), np.log(weight.ravel()[context])
-    return model
+    """The text's characters in lower case; a digit is a 0, a run of white space one blank."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    found = np.where(codes < _PLAIN, _TABLE[np.minimum(codes, _PLAIN - 1)], codes)
+    return found[(found != 32) | (np.r_[0, found[:-1]] != 32)]
+
+
+def _seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
+
+
+def hashes(windows: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each column of `windows` (ORDER rows of symbols), under its language's seed."""
+    found = seeds.copy()
+    for row in windows:
+        found ^= row
+        found *= np.uint64(0x9E3779B97F4A7C15)
+        found ^= found >> np.uint64(29)
+    return found
+
+
+def _runs(langs: list[str], parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol of the texts the run that ends there (a column of ORDER symbols, zeros before the text), and its hash."""
+    gap = np.zeros(ORDER - 1, np.uint32)
+    padded = np.concatenate([x for part in parts for x in (gap, part)])
+    ends = np.flatnonzero(np.concatenate([x for part in parts for x in (gap > 0, np.ones(len(part), bool))]))
+    windows = np.stack([padded[ends - k] for k in range(ORDER - 1, -1, -1)])
+    seeds = {lang: np.uint64(_seed(lang)) for lang in set(langs)}
+    return windows, hashes(windows, np.repeat(np.array([seeds[x] for x in langs], np.uint64), [len(p) for p in parts]))
+
+
+def _texts(batch: pa.RecordBatch) -> tuple[list[int], list[str], list[np.ndarray]]:
+    """Places, languages and symbols of the rows that have text."""
+    rows = [(i, lang, symbols(text)) for i, (lang, text) in enumerate(zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist())) if text]
+    return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
 
 
 def base_figures(text: str | None) -> tuple[int, int, int, int, int]:
@@ -152,106 +104,215 @@ def base_figures(text: str | None) -> tuple[int, int, int, int, int]:
     return n, sum(map(len, words)), sum(map(text.count, _SIGNS)), dup_lines, repeated
 
 
-def _language(column: Column) -> Column:
-    return F.when(column.isin(*LANGUAGES), column).otherwise(F.lit("other"))
-
+def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    text = F.col(text_col)
+    return docs.select(
+        order_id(F.col(id_col)).alias("_id"), F.col(id_col).cast("long").alias("doc_id"), *content_keys(F.coalesce(text, F.lit("")), ("_t1", "_t2")),
+        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_lang"), text.alias("_text"),
+    )
 
-def count_runs(docs: DataFrame) -> DataFrame:
-    """(_lang, run, n): how often each run was seen in each language; each task sends a run once."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grids: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "_text", 1 << 20):
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text:
-                    found = runs(symbols(text))
-                    if lang not in grids:
-                        grids[lang] = np.zeros(SYMBOLS**ORDER, np.int64)
-                    if len(found) > 100_000:
-                        grids[lang] += np.bincount(found, minlength=SYMBOLS**ORDER)
-                    else:
-                        np.add.at(grids[lang], found, 1)
-        for lang, grid in grids.items():
-            keys = np.flatnonzero(grid)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int32()), pa.array(grid[keys], pa.int64())], names=["_lang", "run", "n"])
 
-    return docs.select("_lang", "_text").mapInArrow(run, "_lang string, run int, n long").groupBy("_lang", "run").agg(F.sum("n").alias("n"))
+def blocks(rows: DataFrame) -> DataFrame:
+    """(block, packed): `rows` in compressed blocks of about BLOCK bytes of text, stored, so that all passes see the same blocks."""
+    def pack(held: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in held:
+                out.write_batch(part)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "packed"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size = TaskContext.get().partitionId() << 20, [], 0
+        for batch in slices(batches, "_text", 2 << 20):
+            held.append(batch)
+            size += (pa.compute.sum(pa.compute.binary_length(batch.column("_text"))).as_py() or 0) + 64 * batch.num_rows
+            if size >= BLOCK:
+                yield pack(held, block)
+                block, held, size = block + 1, [], 0
+        if held:
+            yield pack(held, block)
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, Model]:
-    """A model of each language, of the runs of all documents."""
-    counted = count_runs(docs.select(_language(F.col(lang_col)).alias("_lang"), F.col(text_col).alias("_text")))
-    table = counted.toArrow()  # at most 2**20 rows a language
-    lang, keys, n = (table.column(c).to_numpy() for c in ("_lang", "run", "n"))
-    return {name: kneser_ney(keys[lang == name], n[lang == name]) for name in sorted(set(lang.tolist()))}
+    return stored(rows.mapInArrow(run, "block long, packed binary"), "blocks")
 
 
-SCORED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+def _opened(packed: pa.Scalar, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    return slices(iter(pa.ipc.open_stream(packed.as_buffer())), "_text", most_bytes)
 
 
-def scored(docs: DataFrame, models: dict[str, Model], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(_id, doc_id, _t1, _t2, _lang, word statistics, log_perplexity) of each row; without text the perplexity is null."""
-    text = F.col(text_col)
-    chosen = docs.select(
-        order_id(F.col(id_col)).alias("_id"), F.col(id_col).cast("long").alias("doc_id"), *content_keys(F.coalesce(text, F.lit("")), ("_t1", "_t2")),
-        _language(F.col(lang_col)).alias("_lang"), text.alias("_text"),
+def count_runs(packed: DataFrame) -> DataFrame:
+    """(_lang, run, n, lo, hi): how often each run was seen in each language, in which row first and in which last (any numbers
+    of rows). Each slice of a block sends a run once, and each task once more sums them before the shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for block, value in zip(whole.column(0).to_pylist(), whole.column(1)):
+                yield from count(block, value)
+
+    def count(block: int, value: pa.Scalar) -> Iterator[pa.RecordBatch]:
+        row = block << 19  # a block has fewer rows
+        for batch in _opened(value, 2 << 20):
+            places, langs, parts = _texts(batch)
+            if places:
+                windows, keys = _runs(langs, parts)
+                owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+                order = np.argsort(keys, kind="stable")
+                keys = keys[order]
+                begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                ends = np.r_[begins[1:], len(keys)]
+                first = order[begins]
+                names = np.ascontiguousarray(windows[:, first].T).view(f"<U{ORDER}").ravel().tolist()
+                own = np.array(langs, object)[owner[first]]
+                columns = [pa.array(own, pa.string()), pa.array(names, pa.string()), *(pa.array(x, pa.int64()) for x in (ends - begins, row + owner[first], row + owner[order[ends - 1]]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_lang", "run", "n", "lo", "hi"])
+            row += batch.num_rows
+
+    found = packed.mapInArrow(run, "_lang string, run string, n long, lo long, hi long")
+    return found.groupBy("_lang", "run").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _discounts(level: DataFrame, n: int) -> DataFrame:
+    """For each language the modified Kneser-Ney discounts of counts 1, 2 and 3 or more, and the number of runs."""
+    c = [F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]
+    found = level.groupBy("_lang").agg(*(x.alias(f"c{k}") for k, x in enumerate(c, 1)), F.count("*").alias("size"))
+    y = F.when(F.col("c1") > 0, F.col("c1") / (F.col("c1") + 2 * F.col("c2"))).otherwise(0.5)
+    cut = [F.when(F.col(f"c{k}") > 0, k - (k + 1) * y * F.col(f"c{k + 1}") / F.greatest(f"c{k}", F.lit(1))).otherwise(0.5 * k) for k in (1, 2, 3)]
+    return found.select("_lang", F.lit(n).alias("order"), "size", *(F.least(F.greatest(x, F.lit(0.05)), F.lit(k - 0.05)).alias(f"d{k}") for k, x in enumerate(cut, 1)))
+
+
+def kneser_ney(counted: DataFrame) -> DataFrame:
+    """(_lang, run, chance, score) of the runs counted by `count_runs`.
+
+    chance: of the last symbol after the others, interpolated over all orders. score: the log chance as rows that hold the run
+    see it: where no other row holds it, the back-off weight and the score of the run without its first symbol.
+    """
+    levels = {ORDER: counted}
+    for n in range(ORDER - 1, 0, -1):  # in how many different contexts a shorter run was seen
+        shorter = levels[n + 1].groupBy("_lang", F.substring("run", 2, n).alias("run"))
+        levels[n] = stored(shorter.agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), f"runs_of_{n}")
+    cuts = _discounts(levels[1], 1)
+    for n in range(2, ORDER + 1):
+        cuts = cuts.unionByName(_discounts(levels[n], n))
+    cuts = stored(cuts, "discounts")  # a row for each language and order
+    lower = cuts.where("order = 1").select("_lang", F.lit("").alias("rest"), (1 / (F.col("size") + 1)).alias("p"))
+    lower = lower.withColumn("s", F.log("p"))
+    for n in range(1, ORDER + 1):
+        count, context = F.col("n"), F.substring("run", 1, n - 1).alias("context")
+        kinds = [F.count_if(count == 1).alias("k1"), F.count_if(count == 2).alias("k2"), F.count_if(count >= 3).alias("k3")]
+        contexts = levels[n].groupBy("_lang", context).agg(F.sum("n").alias("total"), *kinds)
+        contexts = contexts.join(cuts.where(F.col("order") == n), "_lang").select(
+            "_lang", "context", "total", "d1", "d2", "d3", ((F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")) / F.col("total")).alias("weight")
+        )
+        cut = F.when(count == 1, F.col("d1")).when(count == 2, F.col("d2")).otherwise(F.col("d3"))
+        chance = (count - cut) / F.col("total") + F.col("weight") * F.col("p")
+        score = F.when(F.col("lo") != F.col("hi"), F.log(chance)).otherwise(F.log("weight") + F.col("s"))
+        found = levels[n].select("_lang", "run", "n", "lo", "hi", context, F.substring("run", 2, n - 1).alias("rest"))
+        found = found.join(contexts, ["_lang", "context"]).join(lower, ["_lang", "rest"])
+        lower = found.select("_lang", F.col("run").alias("rest"), chance.alias("p"), score.alias("s"))
+    return lower.select("_lang", F.col("rest").alias("run"), F.col("p").alias("chance"), F.col("s").alias("score"))
+
+
+def fit(packed: DataFrame) -> DataFrame:
+    """(key, score): the model of all rows of `blocks`, stored in ranges of sorted hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                langs, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                windows = np.array(names, f"<U{ORDER}").view("<u4").reshape(-1, ORDER).T
+                seeds = {lang: np.uint64(_seed(lang)) for lang in set(langs)}
+                keys = hashes(windows, np.array([seeds[x] for x in langs], np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(2)], names=["key", "score"])
+
+    model = kneser_ney(stored(count_runs(packed), "runs")).select("_lang", "run", F.col("score").cast("float").alias("score"))
+    model = stored(model.mapInArrow(run, "key long, score float"), "unsorted")
+    return stored(model.repartitionByRange("key").sortWithinPartitions("key"), "model", instead_of=model)
+
+
+FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+SCORED = f"{FIGURES}, cost double, letters long"
+
+
+def scored(packed: DataFrame, model: DataFrame) -> DataFrame:
+    """(_id, doc_id, _t1, _t2, _lang, word statistics, cost, letters) of each row of the `blocks` that `model` was fit on; cost:
+    the sum of the negative scores of all runs, null without text; letters: letters and digits in them."""
+    names = ["_id", "doc_id", "_t1", "_t2", "_lang"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for block, value in zip(whole.column(0).to_pylist(), whole.column(1)):
+                held = np.zeros(0, np.uint64)
+                for batch in _opened(value, 2 << 20):
+                    places, langs, parts = _texts(batch)
+                    if places:
+                        held = np.union1d(held, _runs(langs, parts)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), block)), pa.array(held.view(np.int64))], names=["block", "key"])
+
+    def score(whole: pa.Table, part: pa.Table) -> pa.Table:
+        keys, scores = part.column("key").to_numpy().view(np.uint64), part.column("score").to_numpy()
+        order = np.argsort(keys)
+        keys, scores, out = keys[order], scores[order].astype(np.float64), []
+        for value in whole.column("packed"):
+            for batch in _opened(value, 1 << 20):
+                figures = list(zip(*(base_figures(t) for t in batch.column("_text").to_pylist())))
+                cost: list[float | None] = [None] * batch.num_rows
+                letters = [0] * batch.num_rows
+                places, langs, parts = _texts(batch)
+                if places:
+                    wanted = _runs(langs, parts)[1]
+                    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                    if (keys[at] != wanted).any():
+                        raise ValueError("the model is of other rows")
+                    sums = np.add.reduceat(scores[at], np.cumsum([0, *map(len, parts)])[:-1])
+                    for i, total, text in zip(places, sums, parts):
+                        cost[i], letters[i] = -float(total), _letters(text)
+                columns = [*(batch.column(c) for c in names), *(pa.array(f, pa.int64()) for f in figures), pa.array(cost, pa.float64()), pa.array(letters, pa.int64())]
+                out.append(pa.RecordBatch.from_arrays(columns, names=[*names, *(c.split(" ")[0] for c in SCORED.split(", "))]))
+        return pa.Table.from_batches(out)
+
+    asked = packed.mapInArrow(ask, "block long, key long")
+    parts = asked.join(model, "key").select("block", "key", "score").groupBy("block")
+    return packed.groupBy("block").cogroup(parts).applyInArrow(score, f"_id long, doc_id long, _t1 long, _t2 long, _lang string, {SCORED}")
+
+
+def _letters(found: np.ndarray) -> int:
+    """How many of the symbols are letters or digits; beyond ASCII all but blanks count."""
+    return int(((found > 127) | (found - 97 < 26) | (found == 48)).sum())
+
+
+def with_bands(found: DataFrame, width: float, least: float) -> DataFrame:
+    """`found` with low and high, its language's accepted log perplexities: the median, and on each side `width` standard
+    deviations (at least `least`), as the quartile there tells them for a normal distribution: far values, junk too, don't
+    widen it. From a histogram of the rows that are not base_failed, in steps of a thousandth; other languages have no band."""
+    steps = found.where("NOT base_failed AND log_perplexity IS NOT NULL").groupBy("_lang", F.floor(F.col("log_perplexity") * 1000).alias("step")).count()
+    upto = steps.withColumns({"upto": F.sum("count").over(Window.partitionBy("_lang").orderBy("step")), "all": F.sum("count").over(Window.partitionBy("_lang"))})
+    quartile = [((F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("step"))) + 0.5) / 1000).alias(f"q{k}") for k, q in enumerate((0.25, 0.5, 0.75), 1)]
+    side = lambda far: F.greatest(F.lit(least), width / QUARTILE * far)
+    ends = upto.groupBy("_lang").agg(*quartile).select(
+        "_lang", (F.col("q2") - side(F.col("q2") - F.col("q1"))).alias("low"), (F.col("q2") + side(F.col("q3") - F.col("q2"))).alias("high")
     )
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    return found.join(stored(ends, "bands"), "_lang", "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 1 << 20):
-            langs, texts = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            figures = list(zip(*(base_figures(t) for t in texts)))
-            score: list[float | None] = [None] * len(texts)
-            for lang in set(langs):
-                own = [i for i, (x, t) in enumerate(zip(langs, texts)) if x == lang and t]
-                if not own or lang not in shared.value:
-                    continue
-                parts = [runs(symbols(texts[i])) for i in own]
-                begins = np.cumsum([0, *map(len, parts)])[:-1]
-                sums = np.add.reduceat(shared.value[lang].score(np.concatenate(parts)), begins)
-                for i, part, total in zip(own, parts, sums):
-                    score[i] = -float(total) / len(part)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array(f, pa.int64()) for f in figures), pa.array(score, pa.float64())], names=[*batch.schema.names[:5], *(c.split(" ")[0] for c in SCORED.split(", "))])
-
-    return chosen.mapInArrow(run, "_id long, doc_id long, _t1 long, _t2 long, _lang string, " + SCORED)
-
-
-def bands(found: DataFrame, width: float, least: float) -> dict[str, tuple[float, float]]:
-    """Of each language the lowest and highest accepted log perplexity: the median, and on each side `width` standard deviations
-    (at least `least`), as the quartile there tells them for a normal distribution: far values, junk too, don't widen it. From
-    a histogram of the rows of `found` in steps of a thousandth."""
-    rows = found.where("log_perplexity IS NOT NULL").groupBy("_lang", F.floor(F.col("log_perplexity") * 1000).alias("step")).count().collect()
-    out = {}
-    for lang in {r["_lang"] for r in rows}:
-        steps = sorted((r["step"], r["count"]) for r in rows if r["_lang"] == lang)
-        sums = np.cumsum([c for _, c in steps])
-        at = lambda q: (steps[int(np.searchsorted(sums, q * sums[-1]))][0] + 0.5) / 1000  # noqa: B023, E731
-        out[lang] = (at(0.5) - max(least, width * (at(0.5) - at(0.25)) / QUARTILE), at(0.5) + max(least, width * (at(0.75) - at(0.5)) / QUARTILE))
-    return out
-
-
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 3.0, least: float = 0.1) -> DataFrame:
+
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 5.0, least: float = 0.1) -> DataFrame:
     """A row for each row of `docs`: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     log_perplexity, with the keys _id, _t1, _t2 of `common`.
 
     Words are [^\\x20\\x09-\\x0D]+. word_chars: code points in words; n_symbols: characters of #*$%&|<>; n_dup_lines: lines
     (between line feeds) with a word, equal to an earlier line; n_repeat_words: words in windows of three found twice or more.
-    base_failed: under 50 words, or over half of them repeated. kept: not base_failed, and the log perplexity for each symbol
-    lies in the band of the row's language, taken from the rows that are not base_failed. Null and empty texts have no words and fail. A null or unknown language is
-    judged with all others of its kind. Repeated rows are judged alike. Tables without rows give none.
+    base_failed: under 50 words, or over half of them repeated. log_perplexity: the cost of all characters for each letter or
+    digit, so signs add cost but no length. kept: not base_failed, and the log perplexity lies in the band of the row's language,
+    taken from the rows that are not base_failed. Null and empty texts have no words and fail. Each language has its own model;
+    rows without a language are one. Repeated rows are judged alike, each vouching for the others. Very long texts are rows of
+    their own blocks. Tables without rows give none.
     """
-    docs = docs.select(F.col(id_col), F.col(text_col), F.col(lang_col))
-    found = stored(scored(docs, fit(docs, text_col, lang_col), id_col, text_col, lang_col), "quality")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = F.lit(False)
-    for lang, (low, high) in sorted(bands(found.where(~failed), width, least).items()):
-        inside = inside | (F.col("_lang") == lang) & F.col("log_perplexity").between(low, high)
-    return found.withColumns({"base_failed": failed, "kept": ~failed & F.coalesce(inside, F.lit(False))})
+    packed = blocks(_rows(docs, id_col, text_col, lang_col))
+    found = stored(scored(packed, fit(packed)), "quality", instead_of=packed).withColumn("log_perplexity", F.col("cost") / F.greatest("letters", F.lit(1)))
+    found = found.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
+    return with_bands(found, width, least).withColumn("kept", ~F.col("base_failed") & inside).drop("low", "high", "cost", "letters")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs` that `quality_verdicts` keeps, with all their columns."""
+    """The rows of `docs` that `quality_verdicts` keeps, with all their columns, whatever their names."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = quality_verdicts(docs, id_col, text_col, lang_col).where("kept").select("_id", "_t1", "_t2")
-    keyed = docs.withColumns({"_id": order_id(F.col(id_col)), "_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(1), text)})
-    return keyed.join(kept, ["_id", "_t1", "_t2"], "left_semi").select(*docs.columns)
+    keyed = docs.select(order_id(F.col(id_col)).alias("_id"), *content_keys(text, ("_t1", "_t2")), F.struct(*docs.columns).alias("_row"))
+    return keyed.join(kept, ["_id", "_t1", "_t2"], "left_semi").select("_row.*")
