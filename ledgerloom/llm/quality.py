@@ -1,6 +1,6 @@
 """Quality rules: word statistics, and perplexity bands under an n-gram model of each language.
 
-The model is an interpolated modified Kneser-Ney model of runs of five characters, one for each value of the language column.
+The model is an interpolated modified Kneser-Ney model of runs of four characters, one for each value of the language column.
 Spark counts the runs over all documents; continuation counts, discounts and back-off weights are groupings and joins of the
 counted runs, so the model grows with the corpus and never passes through the driver. It is stored in ranges of sorted 64-bit
 hashes of the runs. Documents are scored in blocks: a block sends its distinct runs' hashes to a join with the model and gets
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import content_keys, order_id, slices, stored
 
-ORDER = 5
+ORDER = 4
 #: Bytes of text in a block, one row at least.
 BLOCK = 16 << 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -116,7 +116,7 @@ def blocks(rows: DataFrame) -> DataFrame:
     """(block, packed): `rows` in compressed blocks of about BLOCK bytes of text, stored, so that all passes see the same blocks."""
     def pack(held: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as out:
             for part in held:
                 out.write_batch(part)
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "packed"])
@@ -195,18 +195,19 @@ def kneser_ney(counted: DataFrame) -> DataFrame:
     lower = cuts.where("order = 1").select("_lang", F.lit("").alias("rest"), (1 / (F.col("size") + 1)).alias("p"))
     lower = lower.withColumn("s", F.log("p"))
     for n in range(1, ORDER + 1):
-        count, context = F.col("n"), F.substring("run", 1, n - 1).alias("context")
-        kinds = [F.count_if(count == 1).alias("k1"), F.count_if(count == 2).alias("k2"), F.count_if(count >= 3).alias("k3")]
-        contexts = levels[n].groupBy("_lang", context).agg(F.sum("n").alias("total"), *kinds)
-        contexts = contexts.join(cuts.where(F.col("order") == n), "_lang").select(
-            "_lang", "context", "total", "d1", "d2", "d3", ((F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")) / F.col("total")).alias("weight")
+        count = F.col("n")
+        followers = Window.partitionBy("_lang", F.substring("run", 1, n - 1))  # at most one row for each symbol
+        kinds = [F.sum(when.cast("int")).over(followers).alias(f"k{k}") for k, when in enumerate((count == 1, count == 2, count >= 3), 1)]
+        found = levels[n].select(
+            "_lang", F.substring("run", 1, 1).alias("first"), F.substring("run", 2, n - 1).alias("rest"), "n",
+            F.sum("n").over(followers).alias("total"), *kinds, (F.col("lo") != F.col("hi")).alias("shared"),
         )
+        found = found.join(lower, ["_lang", "rest"]).join(cuts.where(F.col("order") == n), "_lang")
         cut = F.when(count == 1, F.col("d1")).when(count == 2, F.col("d2")).otherwise(F.col("d3"))
-        chance = (count - cut) / F.col("total") + F.col("weight") * F.col("p")
-        score = F.when(F.col("lo") != F.col("hi"), F.log(chance)).otherwise(F.log("weight") + F.col("s"))
-        found = levels[n].select("_lang", "run", "n", "lo", "hi", context, F.substring("run", 2, n - 1).alias("rest"))
-        found = found.join(contexts, ["_lang", "context"]).join(lower, ["_lang", "rest"])
-        lower = found.select("_lang", F.col("run").alias("rest"), chance.alias("p"), score.alias("s"))
+        weight = (F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")) / F.col("total")
+        chance = (count - cut) / F.col("total") + weight * F.col("p")
+        score = F.when(F.col("shared"), F.log(chance)).otherwise(F.log(weight) + F.col("s"))
+        lower = found.select("_lang", F.concat("first", "rest").alias("rest"), chance.alias("p"), score.alias("s"))
     return lower.select("_lang", F.col("rest").alias("run"), F.col("p").alias("chance"), F.col("s").alias("score"))
 
 

@@ -230,15 +230,16 @@ def test_quality(docs, empty):
 
 
 def plain_model(texts):
-    """Scores of the runs of five symbols in texts (a list of a language's texts), by dictionaries."""
-    padded = [[0, 0, 0, 0, *quality.symbols(t).tolist()] for t in texts]
-    counts, holders = {5: Counter()}, defaultdict(set)
+    """Scores of the runs of symbols in texts (a list of a language's texts), by dictionaries."""
+    order = quality.ORDER
+    padded = [[*[0] * (order - 1), *quality.symbols(t).tolist()] for t in texts]
+    counts, holders = {order: Counter()}, defaultdict(set)
     for row, s in enumerate(padded):
-        for k in range(len(s) - 4):
-            counts[5][tuple(s[k : k + 5])] += 1
-            for n in range(5):
-                holders[tuple(s[k + n : k + 5])].add(row)
-    for n in (4, 3, 2, 1):
+        for k in range(len(s) - order + 1):
+            counts[order][tuple(s[k : k + order])] += 1
+            for n in range(order):
+                holders[tuple(s[k + n : k + order])].add(row)
+    for n in range(order - 1, 0, -1):
         counts[n] = Counter(x[1:] for x in counts[n + 1])
     totals, kinds, cuts = defaultdict(int), defaultdict(Counter), {}
     for n in counts:
@@ -287,7 +288,7 @@ def test_quality_verdicts_are_those_of_a_plain_model(spark, folder, monkeypatch)
     for own in texts.values():
         padded, _, score, _ = plain_model(list(own.values()))
         letters = [sum(c > 127 or chr(c) in "0abcdefghijklmnopqrstuvwxyz" for c in s) for s in padded]
-        plain = {i: -sum(score(tuple(s[k : k + 5])) for k in range(len(s) - 4)) / max(1, n) for i, s, n in zip(own, padded, letters)}
+        plain = {i: -sum(score(tuple(s[k : k + quality.ORDER])) for k in range(len(s) - quality.ORDER + 1)) / max(1, n) for i, s, n in zip(own, padded, letters)}
         for i, value in plain.items():
             assert abs(rows[i].log_perplexity - value) < 1e-5 * max(1, value)
         body = sorted(np.floor(rows[i].log_perplexity * 1000) / 1000 + 0.0005 for i in own if not rows[i].base_failed)
@@ -310,7 +311,7 @@ def test_kneser_ney_is_that_of_dictionaries(spark):
     rows = spark.createDataFrame([("x", t) for t in texts] + [("y", "other"), ("y", None), ("y", "")], "_lang string, _text string")
     found = {tuple(map(ord, r.run)): r for r in quality.kneser_ney(quality.count_runs(quality.blocks(rows))).where("_lang = 'x'").collect()}
     _, chance, score, counts = plain_model(texts)
-    assert found.keys() == counts[5].keys()
+    assert found.keys() == counts[quality.ORDER].keys()
     assert all(abs(r.chance - chance(x)) < 1e-12 and abs(r.score - score(x)) < 1e-9 for x, r in found.items())
 
 
