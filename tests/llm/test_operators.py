@@ -491,3 +491,17 @@ def test_archives(spark, version):
     assert {r.page_id: r.payload for r in got if r.record_type == "response"} == {1: b"<p>x</p>", 3: b"", 5: rows[4][2].encode()}
     assert all(r.payload_digest == archives.payload_digest((h or "").encode()) for r in got for i, _, h in rows if i == r.page_id)
     assert archives.archive(pages.limit(0)).count() == 0
+
+
+def test_arc_records_without_blocks(spark, tmp_path):
+    """What finds the first captures reads the same rows and compresses no block; files are written at the fast level."""
+    text = " ".join(str(i * i % 9973) for i in range(20_000))
+    pages = spark.createDataFrame([(i, "u", f"<p>{text}</p>") for i in range(3)] + [(None, None, None)], "page_id long, url string, html string").coalesce(1)
+    archives.write_arc(pages, f"{tmp_path}/arc")
+    whole, light = (archives.read_arc(spark, f"{tmp_path}/arc", with_block=w) for w in (True, False))
+    assert all(zlib.decompress(r.block).startswith(b"HTTP/") for r in whole.collect())
+    assert [r.block for r in light.collect()] == [None] * 4
+    assert sorted(whole.drop("block").collect(), key=str) == sorted(light.drop("block").collect(), key=str)
+    (file,) = tmp_path.glob("arc/*.gz")
+    data = archives._unpacked(file.read_bytes())
+    assert len(file.read_bytes()) > 1.02 * len(zlib.compress(data, 6))
