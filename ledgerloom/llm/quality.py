@@ -27,9 +27,13 @@ from ledgerloom.llm.common import content_keys, order_id, slices, stored
 
 ORDER = 4
 #: Bytes of text in a block, one row at least.
-BLOCK = 16 << 20
+BLOCK = 40 << 20
+#: Bytes of text whose runs are held at once, one row at least; the arrays of its runs take about eighty times as much.
+SLICE = 512 << 10
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SIGNS = "#*$%&|<>"
+#: Behind the numbers of all rows.
+LAST_ROW = 2**62
 #: Distance of a quartile from the median of a normal distribution, in standard deviations.
 QUARTILE = 0.6745
 _PLAIN = 0x3001  # no white space beyond
@@ -114,23 +118,25 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
 
 def blocks(rows: DataFrame) -> DataFrame:
     """(block, packed): `rows` in compressed blocks of about BLOCK bytes of text, stored, so that all passes see the same blocks."""
-    def pack(held: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as out:
-            for part in held:
-                out.write_batch(part)
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "packed"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, size = TaskContext.get().partitionId() << 20, [], 0
-        for batch in slices(batches, "_text", 2 << 20):
-            held.append(batch)
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))
+        block, out, size = TaskContext.get().partitionId() << 20, None, 0
+        for batch in slices(batches, "_text", min(BLOCK, 8 << 20)):
+            if out is None:
+                sink = pa.BufferOutputStream()
+                out = pa.ipc.new_stream(sink, batch.schema, options=options)
+            out.write_batch(batch)  # compressed at once, so that no more than a slice of plain text is held; larger slices compress better
             size += (pa.compute.sum(pa.compute.binary_length(batch.column("_text"))).as_py() or 0) + 64 * batch.num_rows
             if size >= BLOCK:
-                yield pack(held, block)
-                block, held, size = block + 1, [], 0
-        if held:
-            yield pack(held, block)
+                out.close()
+                yield packed(block, sink)
+                block, out, size = block + 1, None, 0
+        if out is not None:
+            out.close()
+            yield packed(block, sink)
+
+    def packed(block: int, sink: pa.BufferOutputStream) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([memoryview(sink.getvalue())], pa.binary())], names=["block", "packed"])
 
     return stored(rows.mapInArrow(run, "block long, packed binary"), "blocks")
 
@@ -139,31 +145,58 @@ def _opened(packed: pa.Scalar, most_bytes: int) -> Iterator[pa.RecordBatch]:
     return slices(iter(pa.ipc.open_stream(packed.as_buffer())), "_text", most_bytes)
 
 
-def count_runs(packed: DataFrame) -> DataFrame:
-    """(_lang, run, n, lo, hi): how often each run was seen in each language, in which row first and in which last (any numbers
-    of rows). Each slice of a block sends a run once, and each task once more sums them before the shuffle."""
+def _begins(found: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+
+
+def count_runs(packed: DataFrame, most_runs: int = 1 << 19) -> DataFrame:
+    """(_lang, run, n, lo, hi): how often each run was seen in each language, and two numbers that are equal where one row only
+    holds it, namely that row's. A block sends a run once, up to `most_runs` of them, and each task once more sums them before
+    the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for block, value in zip(whole.column(0).to_pylist(), whole.column(1)):
                 yield from count(block, value)
 
     def count(block: int, value: pa.Scalar) -> Iterator[pa.RecordBatch]:
-        row = block << 19  # a block has fewer rows
-        for batch in _opened(value, 2 << 20):
+        row, held, names = block << 19, [], []  # a block has fewer rows
+        for batch in _opened(value, SLICE):
             places, langs, parts = _texts(batch)
             if places:
+                names += set(langs) - set(names)
                 windows, keys = _runs(langs, parts)
-                owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+                owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+                spoken = np.array([names.index(x) for x in langs], np.int32)
                 order = np.argsort(keys, kind="stable")
-                keys = keys[order]
-                begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                ends = np.r_[begins[1:], len(keys)]
-                first = order[begins]
-                names = np.ascontiguousarray(windows[:, first].T).view(f"<U{ORDER}").ravel().tolist()
-                own = np.array(langs, object)[owner[first]]
-                columns = [pa.array(own, pa.string()), pa.array(names, pa.string()), *(pa.array(x, pa.int64()) for x in (ends - begins, row + owner[first], row + owner[order[ends - 1]]))]
-                yield pa.RecordBatch.from_arrays(columns, names=["_lang", "run", "n", "lo", "hi"])
+                begins = _begins(keys[order])
+                first, last = (owner[order[x]].astype(np.int64) for x in (begins, np.r_[begins[1:], len(order)] - 1))
+                shared = first != last  # in which rows doesn't matter then, and equal numbers compress
+                n = np.diff(np.r_[begins, len(order)])
+                at = order[begins]
+                held.append((keys[at], windows[:, at], spoken[first], n, np.where(shared, -1, row + first), np.where(shared, LAST_ROW, row + last)))
+                if len(held) > 1 and sum(len(x[0]) for x in held) >= 2 * most_runs:
+                    held = [merged(held)]
+                    if len(held[0][0]) >= most_runs:
+                        yield sent(held.pop(), names)
             row += batch.num_rows
+        if held:
+            yield sent(merged(held), names)
+
+    def merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        keys, windows, spoken, n, lo, hi = (np.concatenate(x, axis=-1) for x in zip(*held))
+        order = np.argsort(keys, kind="stable")
+        begins = _begins(keys[order])
+        at = order[begins]
+        lo, hi = np.minimum.reduceat(lo[order], begins), np.maximum.reduceat(hi[order], begins)
+        shared = lo != hi
+        return keys[at], windows[:, at], spoken[at], np.add.reduceat(n[order], begins), np.where(shared, -1, lo), np.where(shared, LAST_ROW, hi)
+
+    def sent(found: tuple[np.ndarray, ...], names: list[str]) -> pa.RecordBatch:
+        _, windows, spoken, *numbers = found
+        runs = np.ascontiguousarray(windows.T).view(f"<U{ORDER}").ravel().tolist()
+        own = pa.array(np.array(names, object)[spoken], pa.string())
+        return pa.RecordBatch.from_arrays([own, pa.array(runs, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)], names=["_lang", "run", "n", "lo", "hi"])
 
     found = packed.mapInArrow(run, "_lang string, run string, n long, lo long, hi long")
     return found.groupBy("_lang", "run").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -227,6 +260,32 @@ def fit(packed: DataFrame) -> DataFrame:
     return stored(model.repartitionByRange("key").sortWithinPartitions("key"), "model", instead_of=model)
 
 
+def answers(found: DataFrame, most_rows: int = 1 << 19) -> DataFrame:
+    """(block, keys, scores): the rows (block, key, score) as arrays, of 8 and 4 bytes a number, one pair for each block and
+    `most_rows` rows of a task: as rows they take over twice the bytes in the shuffle by block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= most_rows:
+                yield dealt(held)
+                held, rows = [], 0
+        if rows:
+            yield dealt(held)
+
+    def dealt(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block, keys, scores = (np.concatenate([batch.column(k).to_numpy(zero_copy_only=False) for batch in held]) for k in range(3))
+        order = np.argsort(block, kind="stable")
+        block, keys, scores = block[order], keys[order], scores[order]
+        begins = _begins(block)
+        ends = np.r_[begins[1:], len(block)]
+        columns = [pa.array([x[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()) for x in (keys, scores)]
+        return pa.RecordBatch.from_arrays([pa.array(block[begins]), *columns], names=["block", "keys", "scores"])
+
+    return found.mapInArrow(run, "block long, keys binary, scores binary")
+
+
 FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 SCORED = f"{FIGURES}, cost double, letters long"
 
@@ -239,19 +298,22 @@ def scored(packed: DataFrame, model: DataFrame) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for block, value in zip(whole.column(0).to_pylist(), whole.column(1)):
-                held = np.zeros(0, np.uint64)
-                for batch in _opened(value, 2 << 20):
+                held, fresh = np.zeros(0, np.uint64), []
+                for batch in _opened(value, SLICE):
                     places, langs, parts = _texts(batch)
                     if places:
-                        held = np.union1d(held, _runs(langs, parts)[1])
+                        fresh.append(np.unique(_runs(langs, parts)[1]))
+                        if sum(map(len, fresh)) > max(1 << 20, len(held)):
+                            held, fresh = np.unique(np.concatenate([held, *fresh])), []
+                held = np.unique(np.concatenate([held, *fresh]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), block)), pa.array(held.view(np.int64))], names=["block", "key"])
 
     def score(whole: pa.Table, part: pa.Table) -> pa.Table:
-        keys, scores = part.column("key").to_numpy().view(np.uint64), part.column("score").to_numpy()
+        keys, scores = (np.frombuffer(b"".join(part.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("scores", np.float32)))
         order = np.argsort(keys)
         keys, scores, out = keys[order], scores[order].astype(np.float64), []
         for value in whole.column("packed"):
-            for batch in _opened(value, 1 << 20):
+            for batch in _opened(value, SLICE):
                 figures = list(zip(*(base_figures(t) for t in batch.column("_text").to_pylist())))
                 cost: list[float | None] = [None] * batch.num_rows
                 letters = [0] * batch.num_rows
@@ -269,8 +331,8 @@ def scored(packed: DataFrame, model: DataFrame) -> DataFrame:
         return pa.Table.from_batches(out)
 
     asked = packed.mapInArrow(ask, "block long, key long")
-    parts = asked.join(model, "key").select("block", "key", "score").groupBy("block")
-    return packed.groupBy("block").cogroup(parts).applyInArrow(score, f"_id long, doc_id long, _t1 long, _t2 long, _lang string, {SCORED}")
+    parts = answers(asked.join(model, "key").select("block", "key", "score"))
+    return packed.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(score, f"_id long, doc_id long, _t1 long, _t2 long, _lang string, {SCORED}")
 
 
 def _letters(found: np.ndarray) -> int:

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -505,3 +506,47 @@ def test_arc_records_without_blocks(spark, tmp_path):
     (file,) = tmp_path.glob("arc/*.gz")
     data = archives._unpacked(file.read_bytes())
     assert len(file.read_bytes()) > 1.02 * len(zlib.compress(data, 6))
+
+
+def test_answers_are_arrays_for_each_block(spark):
+    draw = np.random.default_rng(3)
+    rows = [(int(b), int(k), float(np.float32(x))) for b, k, x in zip(draw.integers(0, 5, 4000), draw.integers(-(2**63), 2**63, 4000), draw.normal(size=4000))]
+    found = spark.createDataFrame(rows, "block long, key long, score float").repartition(3)
+    for most, parts in ((1 << 19, 15), (300, 80)):
+        got = quality.answers(found, most).collect()
+        assert len(got) <= parts and sorted((r.block, k, s) for r in got for k, s in zip(np.frombuffer(r["keys"], "<i8").tolist(), np.frombuffer(r.scores, "<f4").tolist(), strict=True)) == sorted(rows)
+    assert quality.answers(found.limit(0)).count() == 0
+
+
+def test_shared_runs_have_equal_numbers(spark):
+    """A run that several rows hold is told by the same two numbers wherever it is seen, one that one row holds by that row's."""
+    rows = spark.createDataFrame([("x", "abcd"), ("x", "abcd, zwyx"), ("x", "abcd"), ("y", "abcd abcd")], "_lang string, _text string").coalesce(1)
+    found = {(r._lang, r.run): (r.lo, r.hi) for r in quality.count_runs(quality.blocks(rows)).collect()}
+    assert found["x", "abcd"] == found["x", "\0\0\0a"] == (-1, quality.LAST_ROW)
+    assert found["x", "zwyx"][0] == found["x", "zwyx"][1] == found["x", "d, z"][0] != found["y", "abcd"][0] == found["y", "abcd"][1]
+
+
+def test_a_block_is_closed_at_its_size(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 1_000_000)
+    texts = [f"{i} " * 300_000 for i in range(7)]
+    rows = spark.createDataFrame([("x", t) for t in texts] + [("x", None)], "_lang string, _text string").coalesce(1)
+    held = [[t for batch in pa.ipc.open_stream(r.packed) for t in batch.column("_text").to_pylist()] for r in quality.blocks(rows).orderBy("block").collect()]
+    assert len(held) > 1 and [t for block in held for t in block] == [*texts, None]
+
+
+def test_runs_of_a_block_are_sent_once(spark, monkeypatch):
+    """Counts, and who holds a run, are the same whether a block's runs are merged over slices or sent early."""
+    monkeypatch.setattr(quality, "SLICE", 2_000)
+    draw = np.random.default_rng(7)
+    texts = ["".join(map(chr, draw.integers(97, 104, 900))) for _ in range(12)] + ["zebra 42", None, ""]
+    rows = spark.createDataFrame([("xy"[i % 2], t) for i, t in enumerate(texts)], "_lang string, _text string").coalesce(1)
+    want, holders = Counter(), defaultdict(set)
+    for i, t in enumerate(texts):
+        own = "\0\0\0" + (t or "").replace("42", "00")
+        for k in range(len(own) - 3):
+            want["xy"[i % 2], own[k : k + 4]] += 1
+            holders["xy"[i % 2], own[k : k + 4]].add(i)
+    for most in (1 << 19, 1_000):
+        found = {(r._lang, r.run): r for r in quality.count_runs(quality.blocks(rows), most).collect()}
+        assert {k: r.n for k, r in found.items()} == want
+        assert all((r.lo == r.hi) == (len(holders[k]) == 1) for k, r in found.items())
