@@ -29,7 +29,7 @@ ORDER = 4
 #: Bytes of text in a block, one row at least.
 BLOCK = 40 << 20
 #: Bytes of text whose runs are held at once, one row at least; the arrays of its runs take about eighty times as much.
-SLICE = 512 << 10
+SLICE = 256 << 10
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SIGNS = "#*$%&|<>"
 #: Behind the numbers of all rows.
@@ -119,7 +119,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
 def blocks(rows: DataFrame) -> DataFrame:
     """(block, packed): `rows` in compressed blocks of about BLOCK bytes of text, stored, so that all passes see the same blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9), use_threads=False)
         block, out, size = TaskContext.get().partitionId() << 20, None, 0
         for batch in slices(batches, "_text", min(BLOCK, 8 << 20)):
             if out is None:
@@ -136,13 +136,16 @@ def blocks(rows: DataFrame) -> DataFrame:
             yield packed(block, sink)
 
     def packed(block: int, sink: pa.BufferOutputStream) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([memoryview(sink.getvalue())], pa.binary())], names=["block", "packed"])
+        value = sink.getvalue()
+        ends = pa.array([0, value.size], pa.int32()).buffers()[1]
+        whole = pa.Array.from_buffers(pa.binary(), 1, [None, ends, value])  # pa.array() of a memoryview never lets go of its buffer
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), whole], names=["block", "packed"])
 
     return stored(rows.mapInArrow(run, "block long, packed binary"), "blocks")
 
 
 def _opened(packed: pa.Scalar, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    return slices(iter(pa.ipc.open_stream(packed.as_buffer())), "_text", most_bytes)
+    return slices(iter(pa.ipc.open_stream(packed.as_buffer(), options=pa.ipc.IpcReadOptions(use_threads=False))), "_text", most_bytes)
 
 
 def _begins(found: np.ndarray) -> np.ndarray:
@@ -175,7 +178,7 @@ def count_runs(packed: DataFrame, most_runs: int = 1 << 19) -> DataFrame:
                 n = np.diff(np.r_[begins, len(order)])
                 at = order[begins]
                 held.append((keys[at], windows[:, at], spoken[first], n, np.where(shared, -1, row + first), np.where(shared, LAST_ROW, row + last)))
-                if len(held) > 1 and sum(len(x[0]) for x in held) >= 2 * most_runs:
+                if sum(len(x[0]) for x in held[1:]) >= min(most_runs, max(len(held[0][0]), 1 << 16)):  # so held follows distinct runs
                     held = [merged(held)]
                     if len(held[0][0]) >= most_runs:
                         yield sent(held.pop(), names)

@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
+from types import SimpleNamespace
 
 import corpus_pipeline
 import numpy as np
@@ -550,3 +552,49 @@ def test_runs_of_a_block_are_sent_once(spark, monkeypatch):
         found = {(r._lang, r.run): r for r in quality.count_runs(quality.blocks(rows), most).collect()}
         assert {k: r.n for k, r in found.items()} == want
         assert all((r.lo == r.hi) == (len(holders[k]) == 1) for k, r in found.items())
+
+
+class _Taken:
+    """Stands for a DataFrame and keeps the function that it is mapped by."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def groupBy(self, *columns):
+        return self
+
+    agg = groupBy
+
+
+def _texts_run(monkeypatch, texts: list[str]) -> pa.RecordBatch:
+    """The texts as one batch, for functions run in this process."""
+    monkeypatch.setattr(quality, "stored", lambda df, name: df)
+    monkeypatch.setattr(quality, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    return pa.RecordBatch.from_arrays([pa.array(["x"] * len(texts)), pa.array(texts)], names=["_lang", "_text"])
+
+
+def test_sent_blocks_are_let_go(spark, monkeypatch):
+    """A worker serves many tasks: what it sent must not stay in its memory."""
+    monkeypatch.setattr(quality, "BLOCK", 200_000)
+    rows = _texts_run(monkeypatch, [np.random.default_rng(i).bytes(50_000).hex() for i in range(20)])
+    run, before = quality.blocks(_Taken()).run, pa.total_allocated_bytes()
+    assert sum(made.num_rows for made in run(iter([rows]))) == 10
+    assert pa.total_allocated_bytes() - before < 50_000
+
+
+def test_counting_holds_distinct_runs_only(spark, monkeypatch):
+    """Slices with the same runs take no more memory while they are counted than a few of them."""
+    monkeypatch.setattr(quality, "SLICE", 2_000)
+    text = "".join(map(chr, np.random.default_rng(5).integers(97, 123, 1_900)))
+    rows = _texts_run(monkeypatch, [text] * 700)
+    (packed,) = quality.blocks(_Taken()).run(iter([rows]))
+    count = quality.count_runs(_Taken()).run
+    tracemalloc.start()
+    try:
+        found = list(count(iter([packed])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 1 and sum(found[0].column("n").to_pylist()) == 700 * 1_900
+    assert peak < 30_000_000
