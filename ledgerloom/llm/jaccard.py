@@ -4,10 +4,13 @@ Nearly all pairs of documents are at Jaccard distance 1 or close to it, so that
 windows that take in every document. The first regions are therefore made in restricted spaces: the n-grams are dealt into m
 parts by hash, and a document's restriction to a part is its pivot there. Restricting never lengthens the symmetric
 difference, and two documents that link differ in at most D n-grams, so with m > D they are at distance 0 from the same pivot
-in at least m - D parts. Documents meet in these regions (a few for each five n-grams), never by one common n-gram.
+in at least m - D parts. Documents meet in these regions (a few for each five n-grams). Each document knows in how many parts
+any linked one agrees with it at least; so many that it can, it leaves out, those with the fewest n-grams first (empty ones and
+common single n-grams, in which also unlike documents agree).
 
-A pair of a small region is a candidate only if it meets in as many regions as linked documents of these sizes must; a large
-region's documents are candidates with its pivot. Groups of connected candidates are then joined with the Jaccard metric
+A pair of a small region is a candidate only if it meets in as many regions as linked documents of these sizes must, less the
+large ones that it may share. Large regions connect only documents that have so many of them that they could meet a linked one
+in no other: near copies, not documents with a common passage. Groups of connected candidates are then joined with the Jaccard metric
 itself: pivots, nearest-pivot cells, and windows of twice the radius that replicate boundary documents, recursively and
 exactly. Pairs that are already connected are not compared.
 """
@@ -84,35 +87,33 @@ class Classes:
         return int(np.searchsorted(self.low, n, "right")) - 1
 
     def parts(self, c: int) -> tuple[int, int]:
-        """m, and the slack by which m exceeds D + 1: linked pairs agree in more than `slack` parts."""
+        """m, and the most n-grams of a set of the class: linked sets of the class differ in fewer than m - 3 parts."""
         self.of(self.low[min(c, len(self.low) - 1)] * 2)
         while len(self.low) < c + 2:
             self.low.append(self.low[-1] * 100 // self.percent + 1)
         most = self.low[c + 1] - 1
         d = 2 * most * (100 - self.percent) // (100 + self.percent)
-        slack = 2 + d // 16
-        return d + 1 + slack, slack
+        return d + 4 + d // 10, most
 
     def described(self, found: np.ndarray) -> tuple[int, np.ndarray, list[int]]:
-        """A set's class, its pivots as 64-bit hashes in the parts of its class and of the next one, and for both how many
-        of them a linked set must share with it at least.
+        """A set's class, its pivots as 64-bit hashes in the parts of its class and of the next one (the last bit tells the
+        class's), and for both how many of them a linked set must share with it at least.
 
-        A part without n-grams is a pivot only for documents with more such parts than the slack: other linked pairs also
-        agree in a part with n-grams. Linked sets agree in `slack` + 1 parts, of which no more can be empty than are here.
+        Linked sets agree in `sure` parts, told by this set's size. Of these all but `need` can be left out: every set leaves
+        out its first by one order of all pivots, by n-grams and hash. Both numbers grow with `sure`; so of the parts in which
+        two sets agree, no more go than the one with the larger `sure` may leave out, and both needs hold.
         """
         own, out, needs = self.of(len(found)), [], []
         for c in (own, own + 1):
-            m, slack = self.parts(c)
+            m, most = self.parts(c)
+            sure = m - (len(found) + min(len(found) * 100 // self.percent, most)) * (100 - self.percent) // (100 + self.percent)
+            need = min(sure, 3 + sure // 3)
             part = (_mix(found ^ np.uint64(c + 1)) % np.uint64(m)).astype(np.int64)
             sums = np.zeros(m, np.uint64)
             np.add.at(sums, part, _mix(found + _BASE))
-            there = np.bincount(part, minlength=m) > 0
-            empty = m - int(there.sum())
-            if empty > slack:
-                there[:] = True
-            numbers = np.flatnonzero(there).astype(np.uint64)
-            out.append(_mix(sums[there] + _mix(numbers + np.uint64(c << 32))))
-            needs.append(max(slack + 1 - empty, 0))
+            pivots = _mix(sums + _mix(np.arange(m).astype(np.uint64) + np.uint64(c << 32))) >> np.uint64(1) << np.uint64(1) | np.uint64(c & 1)
+            out.append(pivots[np.lexsort((pivots, np.bincount(part, minlength=m)))[sure - need :]])
+            needs.append(need)
         return own, np.concatenate(out), needs
 
 
@@ -250,8 +251,8 @@ _MEETING = np.dtype([("region", "<i8"), ("key", "<i8")])
 
 
 def _met(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, whether by a large region): all pairs of the sets that meet in a region of up to `most`, and of larger ones the
-    pairs with their smallest set."""
+    """(a, b, whether of a large region): all pairs of the sets that meet in a region of up to `most`, and of larger ones the
+    region and each set."""
     rows = np.unique(rows)
     begin = np.flatnonzero(np.r_[True, rows["region"][1:] != rows["region"][:-1]]) if len(rows) else np.zeros(0, np.int64)
     n = np.diff(np.r_[begin, len(rows)])
@@ -262,13 +263,10 @@ def _met(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         a.append(members[:, i].ravel())
         b.append(members[:, j].ravel())
         large.append(np.zeros(len(a[-1]), bool))
-    hot = n > most
-    inside = np.repeat(hot, n)
-    first = np.repeat(rows["key"][begin], n)
-    star = inside & (first != rows["key"])
-    a.append(first[star])
-    b.append(rows["key"][star])
-    large.append(np.ones(int(star.sum()), bool))
+    hot = rows[np.repeat(n > most, n)]
+    a.append(hot["region"])
+    b.append(hot["key"])
+    large.append(np.ones(len(hot), bool))
     return np.concatenate(a), np.concatenate(b), np.concatenate(large)
 
 
@@ -276,7 +274,10 @@ def _candidates(found: DataFrame, percent: int, small: int = 32, chunk: int = 1
     """(a, b): pairs of keys, a < b, that connect all sets that link. `found`: key, n, cls, own, next, regions.
 
     Regions are dealt in buckets of about `chunk` rows, as packed arrays. Of a region with over `small` sets in a chunk of a
-    task, the others are connected to the smallest there and `small` + 1 go on, by which it is known to be large.
+    task, `small` + 1 go on, by which it is known to be large, and the others are known to be in a large one.
+
+    Two linked sets share as many regions of a class as either of them needs. A set with fewer large ones than it needs meets
+    all that link with it in small ones also. So only sets with as many large ones are connected by them.
     """
     buckets = max(1, -(-(found.agg(F.sum(F.size("regions"))).first()[0] or 0) // chunk))
 
@@ -290,18 +291,14 @@ def _candidates(found: DataFrame, percent: int, small: int = 32, chunk: int = 1
         def sent() -> Iterator[pa.RecordBatch]:
             rows = np.unique(np.concatenate(held))
             begin = np.flatnonzero(np.r_[True, rows["region"][1:] != rows["region"][:-1]])
-            n = np.diff(np.r_[begin, len(rows)])
-            hot = np.repeat(n > small, n)
-            a, b, _ = _met(rows[hot], small)
-            place = np.arange(len(rows)) - np.repeat(begin, n)
-            rows = rows[place <= small]
+            place = np.arange(len(rows)) - np.repeat(begin, np.diff(np.r_[begin, len(rows)]))
+            hot, rows = rows[place > small], rows[place <= small]
             bucket = (_mix(rows["region"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
             at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             blobs = [rows[x:y].tobytes() for x, y in zip(at.tolist(), [*at[1:].tolist(), len(rows)])]
-            stars = np.stack([a, b], axis=1).astype("<i8").tobytes()
-            numbers, blobs = [*bucket[at].tolist(), -1], [*blobs, stars]
+            numbers, blobs = [*bucket[at].tolist(), -1], [*blobs, hot.tobytes()]
             for k in range(0, len(blobs), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(numbers[k : k + 64], pa.int64()), pa.array(blobs[k : k + 64], pa.binary())], names=["bucket", "rows"])
 
@@ -322,9 +319,9 @@ def _candidates(found: DataFrame, percent: int, small: int = 32, chunk: int = 1
         now, held = None, []
         for batch in batches:
             for bucket, rows in zip(batch.column("bucket").to_pylist(), batch.column("rows").to_pylist()):
-                if bucket < 0:  # pairs already
-                    pairs = np.frombuffer(rows, "<i8").reshape(-1, 2)
-                    yield from edges(pairs[:, 0], pairs[:, 1], np.ones(len(pairs), bool))
+                if bucket < 0:  # of large regions
+                    hot = np.frombuffer(rows, _MEETING)
+                    yield from edges(hot["region"].copy(), hot["key"].copy(), np.ones(len(hot), bool))
                     continue
                 if bucket != now and held:
                     yield from edges(*_met(np.concatenate(held), small))
@@ -335,17 +332,30 @@ def _candidates(found: DataFrame, percent: int, small: int = 32, chunk: int = 1
             yield from edges(*_met(np.concatenate(held), small))
 
     packed = found.where(F.size("regions") > 0).select("key", "regions").mapInArrow(dealt, "bucket long, rows binary")
-    spread = F.when(F.col("bucket") < 0, F.xxhash64("rows")).otherwise(F.lit(0))  # finished pairs go anywhere
+    spread = F.when(F.col("bucket") < 0, F.xxhash64("rows")).otherwise(F.lit(0))  # what is known to be in large regions goes anywhere
     packed = packed.withColumn("spread", spread).repartition("bucket", "spread").sortWithinPartitions("bucket").drop("spread")
-    pairs = packed.mapInArrow(met, "a long, b long, large boolean").groupBy("a", "b").agg(F.count("*").alias("met"), F.max("large").alias("large"))
-    of = found.groupBy("key").agg(*(F.max(c).alias(c) for c in ("n", "cls", "own", "next")))
+    together = stored(packed.mapInArrow(met, "a long, b long, large boolean"), "met")
+    hot = together.where("large").select(F.col("a").alias("region"), F.col("b").alias("key")).distinct()
+    odd = F.col("region").bitwiseAND(F.lit(1))
+    counted = hot.groupBy("key").agg(F.sum(odd).alias("odd"), F.sum(1 - odd).alias("even"))
+    of = found.groupBy("key").agg(*(F.max(c).alias(c) for c in ("n", "cls", "own", "next"))).join(counted, "key", "left")
+    for list_, same in (("own", "cls % 2 = 1"), ("next", "cls % 2 = 0")):
+        of = of.withColumn(f"{list_}_hot", F.expr(f"coalesce(IF({same}, odd, even), 0L)"))
+    kept = ("n", "cls", "own", "next", "own_hot", "next_hot")
+    pairs = together.where("NOT large").groupBy("a", "b").agg(F.count("*").alias("met"))
     for side in "ab":
-        pairs = pairs.join(of.select(F.col("key").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", "cls", "own", "next"))), side)
-    need = F.expr("""CASE WHEN a_cls = b_cls THEN greatest(a_own, b_own) + greatest(a_next, b_next)
-                          WHEN a_cls + 1 = b_cls THEN greatest(a_next, b_own) WHEN b_cls + 1 = a_cls THEN greatest(b_next, a_own) END""")
-    near = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (F.col("met") >= need)
-    # What meets in a large region is connected by way of its smallest set, whatever the sizes.
-    return pairs.where(F.col("large") | near).select("a", "b")
+        pairs = pairs.join(of.select(F.col("key").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in kept)), side)
+
+    def need(a: str, b: str) -> str:
+        return f"greatest(greatest({a}, {b}) - least({a}_hot, {b}_hot), 0)"
+
+    needed = F.expr(f"""CASE WHEN a_cls = b_cls THEN {need("a_own", "b_own")} + {need("a_next", "b_next")}
+                             WHEN a_cls + 1 = b_cls THEN {need("a_next", "b_own")} WHEN b_cls + 1 = a_cls THEN {need("b_next", "a_own")} END""")
+    near = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (F.col("met") >= needed)
+    # What needs a large region is connected by way of the smallest such set in it, whatever the sizes.
+    full = hot.join(of, "key").where(F.expr("IF(region & 1 = cls % 2, own_hot >= own, next_hot >= next)")).select("region", "key")
+    stars = full.join(full.groupBy("region").agg(F.min("key").alias("least")), "region").where("least < key")
+    return pairs.where(near).select("a", "b").union(stars.select("least", "key")).toDF("a", "b")
 
 
 def near_duplicates(

@@ -152,6 +152,30 @@ def test_candidates_connect_all_links(spark, small, chunk):
         assert len(links) > 100 and all(root(i) == root(j) for i, j in links)
 
 
+def test_unlike_sets_are_no_candidates(spark):
+    """Neither parts without n-grams nor common single n-grams bring unlike sets together."""
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 10**9, 12).astype(np.uint64)
+    sets = [np.unique(np.r_[common, rng.integers(0, 10**9, int(n)).astype(np.uint64)]) for n in rng.integers(90, 500, 600)]
+    classes = Classes(80)
+    rows = []
+    for k, s in enumerate(sets):
+        cls, regions, needs = classes.described(s)
+        rows.append((k, len(s), cls, *needs, regions.view(np.int64).tolist()))
+    found = spark.createDataFrame(rows, "key long, n long, cls int, own int, next int, regions array<long>").repartition(3)
+    assert _candidates(found, 80, 4).count() == 0
+
+
+def test_large_regions_connect_sets_that_need_them(spark):
+    """40 sets share two regions: they are connected by them only where they may share no other one with sets that link."""
+    schema = "key long, n long, cls int, own int, next int, regions array<long>"
+    for need, connected in ((3, 0), (2, 39), (1, 39)):
+        rows = [(k, 100, 0, need, 5, [2, 4, 1001 + 2 * k, 2000 + 2 * k]) for k in range(40)]
+        for chunk in (1 << 20, 60):
+            pairs = {tuple(r) for r in _candidates(spark.createDataFrame(rows, schema).repartition(2), 80, 8, chunk).collect()}
+            assert pairs == {(0, k) for k in range(1, connected + 1)}
+
+
 def test_near_duplicates_in_blocks(spark):
     r = np.random.default_rng(7)
     base = [f"w{i}" for i in range(160)]
